@@ -16,6 +16,8 @@ from gaugeflow.operators import (
     scaling,
     supervised,
 )
+from gaugeflow.session import scratch_path
+from gaugeflow.sources import tables
 
 LINE = ["l_quantity", "l_discount", "l_tax", "month"]
 SERIES_FEATURES = ["Hour_sin", "Hour_cos", "DayOfWeek", "v_lag_1h", "v_lag_3h", "v_lag_6h", "v_roll_mean_3h", "v_roll_mean_6h"]
@@ -151,12 +153,14 @@ FROM v LEFT JOIN numbered m ON m.id = v.vec_id LEFT JOIN edge e ON e.id = v.vec_
 
 @query("dbscan", DBSCAN_SQL)
 def _(t):
-    out = density.dbscan(t.vectors(), ["e0", "e1", "e2"], "vec_id", eps=EPS, min_samples=MIN_SAMPLES, tile_rows=64)
+    out = density.dbscan(t.vectors(), ["e0", "e1", "e2"], "vec_id", eps=EPS, min_samples=MIN_SAMPLES, tile_rows=256)
     return out.select("vec_id", "is_core", "label")
 
 
 def _series_split(t):
-    split = features.chronological_split(features_of(t), ORDER)
+    folder = scratch_path(t.spark, "stages")
+    tables.write_stage_tables({"features": features_of(t)}, folder)
+    split = features.chronological_split(tables.read_stage_tables(t.spark, folder, ["features"])["features"], ORDER)
     return tuple(split.filter(F.col("split") == name) for name in ("train", "val", "test"))
 
 

@@ -127,6 +127,11 @@ def standardize(values: Sequence[str], fitted: Column) -> dict[str, Column]:
     return out
 
 
+def correlation(a: ColumnLike, b: ColumnLike) -> Column:
+    """Pearson aggregate over pairs with both values; missing (no error) for a constant."""
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
+
+
 def linspace(df: DataFrame, start: str, stop: str, n: int, name: str = "x") -> DataFrame:
     """One row per grid point between two columns; the last point equals ``stop`` exactly."""
     i = F.col("i")

@@ -10,11 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.kernels import tile_distance_sums, ward_labels
-from gaugeflow.operators.scaling import scaler_stage
+from gaugeflow.operators.scaling import scaler_stage, spread
 from gaugeflow.plans import defaults
 
 
@@ -26,7 +26,7 @@ def _scaled(df: DataFrame, cols: Sequence[str]) -> list:
 def _best_of(df: DataFrame, cols: Sequence[str], estimators: list, cost) -> PipelineModel:
     """Fit every restart on one prepared input and keep the cheapest."""
     prepare = PipelineModel(_scaled(df, cols))
-    ready = prepare.transform(df).select("features").persist()
+    ready = spread(prepare.transform(df).select("features")).persist()
     try:
         best = min((e.fit(ready) for e in estimators), key=cost)
     finally:
@@ -76,7 +76,11 @@ def fit_hierarchical(
     merged by Ward's criterion, and rows inherit the cluster of their centre.
     """
     prepare = PipelineModel(_scaled(df, cols))
-    fitted = KMeans(k=micro, maxIter=max_iter, seed=seed, predictionCol="micro").fit(prepare.transform(df))
+    ready = spread(prepare.transform(df).select("features")).persist()
+    try:
+        fitted = KMeans(k=micro, maxIter=max_iter, seed=seed, predictionCol="micro").fit(ready)
+    finally:
+        ready.unpersist()
     labels = ward_labels(np.array(fitted.clusterCenters()), np.array(fitted.summary.clusterSizes, float), k)
     entries = ", ".join(str(int(x)) for x in labels)
     merge = SQLTransformer(statement=f"SELECT *, element_at(array({entries}), micro + 1) AS prediction FROM __THIS__")
@@ -117,13 +121,13 @@ def silhouette_sq(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> DataF
         F.count("*").alias("n"), F.sum(norms).alias("q"), F.array(*[F.sum(F.col(x).cast("double")) for x in cols]).alias("s")
     )
     clusters = per.agg(F.collect_list(F.struct("c", "n", "q", "s"))).scalar()
-    rows = df.select(c.alias("c"), _vector(cols).alias("x"), norms.alias("xx"))
+    rows = df.select(c.alias("c"), _vector(cols).alias("x"), norms.alias("xx"), clusters.alias("every"))
 
     def total(g: Column) -> Column:
         return g["n"] * F.col("xx") - 2 * _dot(F.col("x"), g["s"]) + g["q"]
 
-    own = F.element_at(F.filter(clusters, lambda g: g["c"] == F.col("c")), 1)
-    others = F.transform(F.filter(clusters, lambda g: g["c"] != F.col("c")), lambda g: total(g) / g["n"])
+    own = F.element_at(F.filter("every", lambda g: g["c"] == F.col("c")), 1)
+    others = F.transform(F.filter("every", lambda g: g["c"] != F.col("c")), lambda g: total(g) / g["n"])
     rows = rows.withColumns({"own": own, "b": F.array_min(others)})
     a = total(F.col("own")) / (F.col("own.n") - 1)
     rows = rows.withColumn("a", F.when(F.col("own.n") > 1, F.greatest(a, F.lit(0.0))))
@@ -176,9 +180,9 @@ def davies_bouldin(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> Data
     centre = centres.agg(F.map_from_entries(F.collect_list(F.struct("c", "m")))).scalar()
     rows = rows.withColumn("m", F.element_at(centre, F.col("c")))
     per = rows.groupBy("c").agg(F.avg(F.sqrt(_sq_distance(F.col("x"), F.col("m")))).alias("s"), F.first("m").alias("m"))
-    every = per.agg(F.collect_list(F.struct("c", "s", "m"))).scalar()
+    per = per.withColumn("every", F.collect_list(F.struct("c", "s", "m")).over(Window.partitionBy()))
     ratios = F.transform(
-        F.filter(every, lambda g: g["c"] != F.col("c")),
+        F.filter("every", lambda g: g["c"] != F.col("c")),
         lambda g: F.try_divide(F.col("s") + g["s"], F.sqrt(_sq_distance(F.col("m"), g["m"]))),
     )
     return per.select(F.array_max(ratios).alias("worst")).agg(F.avg("worst").alias("davies_bouldin_index"))

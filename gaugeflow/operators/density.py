@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -32,7 +33,7 @@ def dbscan(
     """Add ``is_core`` and ``label`` (-1 is noise) to ``(id, cols)``.
 
     Equal points are first merged into one weighted site.  Sites are put into grid
-    cells of width eps over the leading columns, and a cell with many sites is cut into
+    cells no narrower than eps over the leading columns, and a full cell is cut into
     chunks, so one task compares two chunks of at most about ``tile_rows`` sites each.
     A task returns neighbour counts and the links of a spanning forest, not pairs.
     Clusters are numbered by their least core id; a border point takes the lowest
@@ -84,9 +85,16 @@ def dbscan(
 
 
 def _with_tiles(sites: DataFrame, dims: int, eps: float, tile_rows: int) -> DataFrame:
-    """Sites with the tiles (pairs of chunks) they take part in."""
-    width = eps * (1 + 1e-9)
-    cell = F.struct(*[F.floor(F.get("x", F.lit(d)) / width).alias(f"c{d}") for d in range(dims)])
+    """Sites with the tiles (pairs of chunks) they take part in.
+
+    Cells are at least eps wide, so neighbours lie in adjoining cells; sparse data gets
+    wider cells, for about ``tile_rows`` sites each.
+    """
+    at = [F.get("x", F.lit(d)) for d in range(dims)]
+    spans = sites.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"s{i}") for i, a in enumerate(at)]).first()
+    per_dim = max(1, math.floor((spans["n"] / tile_rows) ** (1 / dims)))
+    widths = [max(eps, (spans[f"s{d}"] or 0.0) / per_dim) * (1 + 1e-9) for d in range(dims)]
+    cell = F.struct(*[F.floor(a / w).alias(f"c{d}") for d, (a, w) in enumerate(zip(at, widths))])
     placed = sites.withColumn("cell", cell)
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
     offsets = [

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.scalar import correlation
 from gaugeflow.operators.cleaning import numeric_columns
 from gaugeflow.plans.ordered import block_rows_of, exact_medians
 
@@ -58,11 +61,22 @@ def _known(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+WIDE = 8  # beyond this many columns one aggregate per pair costs more than a matrix product
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Long ``(a, b, i, j, r)`` Pearson matrix over pairwise complete rows, in one pass."""
+    """Long ``(a, b, i, j, r)`` Pearson matrix over pairwise complete rows.
+
+    All pairs are aggregated in one pass.  A wide table without missing values goes
+    through MLlib's vector product instead, which gives the same numbers.
+    """
     cols = numeric_columns(df) if cols is None else list(cols)
+    if len(cols) > WIDE:
+        holes = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols]).first()
+        if not any(holes):
+            return _correlation_of_vectors(df, cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    one = df.agg(*[F.corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    one = df.agg(*[correlation(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = []
     for i in range(len(cols)):
         for j in range(len(cols)):
@@ -76,6 +90,19 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     return one.select(F.inline(F.array(*cells)))
 
 
+def _correlation_of_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
+    spans = df.agg(*[f(c).alias(f"{t}_{i}") for i, c in enumerate(cols) for t, f in (("lo", F.min), ("hi", F.max))]).first()
+    constant = [spans is None or spans[f"lo_{i}"] == spans[f"hi_{i}"] for i in range(len(cols))]
+    vectors = VectorAssembler(inputCols=cols, outputCol="x").transform(df).select("x")
+    m = Correlation.corr(vectors, "x").first()[0].toArray()
+    cells = [
+        (a, b, i, j, None if constant[i] or constant[j] else float(m[i, j]))
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
+    ]
+    return df.sparkSession.createDataFrame(cells, "a string, b string, i int, j int, r double")
+
+
 def correlation_lower_triangle(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Heatmap cells: the lower triangle with its diagonal."""
     return correlation_matrix(df, cols).filter(F.col("i") >= F.col("j"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.distributions import normal_quantile, normal_upper
+from gaugeflow.functions.scalar import correlation
 from gaugeflow.operators.cleaning import sample_rows
 from gaugeflow.operators.describe import correlation_matrix
 from gaugeflow.operators.features import first_difference
@@ -73,7 +74,7 @@ def qq_line(points: DataFrame) -> DataFrame:
     return points.agg(
         F.regr_slope("ordered_value", "theoretical").alias("slope"),
         F.regr_intercept("ordered_value", "theoretical").alias("intercept"),
-        F.corr("ordered_value", "theoretical").alias("r"),
+        correlation("ordered_value", "theoretical").alias("r"),
     )
 
 
@@ -82,7 +83,7 @@ def normality_at_scale(
 ) -> DataFrame:
     """Shapiro-Francia W' over all rows: squared correlation of the Q-Q points."""
     line = qq_points(df, col, id_cols, block_rows=block_rows).agg(
-        F.count("*").alias("n"), F.corr("ordered_value", "theoretical").alias("r")
+        F.count("*").alias("n"), correlation("ordered_value", "theoretical").alias("r")
     )
     return line.select((F.col("r") * F.col("r")).alias("statistic"), "n")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions import scalar
 from gaugeflow.operators.cleaning import numeric_columns
 from gaugeflow.plans import defaults
-from gaugeflow.plans.ordered import Ordered, order_rows, with_prior, with_rank
+from gaugeflow.plans.ordered import Ordered, keys_at_rank, order_rows, with_prior, with_rank
 
 
 def calendar_features(df: DataFrame, ts_col: str = defaults.TIME) -> DataFrame:
@@ -134,21 +134,22 @@ def chronological_split(
 ) -> DataFrame:
     """Label rows ``train``, ``val`` or ``test`` by position in time; the rest is test.
 
-    Without partition columns a large table is not ranked at all: the two cut keys are
-    located by block counts and every row is compared with them, with no shuffle.
+    Without partition columns the rows are not ranked: the two cut keys are located by
+    block counts, and every row is compared with them, with no shuffle of the table.
     """
-    from gaugeflow.plans.ordered import keys_at_rank
-
-    n = None if partition_cols else df.count()
-    o = order_rows(df, order_cols, partition_cols, block_rows=block_rows, rows=n)
     ratios = (train_ratio, train_ratio + val_ratio)
-    if o.blocked and not partition_cols:
+    if partition_cols:
+        o = with_rank(order_rows(df, order_cols, partition_cols, block_rows=block_rows), "__rank", total="__total")
+        inside = [F.col("__rank") <= F.floor(F.col("__total") * F.lit(r)) for r in ratios]
+        out = o.result()
+    else:
+        keys = df.select(*order_cols)
+        n = keys.count()
         ends = [int(n * r) for r in ratios]
-        cuts = keys_at_rank(o, [min(e, n - 1) for e in ends])
+        o = order_rows(keys, order_cols, block_rows=block_rows, rows=n)
+        cuts = keys_at_rank(o, [min(e, n - 1) for e in ends]) if n else [None, None]
         key = F.struct(*order_cols)
         inside = [F.lit(True) if e >= n else key < cut for e, cut in zip(ends, cuts)]
-    else:
-        o = with_rank(o, "__rank", total="__total")
-        inside = [F.col("__rank") <= F.floor(F.col("__total") * F.lit(r)) for r in ratios]
+        out = df
     label = F.when(inside[0], F.lit("train")).when(inside[1], F.lit("val")).otherwise(F.lit("test"))
-    return o.result().withColumn(name, label).drop("__rank", "__total")
+    return out.withColumn(name, label).drop("__rank", "__total")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeflow.operators.scaling import spread
 from gaugeflow.plans import defaults
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -170,10 +171,9 @@ def fit_mlp(
     std = [float(stats[f"s_{c}"]) or 1.0 for c in features]
     x = _scaled(features, mean, std).alias("x")
     y = F.col(label).cast("double").alias("y")
-    rows = train.select(x, y).persist()
-    checked = rows.withColumn("part", F.lit("train")).unionByName(
-        val.select(x, y).withColumn("part", F.lit("val"))
-    )
+    rows = spread(train.select(x, y)).persist()
+    held = val.select(x, y).persist()
+    checked = rows.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("val")))
     shape = Shape((len(features), *hidden, 1), activation, task)
     model = MlpModel(shape, features, mean, std, shape.start(seed), [])
     best, waited = float("inf"), 0
@@ -190,6 +190,7 @@ def fit_mlp(
                     break
     finally:
         rows.unpersist()
+        held.unpersist()
     return model
 
 

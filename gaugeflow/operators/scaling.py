@@ -38,3 +38,9 @@ def scaler_stage(train: DataFrame, cols: Sequence[str], prefix: str = "z_") -> S
         mean, std = row[f"m_{c}"], row[f"s_{c}"]
         exprs.append(f"(`{c}` - {mean!r}D) / {std if std > 0 else 1.0!r}D AS `{prefix}{c}`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for repeated passes over an input that came in few partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
@@ -19,19 +19,31 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.scaling import scaler_stage
+from gaugeflow.operators.scaling import scaler_stage, spread
 from gaugeflow.plans import defaults
 
 
-def _fit(train: DataFrame, features: Sequence[str], estimator: Estimator) -> PipelineModel:
-    scaler = scaler_stage(train, features)
+def _fit(
+    train: DataFrame, features: Sequence[str], label: str, estimator: Estimator, *, repeated: bool = True
+) -> PipelineModel:
+    """Scale and assemble; an estimator that reads its input ``repeated``ly gets it persisted."""
     vector = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features")
-    return Pipeline(stages=[scaler, vector, estimator]).fit(train)
+    prepare = PipelineModel([scaler_stage(train, features), vector])
+    ready = prepare.transform(train).select("features", label)
+    if not repeated:
+        return PipelineModel([*prepare.stages, estimator.fit(ready)])
+    ready = spread(ready).persist()
+    try:
+        fitted = estimator.fit(ready)
+    finally:
+        ready.unpersist()
+    return PipelineModel([*prepare.stages, fitted])
 
 
 def fit_linear_regression(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     """Ordinary least squares from one pass over the normal equations."""
-    return _fit(train, features, LinearRegression(labelCol=label, solver="normal", regParam=0.0))
+    ols = LinearRegression(labelCol=label, solver="normal", regParam=0.0)
+    return _fit(train, features, label, ols, repeated=False)
 
 
 def fit_logistic_regression(
@@ -42,6 +54,7 @@ def fit_logistic_regression(
     return _fit(
         train,
         features,
+        label,
         LogisticRegression(
             labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter
         ),
@@ -62,8 +75,8 @@ def fit_random_forest(
     """Bagged trees: all features per split for regression, a square root of them otherwise."""
     common = dict(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
     if task == "regression":
-        return _fit(train, features, RandomForestRegressor(featureSubsetStrategy="all", **common))
-    return _fit(train, features, RandomForestClassifier(featureSubsetStrategy="sqrt", **common))
+        return _fit(train, features, label, RandomForestRegressor(featureSubsetStrategy="all", **common))
+    return _fit(train, features, label, RandomForestClassifier(featureSubsetStrategy="sqrt", **common))
 
 
 def fit_random_threshold_forest(
@@ -87,31 +100,35 @@ def fit_random_threshold_forest(
     """
     rng = random.Random(seed)
     spans = train.agg(*[f(F.col(c)).alias(f"{t}_{c}") for c in features for t, f in (("lo", F.min), ("hi", F.max))]).first()
+    ready = spread(train.select(*features, label)).persist()
     stages, outputs = [], []
-    for g in range(binnings):
-        bins = [f"b{g}_{c}" for c in features]
-        splits = []
-        for c in features:
-            lo, hi = float(spans[f"lo_{c}"]), float(spans[f"hi_{c}"])
-            points = sorted({rng.uniform(lo, hi) for _ in range(cuts)})
-            splits.append([float("-inf"), *points, float("inf")])
-        stages += [
-            Bucketizer(inputCols=list(features), outputCols=bins, splitsArray=splits),
-            VectorAssembler(inputCols=bins, outputCol=f"v{g}"),
-            RandomForestRegressor(
+    try:
+        for g in range(binnings):
+            bins = [f"b{g}_{c}" for c in features]
+            splits = []
+            for c in features:
+                lo, hi = float(spans[f"lo_{c}"]), float(spans[f"hi_{c}"])
+                points = sorted({rng.uniform(lo, hi) for _ in range(cuts)})
+                splits.append([float("-inf"), *points, float("inf")])
+            bucket = Bucketizer(inputCols=list(features), outputCols=bins, splitsArray=splits)
+            vector = VectorAssembler(inputCols=bins, outputCol=f"v{g}")
+            forest = RandomForestRegressor(
                 featuresCol=f"v{g}", labelCol=label, predictionCol=f"p{g}", bootstrap=False,
                 numTrees=max(1, round(trees / binnings)), maxDepth=depth, minInstancesPerNode=min_leaf,
                 maxBins=cuts + 1, seed=seed + g,
                 featureSubsetStrategy="all" if task == "regression" else "sqrt",
-            ),
-        ]
-        outputs.append(f"p{g}")
+            )
+            binned = vector.transform(bucket.transform(ready))
+            stages += [bucket, vector, forest.fit(binned)]
+            outputs.append(f"p{g}")
+    finally:
+        ready.unpersist()
     mean = f"({' + '.join(outputs)}) / {binnings}"
     if task == "regression":
         final = f"SELECT *, {mean} AS prediction FROM __THIS__"
     else:
         final = f"SELECT *, {mean} AS score, CAST({mean} > 0.5 AS DOUBLE) AS prediction FROM __THIS__"
-    return Pipeline(stages=[*stages, SQLTransformer(statement=final)]).fit(train)
+    return PipelineModel([*stages, SQLTransformer(statement=final)])
 
 
 def fit_gradient_boosting(
@@ -130,7 +147,7 @@ def fit_gradient_boosting(
         labelCol=label, maxDepth=depth, stepSize=rate, maxIter=iterations, minInstancesPerNode=min_leaf, seed=seed
     )
     kind = GBTRegressor if task == "regression" else GBTClassifier
-    return _fit(train, features, kind(**common))
+    return _fit(train, features, label, kind(**common))
 
 
 def predict(model, df: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ from gaugeflow.session import cut_lineage
 KEY = "__key"
 BLK = "__blk"
 BLOCK_ROWS_CONF = "spark.gaugeflow.blockRows"
-DEFAULT_BLOCK_ROWS = 2_000_000
-MAX_BLOCKS = 16_384  # bounds the literal array and the driver-side key sample
-SAMPLE_PER_BLOCK = 16
+DEFAULT_BLOCK_ROWS = 500_000
+MAX_BLOCKS = 65_536  # bounds the literal array and the driver-side key sample
+SAMPLE_PER_BLOCK = 8
 _JSON_TIME = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -303,28 +303,26 @@ def with_rank(o: Ordered, name: str, total: str | None = None) -> Ordered:
 def keys_at_rank(o: Ordered, positions: Sequence[int]) -> list[Column]:
     """Order keys (as literal structs) at 0-based ``positions`` of an unpartitioned order.
 
-    Block sizes (a map-side combined count) locate each position; only the block that
-    holds it is sorted.
+    Block sizes (a map-side combined count) locate each position; only the blocks that
+    hold one are sorted.
     """
-    if not o.blocked:
-        return [_key_at(o.df, o.order, p) for p in positions]
-    sizes = sorted((r[BLK], r["count"]) for r in o.df.groupBy(BLK).count().collect())
-    found = []
-    for p in positions:
-        left = p
-        for blk, size in sizes:
-            if left < size:
-                found.append(_key_at(o.df.filter(F.col(BLK) == blk), o.order, left))
-                break
-            left -= size
-    return found
-
-
-def _key_at(df: DataFrame, order: Sequence[str], position: int) -> Column:
-    keys = df.select(*order)
-    numbered = keys.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
-    row = numbered.filter(F.col("__rn") == position + 1).select(F.to_json(F.struct(*order), _JSON_TIME)).first()
-    return F.from_json(F.lit(row[0]), keys.schema, _JSON_TIME)
+    block, inside = F.lit(0), {p: (0, p) for p in positions}
+    if o.blocked:
+        block = F.col(BLK)
+        before = 0
+        for blk, size in sorted((r[BLK], r["count"]) for r in o.df.groupBy(BLK).count().collect()):
+            inside |= {p: (blk, p - before) for p in positions if before <= p < before + size}
+            before += size
+    keys = o.df.select(block.alias("__b"), F.struct(*o.order).alias("__k"))
+    keys = keys.filter(F.col("__b").isin(sorted({b for b, _ in inside.values()})))
+    numbered = keys.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy("__k")))
+    hit = F.struct("__b", (F.col("__rn") - 1).alias("p")).isin(
+        [F.struct(F.lit(b), F.lit(p)) for b, p in set(inside.values())]
+    )
+    rows = numbered.filter(hit).select("__b", "__rn", F.to_json("__k", _JSON_TIME).alias("k")).collect()
+    found = {(r["__b"], r["__rn"] - 1): r["k"] for r in rows}
+    schema = o.df.select(*o.order).schema
+    return [F.from_json(F.lit(found[inside[p]]), schema, _JSON_TIME) for p in positions]
 
 
 # ---------------------------------------------------------------- exact order statistics
@@ -337,38 +335,47 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], bins: i
     keeps the cell that holds the rank; nothing is sorted and at most
     ``bins`` x ranks rows reach the driver.
     """
-    spans = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}__{t}") for c in wanted for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    state = {
-        (c, k): [spans[f"{c}__lo"], spans[f"{c}__hi"], k] for c, ranks in wanted.items() for k in ranks
-    }
+    columns = {c: F.col(c).cast("double") for c in wanted}
+    spans = df.agg(*[f(x).alias(f"{c}__{t}") for c, x in columns.items() for t, f in (("lo", F.min), ("hi", F.max))])
+    spans = spans.first()
+    # open searches: (column, lowest, highest value) -> rank asked for -> rank inside the span
+    open_: dict = {}
+    for c, ranks in wanted.items():
+        open_[(c, spans[f"{c}__lo"], spans[f"{c}__hi"])] = {k: k for k in ranks}
     done = {}
     while True:
-        done |= {s: lo for s, (lo, hi, _) in state.items() if lo == hi}
-        state = {s: v for s, v in state.items() if s not in done}
-        if not state:
+        for (c, lo, hi), ranks in open_.items():
+            if lo == hi:
+                done |= {(c, k): lo for k in ranks}
+        open_ = {s: ranks for s, ranks in open_.items() if s[1] != s[2]}
+        if not open_:
             return done
-        slots = list(state)
+        slots = list(open_)
         cells = []
-        for i, (c, _) in enumerate(slots):
-            lo, hi, _k = state[slots[i]]
-            v = F.col(c).cast("double")
+        for i, (c, lo, hi) in enumerate(slots):
+            v = columns[c]
             cell = F.least(F.lit(bins - 1), F.floor((v - lo) / F.lit(hi - lo) * bins))
             cells.append(
                 F.when(v.between(lo, hi), F.struct(F.lit(i).alias("slot"), cell.alias("cell"), v.alias("v")))
             )
-        hits = df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("h"))
+        inside = F.lit(False)
+        for c, lo, hi in slots:
+            inside = inside | columns[c].between(lo, hi)
+        hits = df.filter(inside).select(F.explode(F.array(*cells)).alias("h")).filter(F.col("h").isNotNull())
         counted = (
             hits.groupBy("h.slot", "h.cell")
             .agg(F.count("*").alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi"))
             .collect()
         )
+        narrowed: dict = {}
         for i, s in enumerate(slots):
-            left = state[s][2]
+            before = 0
             for r in sorted((r for r in counted if r["slot"] == i), key=lambda r: r["cell"]):
-                if left < r["n"]:
-                    state[s] = [r["lo"], r["hi"], left]
-                    break
-                left -= r["n"]
+                for k, inner in open_[s].items():
+                    if before <= inner < before + r["n"]:
+                        narrowed.setdefault((s[0], r["lo"], r["hi"]), {})[k] = inner - before
+                before += r["n"]
+        open_ = narrowed
 
 
 def exact_medians(df: DataFrame, counts: Mapping[str, int]) -> dict[str, float | None]:

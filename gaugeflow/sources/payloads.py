@@ -19,7 +19,7 @@ FALSY = ("false", "0", "0.0", "", "null", "[]", "{}")
 
 def _series(df: DataFrame, payload_col: str, section: str, variables: Sequence[str], keep: Sequence[str]) -> DataFrame:
     fields = ", ".join(["time: array<string>", *[f"`{v}`: array<double>" for v in variables]])
-    parsed = df.select(*keep, F.from_json(payload_col, f"{section}: struct<{fields}>")[section].alias("p"))
+    parsed = df.select(*keep, F.from_json(payload_col, f"{section} struct<{fields}>")[section].alias("p"))
     time = F.col("p.time")
     arrays = [time.alias("time")]
     for v in variables:
@@ -49,7 +49,7 @@ def daily_payload_to_rows(
 def current_conditions(df: DataFrame, payload_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """``(variable, reading)`` per present current value, as text with its unit."""
     fields = ", ".join(f"{v}: string" for v in [*CURRENT_LABELS, "time"])
-    p = F.from_json(payload_col, f"current: struct<{fields}>, current_units: struct<{fields}>")
+    p = F.from_json(payload_col, f"current struct<{fields}>, current_units struct<{fields}>")
     parsed = df.select(*keep, p.alias("p"))
     cells = []
     for v, label in CURRENT_LABELS.items():
@@ -65,7 +65,7 @@ def current_conditions(df: DataFrame, payload_col: str, keep: Sequence[str] = ()
 def geocode_matches(df: DataFrame, payload_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Search results that carry both coordinates."""
     schema = (
-        "results: array<struct<name: string, admin1: string, country: string, latitude: double, longitude: double>>"
+        "results array<struct<name: string, admin1: string, country: string, latitude: double, longitude: double>>"
     )
     rows = df.select(*keep, F.inline(F.from_json(payload_col, schema)["results"]))
     return rows.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
@@ -73,7 +73,7 @@ def geocode_matches(df: DataFrame, payload_col: str, keep: Sequence[str] = ()) -
 
 def payload_error(payload: Column | str) -> Column:
     """The rejection reason of a payload, missing for a good one."""
-    p = F.from_json(payload, "error: string, reason: string")
+    p = F.from_json(payload, "error string, reason string")
     bad = p["error"].isNotNull() & ~p["error"].isin(*FALSY)
     return F.when(bad, F.coalesce(p["reason"], F.lit(DEFAULT_REASON)))
 
