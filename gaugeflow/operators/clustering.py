@@ -175,8 +175,9 @@ def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def davies_bouldin(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> DataFrame:
     """Mean over clusters of the worst (spread_i + spread_j) / centre distance."""
-    rows = df.select(F.col(cluster_col).alias("c"), _vector(cols).alias("x"), *[F.col(c) for c in cols])
-    centres = rows.groupBy("c").agg(F.array(*[F.avg(c) for c in cols]).alias("m"))
+    rows = df.select(F.col(cluster_col).alias("c"), _vector(cols).alias("x"))
+    means = [F.avg(F.get("x", F.lit(i))) for i in range(len(cols))]
+    centres = rows.groupBy("c").agg(F.array(*means).alias("m"))
     centre = centres.agg(F.map_from_entries(F.collect_list(F.struct("c", "m")))).scalar()
     rows = rows.withColumn("m", F.element_at(centre, F.col("c")))
     per = rows.groupBy("c").agg(F.avg(F.sqrt(_sq_distance(F.col("x"), F.col("m")))).alias("s"), F.first("m").alias("m"))

@@ -43,8 +43,8 @@ def dbscan(
     rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
     if scale:
         rows = standardize(rows, cols)
-    rows = rows.withColumn("x", F.array(*cols))
-    merged = rows.groupBy("x").agg(F.min(id_col).alias("pid"), F.count("*").alias("wt"))
+    rows = rows.withColumn("__x", F.array(*cols))
+    merged = rows.groupBy(F.col("__x").alias("x")).agg(F.min(id_col).alias("pid"), F.count("*").alias("wt"))
     sites = cut_lineage(_with_tiles(merged, min(GRID_DIMS, len(cols)), eps, tile_rows))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +79,8 @@ def dbscan(
     border = links.filter("border").join(cores, F.col("b") == F.col("pid")).groupBy("a").agg(F.min("label").alias("label"))
     labels = cores.union(border.select("a", "label"))
     by_site = merged.select("x", "pid").join(core, "pid").join(labels, "pid", "left")
-    return rows.join(by_site.drop("pid"), "x").select(
+    by_site = by_site.withColumnRenamed("x", "__x").drop("pid")
+    return rows.join(by_site, "__x").select(
         id_col, *cols, "is_core", F.coalesce("label", F.lit(-1)).alias("label")
     )
 
