@@ -132,7 +132,8 @@ def cluster_profile(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> Dat
     means = df.groupBy(cluster_col).agg(*[F.avg(c).alias(c) for c in cols])
     across = Window.partitionBy()
     return means.select(
-        cluster_col, *[((F.col(c) - F.avg(c).over(across)) / F.stddev_samp(c).over(across)).alias(c) for c in cols]
+        cluster_col,
+        *[F.try_divide(F.col(c) - F.avg(c).over(across), F.stddev_samp(c).over(across)).alias(c) for c in cols],
     )
 
 

@@ -207,4 +207,4 @@ def _score(df: DataFrame, label_col: str, task: str, group_cols: list[str]) -> D
     y, p = F.col(label_col).cast("double"), F.col("prediction")
     if task == "classification":
         return df.groupBy(*group_cols).agg(F.avg((y == p).cast("double")).alias("score"))
-    return df.groupBy(*group_cols).agg((1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("score"))
+    return df.groupBy(*group_cols).agg((1 - F.try_divide(F.avg((y - p) * (y - p)), F.var_pop(y))).alias("score"))

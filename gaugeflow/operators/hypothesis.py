@@ -44,11 +44,11 @@ def welch_ttest(
         x = F.when(F.col("half") == side, v)
         parts += [F.count(x).alias(f"n_{side}"), F.avg(x).alias(f"m_{side}"), F.var_samp(x).alias(f"v_{side}")]
     one = halves.agg(*parts)
-    se_h, se_l = F.col("v_high") / F.col("n_high"), F.col("v_low") / F.col("n_low")
+    se_h, se_l = F.try_divide("v_high", "n_high"), F.try_divide("v_low", "n_low")
     t = F.try_divide(F.col("m_high") - F.col("m_low"), F.sqrt(se_h + se_l))
     dof = F.try_divide(
         (se_h + se_l) * (se_h + se_l),
-        se_h * se_h / (F.col("n_high") - 1) + se_l * se_l / (F.col("n_low") - 1),
+        F.try_divide(se_h * se_h, F.col("n_high") - 1) + F.try_divide(se_l * se_l, F.col("n_low") - 1),
     )
     out = one.select(
         t.alias("t_statistic"), dof.alias("degrees_of_freedom"),
@@ -81,7 +81,7 @@ def anova_oneway(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     )
     d1, d2 = F.col("k") - 1, F.col("total") - F.col("k")
     out = one.select(
-        F.try_divide(F.col("between") / d1, F.col("within") / d2).alias("f_statistic"),
+        F.try_divide(F.try_divide("between", d1), F.try_divide("within", d2)).alias("f_statistic"),
         d1.alias("df_between"),
         d2.alias("df_within"),
     )

@@ -107,6 +107,20 @@ def test_anova(spark):
     assert (r["df_between"], r["df_within"]) == (2, 6)
 
 
+def test_degenerate_groups_give_missing_not_errors(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, v double")
+    r = hypothesis.anova_oneway(df, "v", "g").first()
+    assert (r["f_statistic"], r["p_value"]) == (None, None)
+    r = hypothesis.welch_ttest(df.limit(1), "v", "v").first()
+    assert (r["t_statistic"], r["p_value"], r["group_high_n"]) == (None, None, 1)
+    r = hypothesis.chi_square_independence(df.limit(1), "g", "v").first()
+    assert (r["chi2_statistic"], r["degrees_of_freedom"], r["p_value"]) == (0, 0, 1)
+    assert describe.cluster_profile(df, "g", ["v"]).first()["v"] is None
+    constant = spark.createDataFrame([(i, 1.0) for i in range(9)], "i int, e double")
+    r = diagnostics.residual_diagnostics(constant, "e", ["i"]).first()
+    assert r["durbin_watson"] == 0 and r["jarque_bera_statistic"] is None
+
+
 def test_vif(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=200), rng.normal(size=200)
