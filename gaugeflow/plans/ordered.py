@@ -47,6 +47,7 @@ class Ordered:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     blocked: bool
+    columns: tuple[str, ...] = ()  # of the given frame, to restore their order
 
     @property
     def parts(self) -> list[str]:
@@ -60,7 +61,10 @@ class Ordered:
         return replace(self, df=df)
 
     def result(self) -> DataFrame:
-        return self.df.drop(KEY, BLK)
+        if not self.blocked:
+            return self.df
+        given = [F.col(KEY)[c].alias(c) if c in self.keys else F.col(c) for c in self.columns]
+        return self.df.select(*given, *[c for c in self.df.columns if c not in (KEY, BLK, *self.columns)])
 
     def with_context(self, context: DataFrame) -> DataFrame:
         return self.df.join(context, [KEY, BLK], "left")
@@ -99,7 +103,9 @@ def order_rows(
     splits = _split_points(df.select(*fields), n, n_blocks)
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     blocked = df.withColumn(KEY, key).withColumn(BLK, _block_number(df, fields, splits))
-    return Ordered(blocked, keys, order, True)
+    # the key struct replaces the series columns, so that summaries and the main plan
+    # shuffle the same columns and can share one exchange
+    return Ordered(blocked.drop(*keys), keys, order, True, tuple(df.columns))
 
 
 def _split_points(keys: DataFrame, n: int, n_blocks: int) -> list[dict]:
@@ -211,15 +217,10 @@ def fill_linear(o: Ordered, cols: Sequence[str], limit: int) -> Ordered:
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__rn").alias("r")))
 
-    if not o.blocked:
-        df = df.withColumns({f"__p_{c}": F.last(known(c), ignorenulls=True).over(fwd) for c in cols})
-        df = df.withColumns({f"__n_{c}": F.last(known(c), ignorenulls=True).over(back) for c in cols})
-    else:
-        context = _known_around_blocks(o, df.select(KEY, BLK, "__rn", *cols), cols)
-        df = o.on(df).with_context(context)
-        df = df.withColumn("__rn", F.col("__rn") + F.col("__off"))
-        df = df.withColumns({f"__p_{c}": F.last(known(c), ignorenulls=True).over(fwd) for c in cols})
-        df = df.withColumns({f"__n_{c}": F.last(known(c), ignorenulls=True).over(back) for c in cols})
+    df = df.withColumns({f"__p_{c}": F.last(known(c), ignorenulls=True).over(fwd) for c in cols})
+    df = df.withColumns({f"__n_{c}": F.last(known(c), ignorenulls=True).over(back) for c in cols})
+    if o.blocked:
+        df = o.on(df).with_context(_known_around_blocks(o, cols, limit))
         df = df.withColumns({f"__p_{c}": F.coalesce(f"__p_{c}", f"__cp_{c}") for c in cols})
         df = df.withColumns({f"__n_{c}": F.coalesce(f"__n_{c}", f"__cn_{c}") for c in cols})
     filled = {}
@@ -231,27 +232,43 @@ def fill_linear(o: Ordered, cols: Sequence[str], limit: int) -> Ordered:
             gap <= limit, F.when(n.isNotNull(), line).otherwise(p["v"])
         )
     names = [f"__{tag}_{c}" for tag in ("p", "n", "cp", "cn") for c in cols]
-    return o.on(df.withColumns(filled).drop("__rn", "__off", *names))
+    return o.on(df.withColumns(filled).drop("__rn", *names))
 
 
-def _known_around_blocks(o: Ordered, numbered: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per block: row offset, last known value before it and first known value after it."""
-    stats = [F.count("*").alias("__rows")]
-    for c in cols:
-        pair = F.when(F.col(c).isNotNull(), F.struct(F.col("__rn").alias("r"), F.col(c).alias("v")))
-        stats += [F.min(pair).alias(f"__f_{c}"), F.max(pair).alias(f"__t_{c}")]
-    per = numbered.groupBy(KEY, BLK).agg(*stats)
+def _known_around_blocks(o: Ordered, cols: Sequence[str], limit: int) -> DataFrame:
+    """Per block: nearest known value within ``limit`` rows before it and first known after it.
+
+    Positions are relative to the block's own row numbers.  Only map-side combined
+    aggregates and the missing rows are shuffled, never the table.
+    """
+    at = F.struct(*o.order)
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct(*o.order, F.col(c).alias("__v")))).alias(f"__f_{c}") for c in cols]
+    per = o.df.groupBy(KEY, BLK).agg(F.count("*").alias("__rows"), *firsts)
+    holes = o.df.filter(F.greatest(*[F.col(c).isNull() for c in cols], F.lit(False))).withColumn("__hole", F.lit(True))
+
+    def leads(c: str) -> Column:
+        first = F.struct(*[F.col(f"__f_{c}")[x].alias(x) for x in o.order])
+        return F.count(F.when(F.col("__hole") & F.col(c).isNull() & (at < first), 1)).alias(f"__d_{c}")
+
+    kept = [F.first(c).alias(c) for c in ("__rows", *[f"__f_{c}" for c in cols])]
+    per = per.join(holes, [KEY, BLK], "left").groupBy(KEY, BLK).agg(*kept, *[leads(c) for c in cols])
     before = Window.partitionBy(KEY).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(KEY).orderBy(F.col(BLK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("__off", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-
-    def placed(name: str) -> Column:
-        s = F.col(name)
-        return F.when(s.isNotNull(), F.struct(s["v"].alias("v"), (s["r"] + F.col("__off")).alias("r")))
-
-    per = per.withColumns({f"__cp_{c}": F.last(placed(f"__t_{c}"), ignorenulls=True).over(before) for c in cols})
-    per = per.withColumns({f"__cn_{c}": F.last(placed(f"__f_{c}"), ignorenulls=True).over(after) for c in cols})
-    return per.select(KEY, BLK, "__off", *[f"__{t}_{c}" for t in ("cp", "cn") for c in cols])
+    following = {}
+    for c in cols:
+        place = F.col("__off") + F.col(f"__d_{c}") + 1
+        first = F.when(F.col(f"__f_{c}").isNotNull(), F.struct(F.col(f"__f_{c}")["__v"].alias("v"), place.alias("r")))
+        following[f"__cn_{c}"] = F.last(first, ignorenulls=True).over(after)
+    per = per.withColumns(following).join(_preceding_rows(o, cols, limit), [KEY, BLK], "left")
+    out = [F.col(KEY), F.col(BLK)]
+    for c in cols:
+        back = F.array_position(F.transform("__prev", lambda s: s[c].isNotNull()), F.lit(True))
+        nearest = F.struct(F.get("__prev", (back - 1).cast("int"))[c].alias("v"), (F.lit(1) - back).cast("int").alias("r"))
+        n = F.col(f"__cn_{c}")
+        later = F.struct(n["v"].alias("v"), (n["r"] - F.col("__off")).cast("int").alias("r"))
+        out += [F.when(back > 0, nearest).alias(f"__cp_{c}"), F.when(n.isNotNull(), later).alias(f"__cn_{c}")]
+    return per.select(*out)
 
 
 # ---------------------------------------------------------------- running totals and ranks
