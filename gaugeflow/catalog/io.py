@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeflow.catalog.ordered_rows import ORDER, features_of
+from gaugeflow.catalog.ordered_rows import FEATURES_CTE, ORDER, features_of
 from gaugeflow.catalog.registry import query, r, rounded
 from gaugeflow.operators import cleaning, evaluation, features, supervised
 from gaugeflow.session import scratch_path
@@ -73,7 +73,12 @@ def _(t):
     return delimited.read_table(t.spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
-@query("write_stage_tables")
+@query(
+    "write_stage_tables",
+    f"WITH {FEATURES_CTE}, k AS (SELECT event_type, ts, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM f WHERE lag6 IS NOT NULL) "
+    "SELECT event_type, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS stage, "
+    "count(*) AS n, min(ts) AS first_ts FROM k GROUP BY ALL",
+)
 def _(t):
     folder = scratch_path(t.spark, "stages")
     feat = features_of(t)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeflow.catalog.aggregates import DIST2
 from gaugeflow.catalog.ordered_rows import ORDER, features_of
 from gaugeflow.catalog.registry import VECTORS_SQL, query, rounded
 from gaugeflow.functions import scalar
@@ -125,11 +126,29 @@ def _(t):
     return supervised.predict(clustering.fit_hierarchical(df, VCOLS, micro=60), df).select("vec_id", "prediction")
 
 
-@query("cluster_metrics")
+SCALED_SQL = (
+    VECTORS_SQL.replace("v AS (", "raw AS (")
+    + ", v AS (SELECT vec_id, label, "
+    + ", ".join(f"(e{i} - avg(e{i}) OVER ()) / stddev_pop(e{i}) OVER () AS e{i}" for i in range(4))
+    + " FROM raw)"
+)
+
+
+@query(
+    "cluster_metrics",
+    f"WITH {SCALED_SQL}, d AS (SELECT a.vec_id, a.label AS c, b.label AS o, sum(sqrt({DIST2})) AS s, count(*) AS n FROM v a, v b GROUP BY ALL), "
+    "k AS (SELECT vec_id, max(CASE WHEN c = o AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN c <> o THEN s / n END) AS b FROM d GROUP BY vec_id), "
+    "m AS (SELECT label, avg(e0) AS e0, avg(e1) AS e1, avg(e2) AS e2, avg(e3) AS e3 FROM v GROUP BY label), "
+    f"sp AS (SELECT a.label, avg(sqrt({DIST2})) AS s FROM v a JOIN m b USING (label) GROUP BY a.label), "
+    f"w AS (SELECT a.label, max((sa.s + sb.s) / sqrt({DIST2})) AS worst FROM m a JOIN m b ON a.label <> b.label "
+    "JOIN sp sa ON sa.label = a.label JOIN sp sb ON sb.label = b.label GROUP BY a.label) "
+    "SELECT (SELECT count(DISTINCT label) FROM v) AS n_clusters, 0::DOUBLE AS noise_ratio, "
+    "(SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) FROM k) AS silhouette_score, (SELECT round(avg(worst), 5) FROM w) AS davies_bouldin_index",
+)
 def _(t):
     return rounded(
         clustering.cluster_metrics(t.vectors(), "label", ["e0", "e1", "e2", "e3"], "vec_id"),
-        "silhouette_score", "davies_bouldin_index", "noise_ratio",
+        "silhouette_score", "davies_bouldin_index", "noise_ratio", digits=5,
     )
 
 
@@ -190,7 +209,17 @@ def _(t):
     return rounded(model.history_frame(t.spark), "train_loss", "val_loss")
 
 
-@query("standardize_train_only")
+LINES_SQL = """k AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, month(l_shipdate)::DOUBLE AS month,
+  row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn, count(*) OVER () AS n FROM lineitem),
+train AS (SELECT * FROM k WHERE rn <= floor(n * 0.7::DOUBLE)), test AS (SELECT * FROM k WHERE rn > floor(n * 0.85::DOUBLE))"""
+
+
+@query(
+    "standardize_train_only",
+    f"WITH {LINES_SQL} SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"round(({c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train), 6) + 0.0 AS {c}" for c in LINE)
+    + " FROM test",
+)
 def _(t):
     train, test = _lines(t)
     out = scaling.standardize(test.select("l_orderkey", "l_linenumber", *LINE), LINE, fit_on=train)

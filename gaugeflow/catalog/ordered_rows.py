@@ -84,15 +84,15 @@ def _(t):
     return out.select("event_id", F.col("rank").cast("long").alias("rank"), "ordered_value", r("theoretical").alias("theoretical"))
 
 
-FEATURES_SQL = f"""WITH {SERIES_SQL.replace("-200.0", "NULL")}, {FILL_SQL},
+FEATURES_CTE = f"""{SERIES_SQL.replace("-200.0", "NULL")}, {FILL_SQL},
 d AS (SELECT * FROM c WHERE x IS NOT NULL),
 f AS (SELECT event_type, event_id, ts, x, CAST(hour(ts) AS INT) AS hr, CAST(isodow(ts) - 1 AS INT) AS dow,
   CAST((month(ts) % 12) // 3 AS INT) AS season, CAST(x > 120 AS INT) AS high,
   lag(x, 1) OVER w AS lag1, lag(x, 3) OVER w AS lag3, lag(x, 6) OVER w AS lag6,
   avg(x) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS r3,
   avg(x) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS r6
-  FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
-SELECT event_type, event_id, round(x, 6) AS x, hr, dow, season, high, round(sin(2 * pi() * hr / 24), 6) + 0.0 AS hs,
+  FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"""
+FEATURES_SQL = f"""WITH {FEATURES_CTE} SELECT event_type, event_id, round(x, 6) AS x, hr, dow, season, high, round(sin(2 * pi() * hr / 24), 6) + 0.0 AS hs,
   round(lag1, 6) AS lag1, round(lag3, 6) AS lag3, round(lag6, 6) AS lag6, round(r3, 6) AS r3, round(r6, 6) AS r6
 FROM f WHERE lag6 IS NOT NULL"""
 
