@@ -47,6 +47,6 @@ def _(t):
     for _ in range(2):
         seen.write.mode("append").parquet(landing)
     rows = t.spark.readStream.schema(seen.schema).parquet(landing)
-    kept = ps.first_observations(rows, "ts", ["user_id", "event_type", "value"], "1000 days")
+    kept = ps.first_observations(rows, "ts", ["user_id", "event_type", "value"], "1 hour")
     out = ps.drain(kept, scratch_path(t.spark, "kept"), scratch_path(t.spark, "offsets"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

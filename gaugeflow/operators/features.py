@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from gaugeflow.functions import scalar
 from gaugeflow.operators.cleaning import numeric_columns
 from gaugeflow.plans import defaults
-from gaugeflow.plans.ordered import Ordered, keys_at_rank, order_rows, with_prior, with_rank
+from gaugeflow.plans.ordered import Ordered, block_rows_of, keys_at_rank, order_rows, with_prior, with_rank
+
+SMALLEST_CUT_BLOCK = 20_000
 
 
 def calendar_features(df: DataFrame, ts_col: str = defaults.TIME) -> DataFrame:
@@ -146,6 +148,8 @@ def chronological_split(
         keys = df.select(*order_cols)
         n = keys.count()
         ends = [int(n * r) for r in ratios]
+        # only the blocks that hold a cut are sorted, so small blocks pay even on small tables
+        block_rows = min(block_rows_of(df, block_rows), max(SMALLEST_CUT_BLOCK, n // 32))
         o = order_rows(keys, order_cols, block_rows=block_rows, rows=n)
         cuts = keys_at_rank(o, [min(e, n - 1) for e in ends]) if n else [None, None]
         key = F.struct(*order_cols)

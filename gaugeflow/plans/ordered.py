@@ -330,13 +330,13 @@ def keys_at_rank(o: Ordered, positions: Sequence[int]) -> list[Column]:
         for blk, size in sorted((r[BLK], r["count"]) for r in o.df.groupBy(BLK).count().collect()):
             inside |= {p: (blk, p - before) for p in positions if before <= p < before + size}
             before += size
-    keys = o.df.select(block.alias("__b"), F.struct(*o.order).alias("__k"))
+    keys = o.df.select(block.alias("__b"), *o.order)
     keys = keys.filter(F.col("__b").isin(sorted({b for b, _ in inside.values()})))
-    numbered = keys.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy("__k")))
-    hit = F.struct("__b", (F.col("__rn") - 1).alias("p")).isin(
-        [F.struct(F.lit(b), F.lit(p)) for b, p in set(inside.values())]
-    )
-    rows = numbered.filter(hit).select("__b", "__rn", F.to_json("__k", _JSON_TIME).alias("k")).collect()
+    numbered = keys.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*o.order)))
+    hit = F.lit(False)
+    for b, at in set(inside.values()):
+        hit = hit | ((F.col("__b") == b) & (F.col("__rn") == at + 1))
+    rows = numbered.filter(hit).select("__b", "__rn", F.to_json(F.struct(*o.order), _JSON_TIME).alias("k")).collect()
     found = {(r["__b"], r["__rn"] - 1): r["k"] for r in rows}
     schema = o.df.select(*o.order).schema
     return [F.from_json(F.lit(found[inside[p]]), schema, _JSON_TIME) for p in positions]
