@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeflow.functions import scalar
 from gaugeflow.functions.distributions import chi2_p, f_p, student_p
@@ -25,9 +26,13 @@ def exact_median(df: DataFrame, col: str, *, block_rows: int | None = None) -> C
 def split_high_low(
     df: DataFrame, group_col: str, name: str = "half", *, block_rows: int | None = None
 ) -> DataFrame:
-    """``high`` at or above the median of ``group_col``, ``low`` below, missing if unknown."""
-    median = exact_median(df, group_col, block_rows=block_rows)
-    g = F.col(group_col)
+    """``high`` at or above the median of ``group_col``, ``low`` below, missing if unknown.
+
+    Text in ``group_col`` is read as numbers.
+    """
+    text = isinstance(df.schema[group_col].dataType, T.StringType)
+    g = scalar.coerce_number(group_col) if text else F.col(group_col)
+    median = exact_median(df.select(g.alias("g")), "g", block_rows=block_rows)
     return df.withColumn(name, F.when(g >= median, F.lit("high")).when(g < median, F.lit("low")))
 
 

@@ -66,9 +66,14 @@ class Run:
         return tables.read_stage_tables(df.sparkSession, self.folder, [name])[name]
 
     def prepare(self, raw: DataFrame) -> dict[str, DataFrame]:
-        """Cleaned rows, features, and the chronological train, val and test tables."""
+        """Cleaned rows, features, and the chronological train, val and test tables.
+
+        The parsed input is stored first: later passes read single columns of it instead
+        of the text again.
+        """
         common = dict(order_cols=self.order, partition_cols=self.series, block_rows=self.block_rows)
-        out = {"cleaned": self._store("cleaned", cleaning.clean_series(raw, **common))}
+        parsed = self._store("raw", cleaning.drop_missing_key(cleaning.parse_datetime(raw)))
+        out = {"cleaned": self._store("cleaned", cleaning.clean_series(parsed, **common))}
         feat = features.feature_frame(out["cleaned"], threshold=self.threshold, **common)
         out["features"] = self._store("features", feat)
         split = features.chronological_split(out["features"], self.order, block_rows=self.block_rows)

@@ -98,6 +98,11 @@ def test_welch(spark):
         assert r["p_value"] == pytest.approx(dist.student_two_sided(r["t_statistic"], r["degrees_of_freedom"]))
 
 
+def test_halves_of_text_numbers(spark):
+    df = spark.createDataFrame([("1,5",), ("2",), ("10",), ("x",)], "t string")
+    assert [r["half"] for r in hypothesis.split_high_low(df, "t").collect()] == ["low", "high", "high", None]
+
+
 def test_anova(spark):
     df = spark.createDataFrame([(g, x) for g, xs in (("a", (1.0, 2, 3)), ("b", (2.0, 4, 6)), ("c", (5.0, 5, 8))) for x in map(float, xs)] + [("a", None)], "g string, v double")
     r = hypothesis.anova_oneway(df, "v", "g").first()
