@@ -123,8 +123,8 @@ def _(t):
 AREAS = """g AS (SELECT model, p, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY model, p),
 k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS np, sum(neg) OVER (PARTITION BY model) AS nn
   FROM g WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
-areas AS (SELECT model, round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg))::DOUBLE, 6) AS roc_auc,
-  round(sum(pos * (tp / (tp + fp))) / sum(pos), 6) AS pr_auc FROM k GROUP BY model)"""
+areas AS (SELECT model, round(sum(neg * (tp - pos / 2)) / nullif(sum(pos) * sum(neg), 0)::DOUBLE, 6) AS roc_auc,
+  CASE WHEN sum(pos) > 0 THEN round(sum(pos * (tp / (tp + fp))) / sum(pos), 6) ELSE 0 END AS pr_auc FROM k GROUP BY model)"""
 LOSS = "avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END)"
 
 
@@ -151,7 +151,7 @@ def _(t):
 
 @query(
     "roc_curve",
-    f"WITH {SCORES_SQL}, {AREAS} SELECT model, round(p, 9) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM k "
+    f"WITH {SCORES_SQL}, {AREAS} SELECT model, round(p, 9) AS threshold, round(fp / nullif(nn, 0), 6) AS fpr, round(tp / nullif(np, 0), 6) AS tpr FROM k "
     "UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM sc",
 )
 def _(t):
@@ -161,7 +161,7 @@ def _(t):
 
 @query(
     "pr_curve",
-    f"WITH {SCORES_SQL}, {AREAS} SELECT model, round(p, 9) AS threshold, round(tp / (tp + fp), 6) AS \"precision\", round(tp / np, 6) AS recall FROM k "
+    f"WITH {SCORES_SQL}, {AREAS} SELECT model, round(p, 9) AS threshold, round(tp / (tp + fp), 6) AS \"precision\", coalesce(round(tp / nullif(np, 0), 6), 1) AS recall FROM k "
     "UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1::DOUBLE, 0::DOUBLE FROM sc",
 )
 def _(t):

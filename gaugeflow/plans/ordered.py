@@ -127,11 +127,14 @@ def _block_number(df: DataFrame, fields: Sequence[str], splits: list[dict]) -> C
 def points_at_or_below(points: Column, n_points: int, value: Column) -> Column:
     """How many entries of a sorted literal array are <= ``value``, by bitwise descent."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n_points.bit_length())))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(F.get(points, pos + step - 1) <= value, pos + step).otherwise(pos),
-    )
+
+    def search(v: Column) -> Column:
+        return F.aggregate(
+            steps, F.lit(0), lambda pos, step: F.when(F.get(points, pos + step - 1) <= v, pos + step).otherwise(pos)
+        )
+
+    # bound once as a lambda variable, or the key struct would be rebuilt at every step
+    return F.get(F.transform(F.array(value), search), F.lit(0))
 
 
 # ---------------------------------------------------------------- finite look-back
