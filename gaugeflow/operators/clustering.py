@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.kernels import tile_distance_sums, ward_labels
-from gaugeflow.operators.scaling import scaler_stage, spread
+from gaugeflow.operators.describe import cluster_counts
+from gaugeflow.operators.scaling import scaler_stage, spread, standardize
 from gaugeflow.plans import defaults
 
 
@@ -189,20 +190,20 @@ def davies_bouldin(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> Data
     return per.select(F.array_max(ratios).alias("worst")).agg(F.avg("worst").alias("davies_bouldin_index"))
 
 
-def cluster_metrics(df: DataFrame, cluster_col: str, cols: Sequence[str], id_col: str) -> DataFrame:
+def cluster_metrics(
+    df: DataFrame, cluster_col: str, cols: Sequence[str], id_col: str, *, squared: bool = False
+) -> DataFrame:
     """Silhouette, Davies-Bouldin, cluster count and noise share on scaled columns.
 
-    The two quality measures are missing below two non-noise clusters.
+    The two quality measures are missing below two non-noise clusters.  ``squared``
+    takes the linear-time silhouette for tables too large for the quadratic one.
     """
-    from gaugeflow.operators.describe import cluster_counts
-    from gaugeflow.operators.scaling import standardize
-
     scaled = standardize(df.select(id_col, cluster_col, *cols), cols)
-    counts = cluster_counts(df, cluster_col)
+    shape = silhouette_sq(scaled, cluster_col, cols) if squared else silhouette(scaled, cluster_col, cols, id_col)
     enough = F.col("n_clusters") >= 2
-    return counts.withColumns(
+    return cluster_counts(df, cluster_col).withColumns(
         {
-            "silhouette_score": F.when(enough, silhouette(scaled, cluster_col, cols, id_col).scalar()),
+            "silhouette_score": F.when(enough, shape.scalar()),
             "davies_bouldin_index": F.when(enough, davies_bouldin(scaled, cluster_col, cols).scalar()),
         }
     )

@@ -111,7 +111,7 @@ def running_totals(
         F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg")
     )
     per_score = per_score.withColumn("__desc", -F.col("score"))
-    o = order_rows(per_score, ["__desc"], group_cols, block_rows=block_rows, rows=df.count(), checkpoint=True)
+    o = order_rows(per_score, ["__desc"], group_cols, block_rows=block_rows, rows=df.count())
     return running_sums(o, {"tp": "pos", "fp": "neg"}, {"n_pos": "pos", "n_neg": "neg"})
 
 

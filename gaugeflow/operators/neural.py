@@ -26,7 +26,7 @@ from gaugeflow.plans import defaults
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 200
-SLOTS = 32  # weight vectors that may reach the driver per epoch
+SLOTS = 32  # weight vectors merged by one task, or by the driver
 EPS = 1e-15
 
 
@@ -199,7 +199,7 @@ def _averaged_epoch(rows: DataFrame, shape: Shape, flat: np.ndarray, rate: float
         part = TaskContext.get().partitionId()
         batches = ((np.stack(f["x"].to_numpy()), f["y"].to_numpy()) for f in frames if len(f))
         n, fitted = _epoch(batches, shape, flat, rate, alpha, seed * 100_003 + part)
-        yield pd.DataFrame({"slot": [part % SLOTS], "n": [n], "w": [fitted.tobytes()]})
+        yield pd.DataFrame({"slot": [part], "n": [n], "w": [fitted.tobytes()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(n * np.frombuffer(w) for n, w in zip(pdf["n"], pdf["w"]))
@@ -207,9 +207,10 @@ def _averaged_epoch(rows: DataFrame, shape: Shape, flat: np.ndarray, rate: float
         return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "n": [n], "w": [(total / max(n, 1)).tobytes()]})
 
     schema = "slot int, n long, w binary"
-    parts = rows.mapInPandas(train, schema)
-    if rows.rdd.getNumPartitions() > SLOTS:
-        parts = parts.filter("n > 0").groupBy("slot").applyInPandas(merge, schema)
+    parts, vectors = rows.mapInPandas(train, schema), rows.rdd.getNumPartitions()
+    while vectors > SLOTS:  # a task merges at most SLOTS vectors
+        parts = parts.withColumn("slot", F.floor(F.col("slot") / SLOTS).cast("int"))
+        parts, vectors = parts.groupBy("slot").applyInPandas(merge, schema), -(-vectors // SLOTS)
     got = [(r["n"], np.frombuffer(bytes(r["w"]))) for r in parts.collect() if r["n"]]
     return sum(n * w for n, w in got) / sum(n for n, _ in got)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import scalar
+from gaugeflow.session import has_shuffle
 
 
 def scaler_stats(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -41,6 +42,8 @@ def scaler_stage(train: DataFrame, cols: Sequence[str], prefix: str = "z_") -> S
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for repeated passes over an input that came in few partitions."""
+    """Use every core for repeated passes over files that come in few splits."""
+    if has_shuffle(df):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.session import cut_lineage
+from gaugeflow.session import cut_lineage, has_shuffle
 
 KEY = "__key"
 BLK = "__blk"
@@ -83,20 +83,19 @@ def order_rows(
     *,
     block_rows: int | None = None,
     rows: int | None = None,
-    checkpoint: bool = False,
 ) -> Ordered:
     """Give ``df`` a row order; cut it into blocks when it exceeds ``block_rows``.
 
-    ``rows`` is an upper bound of the row count when the caller knows one.  With
-    ``checkpoint`` a blocked frame that is costly to compute is written to the shared
-    folder first, as it is read for the sample, for the summaries and for the result.
+    ``rows`` is an upper bound of the row count when the caller knows one.  A blocked
+    frame that is itself the result of a shuffle is written to the shared folder first,
+    as it is read for the sample, for the summaries and for the result.
     """
     keys, order = tuple(partition_cols), tuple(order_cols)
     limit = block_rows_of(df, block_rows)
     n = df.count() if rows is None else rows
     if n <= limit:
         return Ordered(df, keys, order, False)
-    if checkpoint:
+    if has_shuffle(df):
         df = cut_lineage(df)
     n_blocks = min(MAX_BLOCKS, math.ceil(n / limit))
     fields = [*keys, *order]

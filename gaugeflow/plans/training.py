@@ -27,6 +27,7 @@ from gaugeflow.operators import (
     supervised,
 )
 from gaugeflow.plans import defaults
+from gaugeflow.plans.ordered import order_rows, with_rank
 from gaugeflow.sources import tables
 
 
@@ -56,10 +57,11 @@ class Run:
         partition_cols: Sequence[str] = (),
         threshold: float = defaults.REGULATORY_THRESHOLD,
         block_rows: int | None = None,
+        squared_silhouette: bool = False,
     ):
         self.folder, self.sizes = folder, sizes or Sizes()
         self.order, self.series = list(order_cols), list(partition_cols)
-        self.threshold, self.block_rows = threshold, block_rows
+        self.threshold, self.block_rows, self.squared = threshold, block_rows, squared_silhouette
 
     def _store(self, name: str, df: DataFrame) -> DataFrame:
         tables.write_stage_tables({name: df}, self.folder)
@@ -167,7 +169,8 @@ class Run:
     def cluster(self, feat: DataFrame) -> dict[str, DataFrame]:
         """Four clusterings of the sensor and environment columns over all rows."""
         cols = [c for c in (*defaults.SENSOR_COLUMNS, *defaults.ENVIRONMENT_COLUMNS) if c in feat.columns]
-        keyed = feat.withColumn("row_id", F.xxhash64(*self.order, *self.series))
+        ordered = order_rows(feat, [*self.order, *self.series], block_rows=self.block_rows)
+        keyed = self._store("clustered_rows", with_rank(ordered, "row_id").result())
         fitted = {
             "kmeans": clustering.fit_kmeans(feat, cols, **self.sizes.kmeans),
             "gmm": clustering.fit_gmm(feat, cols, **self.sizes.gmm),
@@ -182,7 +185,7 @@ class Run:
         metrics = None
         for name, df in labelled.items():
             df = self._store(f"clusters_{name}", df)
-            one = clustering.cluster_metrics(df, "cluster", cols, "row_id").withColumn("model", F.lit(name))
+            one = clustering.cluster_metrics(df, "cluster", cols, "row_id", squared=self.squared).withColumn("model", F.lit(name))
             metrics = one if metrics is None else metrics.unionByName(one)
             labelled[name] = df
         profile = describe.cluster_profile(labelled["kmeans"], "cluster", [*cols, defaults.TARGET])

@@ -51,3 +51,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def has_shuffle(df: DataFrame) -> bool:
+    """Whether computing ``df`` shuffles, so that reading it twice is costly."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -87,6 +87,13 @@ def test_mlp(spark, points, task, tmp_path):
     assert again.history_frame(spark).count() == len(model.history)
 
 
+def test_mlp_merges_many_partitions(spark, points, monkeypatch):
+    monkeypatch.setattr(neural, "SLOTS", 3)
+    spread = points.repartition(20)  # 20 -> 7 -> 3 vectors
+    model = neural.fit_mlp(spread, spread, ["a", "b"], "y", hidden=(4,), epochs=1)
+    assert np.isfinite(model.weights).all() and len(model.history) == 1
+
+
 def test_mlp_gradient_is_the_derivative():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(7, 3)), rng.integers(0, 2, 7).astype(float)
@@ -152,6 +159,8 @@ def test_quality_measures(blobs):
     z = (x - x.mean(0)) / x.std(0)
     assert r["silhouette_score"] == pytest.approx(brute_silhouette(z, c, False))
     assert (r["n_clusters"], r["noise_ratio"]) == (3, pytest.approx(1 / 300))
+    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id", squared=True).first()
+    assert r["silhouette_score"] == pytest.approx(brute_silhouette(z, c, True))
 
 
 def test_quality_is_missing_below_two_clusters(blobs):
