@@ -8,7 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.kernels import components, distances
@@ -36,6 +36,8 @@ def dbscan(
     cells no narrower than eps over the leading columns, and a full cell is cut into
     chunks, so one task compares two chunks of at most about ``tile_rows`` sites each.
     A task returns neighbour counts and the links of a spanning forest, not pairs.
+    A crowded spot (a box of diagonal eps with enough points) needs no comparisons of its
+    own: its points are all core and all linked.
     Clusters are numbered by their least core id; a border point takes the lowest
     cluster number among its core neighbours.
     """
@@ -45,7 +47,8 @@ def dbscan(
         rows = standardize(rows, cols)
     rows = rows.withColumn("__x", F.array(*cols))
     merged = rows.groupBy(F.col("__x").alias("x")).agg(F.min(id_col).alias("pid"), F.count("*").alias("wt"))
-    sites = cut_lineage(_with_tiles(merged, min(GRID_DIMS, len(cols)), eps, tile_rows))
+    spotted = cut_lineage(_with_spots(merged, len(cols), eps, min_samples, tile_rows))
+    sites = cut_lineage(_with_tiles(spotted, min(GRID_DIMS, len(cols)), eps, tile_rows))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
@@ -57,8 +60,9 @@ def dbscan(
 
     tiles = sites.select("pid", "x", "wt", F.explode("tiles").alias("t")).select("pid", "x", "wt", "t.*")
     near = _both_sides(tiles).groupBy("lo", "hi").applyInPandas(count, "pid long, near long")
-    core = near.groupBy("pid").agg((F.sum("near") >= min_samples).alias("is_core"))
-    core = cut_lineage(core)
+    counted = near.groupBy("pid").agg(F.sum("near").alias("near"))
+    enough = F.col("spot").isNotNull() | (F.coalesce("near", F.lit(0)) >= min_samples)
+    core = cut_lineage(sites.select("pid", "spot").join(counted, "pid", "left").select("pid", enough.alias("is_core")))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
@@ -66,8 +70,9 @@ def dbscan(
         return _links(left, right, near, same)
 
     marked = tiles.join(core, "pid")
+    within = sites.filter("pid <> spot").select(F.col("pid").alias("a"), F.col("spot").alias("b"), F.lit(False).alias("border"))
     links = cut_lineage(
-        _both_sides(marked).groupBy("lo", "hi").applyInPandas(link, "a long, b long, border boolean")
+        _both_sides(marked).groupBy("lo", "hi").applyInPandas(link, "a long, b long, border boolean").union(within)
     )
     comps = cut_lineage(connected_components(links.filter(~F.col("border")).select("a", "b")))
     cores = core.filter("is_core").select("pid")
@@ -85,6 +90,19 @@ def dbscan(
     )
 
 
+def _with_spots(sites: DataFrame, dims: int, eps: float, min_samples: int, tile_rows: int) -> DataFrame:
+    """Mark sites of a crowded spot with its least id; other sites have none."""
+    width = eps / math.sqrt(dims) * (1 - 1e-9)
+    box = F.transform("x", lambda v: F.floor(v / width))
+    boxed = sites.withColumn("box", box)
+    crowded = (
+        boxed.groupBy("box")
+        .agg(F.count("*").alias("n"), F.sum("wt").alias("w"), F.min("pid").alias("spot"))
+        .filter((F.col("n") >= tile_rows) & (F.col("w") >= min_samples))
+    )
+    return boxed.join(crowded.select("box", "spot"), "box", "left").drop("box")
+
+
 def _with_tiles(sites: DataFrame, dims: int, eps: float, tile_rows: int) -> DataFrame:
     """Sites with the tiles (pairs of chunks) they take part in.
 
@@ -97,36 +115,40 @@ def _with_tiles(sites: DataFrame, dims: int, eps: float, tile_rows: int) -> Data
     widths = [max(eps, (spans[f"s{d}"] or 0.0) / per_dim) * (1 + 1e-9) for d in range(dims)]
     cell = F.struct(*[F.floor(a / w).alias(f"c{d}") for d, (a, w) in enumerate(zip(at, widths))])
     placed = sites.withColumn("cell", cell)
-    cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
+    units = placed.groupBy("cell", "spot").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
     offsets = [
         F.struct(*[(F.col(f"cell.c{d}") + step[d]).alias(f"c{d}") for d in range(dims)])
         for step in product((-1, 0, 1), repeat=dims)
     ]
-    around = cells.select("cell", "chunks", F.explode(F.array(*offsets)).alias("nb"))
-    known = cells.select(F.col("cell").alias("nb"), F.col("chunks").alias("nb_chunks"))
-    around = (
-        around.join(known, "nb")
-        .groupBy("cell", "chunks")
-        .agg(F.collect_list(F.struct("nb", "nb_chunks")).alias("around"))  # at most 3^dims entries
-    )
+    # at most 3^dims cells, each with its ordinary sites and its crowded spots
+    held = units.groupBy("cell").agg(F.collect_list(F.struct("cell", "spot", "chunks")).alias("units"))
+    around = held.select("cell", F.explode(F.array(*offsets)).alias("nb"))
+    around = around.join(held.select(F.col("cell").alias("nb"), "units"), "nb")
+    around = around.groupBy("cell").agg(F.flatten(F.collect_list("units")).alias("around"))
     placed = placed.join(around, "cell")
-    own = F.struct(F.col("cell"), F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int").alias("chunk"))
-    placed = placed.withColumn("own", own)
 
-    def chunk_tiles(nb):
+    mine = F.get(
+        F.filter("around", lambda u: (u["cell"] == F.col("cell")) & u["spot"].eqNullSafe(F.col("spot"))), F.lit(0)
+    )
+    chunk = F.pmod(F.xxhash64("pid"), mine["chunks"]).cast("int")
+    placed = placed.withColumn("own", F.struct("cell", "spot", chunk.alias("chunk")))
+
+    def chunks_of(u: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), nb["nb_chunks"] - 1), lambda k: F.struct(nb["nb"].alias("cell"), k.alias("chunk"))
+            F.sequence(F.lit(0), u["chunks"] - 1),
+            lambda k: F.struct(u["cell"].alias("cell"), u["spot"].alias("spot"), k.alias("chunk")),
         )
 
+    others = F.filter("around", lambda u: F.col("spot").isNull() | ~u["spot"].eqNullSafe(F.col("spot")))
     pairs = F.transform(
-        F.flatten(F.transform("around", chunk_tiles)),
+        F.flatten(F.transform(others, chunks_of)),
         lambda other: F.struct(
             F.least(F.col("own"), other).alias("lo"),
             F.greatest(F.col("own"), other).alias("hi"),
             (F.col("own") <= other).alias("left"),
         ),
     )
-    return placed.select("pid", "x", "wt", pairs.alias("tiles"))
+    return placed.select("pid", "x", "wt", "spot", pairs.alias("tiles"))
 
 
 def _both_sides(tiles: DataFrame) -> DataFrame:

@@ -214,6 +214,18 @@ def test_dbscan_against_brute_force(spark, dims, eps, tile):
     assert len(set(label)) > 2
 
 
+def test_dbscan_crowded_spots(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(150, 2)) * 0.02, rng.normal(size=(80, 2)) * 0.02 + [0.5, 0], rng.uniform(-2, 2, (60, 2))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", "a", "b"])
+    merged = df.select(F.array("a", "b").alias("x"), F.col("id").alias("pid"), F.lit(1).alias("wt"))
+    spots = density._with_spots(merged, 2, 0.3, 5, 20).filter("spot IS NOT NULL").groupBy("spot").count().collect()
+    assert len(spots) >= 2 and sum(r["count"] for r in spots) > 200
+    out = density.dbscan(df, ["a", "b"], "id", eps=0.3, min_samples=5, tile_rows=20).toPandas().sort_values("id")
+    core, label = brute_dbscan(x, 0.3, 5)
+    assert (out["is_core"].to_numpy() == core).all() and (out["label"].to_numpy() == label).all()
+
+
 def test_dbscan_all_noise(spark):
     df = spark.createDataFrame([(i, float(i * 100)) for i in range(20)], "id long, x double")
     out = density.dbscan(df, ["x"], "id", eps=1.0, min_samples=2)
