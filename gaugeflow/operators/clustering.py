@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
@@ -18,6 +20,8 @@ from gaugeflow.operators.describe import cluster_counts
 from gaugeflow.operators.scaling import scaler_stage, spread, standardize
 from gaugeflow.plans import defaults
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
 
 def _scaled(df: DataFrame, cols: Sequence[str]) -> list:
     vector = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from gaugeflow.plans.graph import connected_components
 from gaugeflow.plans.ordered import order_rows, with_rank
 from gaugeflow.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
 GRID_DIMS = 3
 
 
