@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, quality
+from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, packing, quality
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,6 +16,16 @@ _GAP = r"[\x20\x09-\x0D]+"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+#: Longest sequence, and the id that ends a document.
+CAPACITY, END_ID = 4096, 1
+
+
+@query("op2_best_fit_packing")
+def op2(docs: DataFrame) -> DataFrame:
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
+    return packing.packed(pieces, CAPACITY)
+
+
 @query("op3_byte_bpe")
 def op3(docs: DataFrame) -> DataFrame:
     made = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
