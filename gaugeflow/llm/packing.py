@@ -196,6 +196,7 @@ class Plan:
         self.open: dict[int, list[tuple[int, int]]] = {}  # room left -> [first, end) of sequences
         self.rooms: list[int] = []  # keys of self.open, ascending
         self.n_sequences = 0
+        self.lengths = sorted(x for x, n in counts.items() if n and x < capacity)
 
     def place(self, length: int, first: int, n: int, offset: int) -> None:
         """Ranks of a length, one in each of ``n`` sequences from ``first``."""
@@ -210,26 +211,48 @@ class Plan:
                 bisect.insort(self.rooms, room)
             self.open[room].append((first, end))
 
+    def longest(self, room: int) -> int:
+        """The longest length still left that fits, or 0."""
+        while True:
+            i = bisect.bisect_right(self.lengths, room)
+            if not i or self.left[self.lengths[i - 1]]:
+                return self.lengths[i - 1] if i else 0
+            del self.lengths[i - 1]
+
     def fill(self, config: tuple, groups: list[list[int]], n: int) -> None:
-        """``n`` new sequences of one configuration; slots take the longest lengths still left."""
+        """``n`` new sequences of one configuration.
+
+        Each slot takes its group's longest lengths still left. The last one, and whatever room
+        remains because slots were counted at their group's greatest length, takes the longest
+        lengths that fit.
+        """
         parts = [(self.n_sequences, self.n_sequences + n, 0)]
         self.n_sequences += n
-        for g in reversed(range(len(config))):
-            for _ in range(config[g]):
-                after = []
-                for first, end, used in parts:
-                    while first < end:
-                        length = next((x for x in groups[g] if self.left[x]), 0)
-                        if not length:
-                            after.append((first, end, used))
-                            break
-                        k = min(end - first, self.left[length])
-                        self.place(length, first, k, used)
-                        after.append((first, first + k, used + length))
-                        first += k
-                parts = after
-        for first, end, used in parts:
-            self.keep(self.capacity - used, first, end)
+        slots = [g for g in reversed(range(len(config))) for _ in range(config[g])]
+        for g in slots[:-1]:
+            after = []
+            for first, end, used in parts:
+                while first < end:
+                    length = next((x for x in groups[g] if self.left[x]), 0)
+                    if not length:
+                        after.append((first, end, used))
+                        break
+                    k = min(end - first, self.left[length])
+                    self.place(length, first, k, used)
+                    after.append((first, first + k, used + length))
+                    first += k
+            parts = after
+        while parts:
+            first, end, used = parts.pop()
+            length = self.longest(self.capacity - used)
+            if not length:
+                self.keep(self.capacity - used, first, end)
+                continue
+            k = min(end - first, self.left[length])
+            self.place(length, first, k, used)
+            parts.append((first, first + k, used + length))
+            if first + k < end:
+                parts.append((first + k, end, used))
 
     def best_fit(self) -> None:
         """All that is left, longest first, each into the least room that takes it."""
