@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, packing, quality
+from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, ngram_join, packing, quality
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,6 +16,11 @@ _GAP = r"[\x20\x09-\x0D]+"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@query("op1_ngram_jaccard_join")
+def op1(docs: DataFrame) -> DataFrame:
+    return ngram_join.near_duplicates(docs)
+
+
 #: Longest sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
 
