@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, ngram_join, packing, quality
+from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, ngram_join, packing, personal, quality
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -159,6 +159,17 @@ def op8(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("op9_personal_data")
+def op9(docs: DataFrame) -> DataFrame:
+    found = personal.personal_spans(docs)
+    return found.select(
+        "doc_id",
+        *[personal.count_kind(F.col("base"), k).alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 @query(
     "op10_exact_dedup",
     sql="""
