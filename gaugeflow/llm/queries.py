@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, line_dedup, ngram_join, packing, personal, quality
+from gaugeflow.llm import byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,6 +42,12 @@ def op3(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("op5_html_extraction", "pages")
+def op5(pages: DataFrame) -> DataFrame:
+    found = html_text.main_text(pages)
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 _BUCKET = lambda v: f"({v}) // (1 << greatest(length(bin({v})) - 7, 0)) * (1 << greatest(length(bin({v})) - 7, 0))"
 
 
