@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality
+from gaugeflow.llm import byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality, substring_dedup
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,6 +42,11 @@ def op3(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("op4_substring_dedup")
+def op4(docs: DataFrame) -> DataFrame:
+    return substring_dedup.removed_words(docs)
+
+
 @query("op5_html_extraction", "pages")
 def op5(pages: DataFrame) -> DataFrame:
     found = html_text.main_text(pages)
