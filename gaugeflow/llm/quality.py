@@ -10,6 +10,9 @@ from gaugeflow.llm.common import WORD_RE, staged, whole, words
 #: Shape ratios in thousandths, with the least quartile distance assumed for each: groups of very
 #: even texts would else reject harmless deviations.
 METRICS = {"word_length": 150, "symbols": 20, "dup_lines": 120}
+#: A mean over few words strays: the fences of the word length open by this over the root of the
+#: number of words (three standard errors, at a deviation of 2.5 characters between words).
+SAMPLING = 7500.0
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,8 +126,8 @@ def judged(
     """Counts, ``base_failed`` and ``kept`` per row of ``docs``.
 
     A text passes when it does not fail the base rules and each shape ratio lies within the fences
-    of its group: the quartiles plus or minus ``spread`` quartile distances. Fences come from the
-    texts that pass the base rules. A (language, source) group of fewer than ``min_rows`` of them
+    of its group: the quartiles plus or minus ``spread`` quartile distances, for the word length
+    also three standard errors of a mean over so many words. Fences come from the texts that pass the base rules. A (language, source) group of fewer than ``min_rows`` of them
     uses its language's merged sketch, and a language with fewer than that the sketch of all texts.
 
     Missing text is empty and fails; missing language or source counts as a group named ``""``.
@@ -160,7 +163,8 @@ def _verdict(counts: DataFrame, spread: float, min_rows: int) -> DataFrame:
     limits = levels.select("g_lang", "g_source", *[bound(m, b) for m in METRICS for b in ("low", "high")])
     inside = ~F.col("base_failed")
     for m in METRICS:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        slack = SAMPLING / F.sqrt(F.greatest("n_words", F.lit(1))) if m == "word_length" else F.lit(0.0)
+        inside = inside & F.col(m).between(F.col(f"{m}_low") - slack, F.col(f"{m}_high") + slack)
     return counts.join(limits, ["g_lang", "g_source"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(inside, F.lit(False)).alias("kept"),

@@ -100,7 +100,8 @@ p AS (SELECT l, s, max(low) FILTER (metric = 'word_length') AS wl, max(high) FIL
   max(low) FILTER (metric = 'symbols') AS sl, max(high) FILTER (metric = 'symbols') AS sh,
   max(low) FILTER (metric = 'dup_lines') AS dl, max(high) FILTER (metric = 'dup_lines') AS dh FROM f GROUP BY l, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(NOT base_failed AND word_length BETWEEN wl AND wh AND symbols BETWEEN sl AND sh
+  coalesce(NOT base_failed AND word_length BETWEEN wl - {quality.SAMPLING} / sqrt(greatest(n_words, 1))
+    AND wh + {quality.SAMPLING} / sqrt(greatest(n_words, 1)) AND symbols BETWEEN sl AND sh
     AND dup_lines BETWEEN dl AND dh, false) AS kept
 FROM b LEFT JOIN p USING (l, s)"""
 
