@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,13 +62,14 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _split(self, text: str) -> list[str]:
+    def _spaced(self, text: str) -> str:
+        """The text with its words between single spaces."""
         try:
             text.encode("latin-1")
             text = self.LAST_MARK.sub(r" \g<0>", text.lower())
         except UnicodeEncodeError:
             pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -84,20 +87,36 @@ class WordEncoder:
                 self.words[w] = data[at:end]
                 at = end
 
-    def packed(self, texts: list[str], part: int = 500_000) -> Iterator[bytes]:
+    def packed(self, texts: list[str], part: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; texts are taken ``part`` characters at a time."""
         i = 0
         while i < len(texts):
-            chars, split = 0, []
+            chars, some = 0, []
             while i < len(texts) and chars < part:
-                split.append(self._split(texts[i]))
+                some.append(self._spaced(texts[i]))
                 chars += len(texts[i])
                 i += 1
-            if len(self.words) > REMEMBERED:
-                self.words = {"": b""}
-            self._learn(set().union(*split) - self.words.keys())
-            for words in split:
-                yield b"".join(map(self.words.__getitem__, words))
+            yield from self._some(some)
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        """Each distinct word is looked up once; its ids are then copied to all its places."""
+        split = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.words) > REMEMBERED:
+            self.words = {"": b""}
+        self._learn({w for w in words if w not in self.words})
+        ids = [self.words[w] for w in words]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        size_at = size[word]
+        end_at = np.cumsum(size_at)
+        place = np.arange(end_at[-1]) + np.repeat(first[word] - (end_at - size_at), size_at)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[place]
+        bounds = np.concatenate(([0], end_at))[split.offsets.to_numpy()]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield out[a:b].tobytes()
 
 
 def task_encoder(file: str) -> WordEncoder:
