@@ -322,7 +322,8 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
         sizes = np.array([-(-g[0] // UNIT) for g in lengths])
         demand = np.array([float(sum(counts[x] for x in g)) for g in lengths])
         uses = solve(sizes, demand, capacity // UNIT)
-        for config, x in sorted(uses.items(), key=lambda u: (-u[1], u[0])):
+        largest_first = sorted(uses.items(), key=lambda u: u[0][::-1], reverse=True)
+        for config, x in largest_first:
             left = [sum(plan.left[x] for x in g) for g in lengths]
             n = min(int(x + 1e-9), *(left[g] // c for g, c in enumerate(config) if c))
             if n:
