@@ -52,7 +52,7 @@ class Anchors:
         if len(self.known) > self.REMEMBERED:
             self.known = {}
         known = self.known
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = self.hash(w.encode("utf-8", "surrogatepass"))
         ids = np.array([known[w] for w in words], dtype=np.uint64)
         m = len(ids) - self.prefix + 1
@@ -97,7 +97,7 @@ def subtree(group: pd.DataFrame, window: int) -> list[tuple]:
     leaves = []
     for row, doc, first, text in zip(group["row"], group["doc"], group["first"], group["words"]):
         leaves += [(w, doc, row, start) for w, start in windows_of(first, text, window)]
-    leaves.sort()
+    leaves = sorted(set(leaves))  # a repeated row is read as often as it repeats
     later = sorted((b[2], b[3]) for a, b in zip(leaves, leaves[1:]) if a[0] == b[0])
     out: list[list[int]] = []
     for row, start in later:
