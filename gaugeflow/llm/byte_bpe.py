@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no cop
 PART = 100_000
 #: Runs of one kind of character longer than this are matched here, not by the library's regex engine.
 LONG_RUN = 10_000
+#: Rows that a task turns into one batch of results.
+SLICE = 500
 
 
 def load_encoding(rank_file: str, pattern: str):
@@ -108,7 +110,19 @@ def round_trip(
     """``doc_id, ids, decoded``: every whole text encoded, then its ids decoded.
 
     Missing text is empty text and has no ids. Repeated rows are encoded each. An empty table
-    gives no rows. No shuffle: a row's work depends on that row alone.
+    gives no rows. No shuffle: a row's work depends on that row alone. Both steps run in one pass
+    with one copy of the vocabulary, over slices of ``SLICE`` rows, so that a worker holds little.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col), rank_file, pattern).alias("ids"))
-    return ids.select("doc_id", "ids", decode(F.col("ids"), rank_file, pattern).alias("decoded"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = load_encoding(rank_file, pattern)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                ids = [encode_text(encoding, t) for t in part["text"]]
+                decoded = [encoding.decode_bytes(i.tolist()) for i in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [i.tobytes() for i in ids], "decoded": decoded})
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    return texts.mapInPandas(run, f"doc_id {kind}, ids binary, decoded binary")
