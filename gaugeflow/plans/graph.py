@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from gaugeflow.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for an edge list ``(a, b)``; a component is its least node.
 
     Every step joins the edges with one minimum per node, so no neighbour list is ever
-    collected; edges are written out after each round.
+    collected; edges are written out after each round, until a round changes nothing.
     """
     both = edges.filter(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     current = cut_lineage(both.distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_small_star(_large_star(current)))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -27,7 +27,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 current.select("b", "b").distinct()
             )
         seen = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
