@@ -4,41 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalar import correlation
 from gaugeflow.operators.cleaning import numeric_columns
-from gaugeflow.plans.ordered import block_rows_of, exact_medians
+from gaugeflow.plans.ordered import exact_medians, known
 
 
-def describe_columns(
-    df: DataFrame, cols: Sequence[str] | None = None, *, block_rows: int | None = None
-) -> DataFrame:
-    """One row per column over its known values, with bias-corrected moments.
+def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per column over its known values (NaN is missing), with bias-corrected moments.
 
-    Everything but the median is one map-side combined aggregate.  The built-in exact
-    median keeps every distinct value in memory, so above ``block_rows`` rows the
-    medians come from histogram passes.
+    Everything but the median is one map-side combined aggregate.  Medians come from
+    histogram passes, which keep no values in memory.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    small = df.count() <= block_rows_of(df, block_rows)
-    medians = {c: F.median(c) for c in cols}
-    if not small:
-        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-        medians = {c: F.lit(m).cast("double") for c, m in exact_medians(df, counts).items()}
+    medians = exact_medians(df, cols) if cols else {}
     raw = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = known(F.col(c))
         raw += [
             F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.var_samp(x).alias(f"var_{c}"),
             F.skewness(x).alias(f"g1_{c}"), F.kurtosis(x).alias(f"g2_{c}"),
             F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"),
         ]
-        if small:
-            raw.append(medians[c].alias(f"med_{c}"))
     one = df.agg(*raw)
     structs = []
     for c in cols:
@@ -51,7 +40,7 @@ def describe_columns(
                 F.sqrt(F.col(f"var_{c}")).alias("std"), _known(skew).alias("skewness"),
                 _known(kurt).alias("excess_kurtosis"), F.col(f"min_{c}").alias("min"),
                 F.col(f"max_{c}").alias("max"),
-                (F.col(f"med_{c}") if small else medians[c]).alias("median"), n.alias("n"),
+                F.lit(medians[c]).cast("double").alias("median"), n.alias("n"),
             )
         )
     return one.select(F.inline(F.array(*structs)))
@@ -61,20 +50,12 @@ def _known(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-WIDE = 8  # beyond this many columns one aggregate per pair costs more than a matrix product
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Long ``(a, b, i, j, r)`` Pearson matrix over pairwise complete rows.
 
-    All pairs are aggregated in one pass.  A wide table without missing values goes
-    through MLlib's vector product instead, which gives the same numbers.
+    All pairs are aggregated in one map-side combined pass.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    if len(cols) > WIDE:
-        holes = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols]).first()
-        if not any(holes):
-            return _correlation_of_vectors(df, cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
     one = df.agg(*[correlation(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = []
@@ -90,19 +71,6 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     return one.select(F.inline(F.array(*cells)))
 
 
-def _correlation_of_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    spans = df.agg(*[f(c).alias(f"{t}_{i}") for i, c in enumerate(cols) for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    constant = [spans is None or spans[f"lo_{i}"] == spans[f"hi_{i}"] for i in range(len(cols))]
-    vectors = VectorAssembler(inputCols=cols, outputCol="x").transform(df).select("x")
-    m = Correlation.corr(vectors, "x").first()[0].toArray()
-    cells = [
-        (a, b, i, j, None if constant[i] or constant[j] else float(m[i, j]))
-        for i, a in enumerate(cols)
-        for j, b in enumerate(cols)
-    ]
-    return df.sparkSession.createDataFrame(cells, "a string, b string, i int, j int, r double")
-
-
 def correlation_lower_triangle(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Heatmap cells: the lower triangle with its diagonal."""
     return correlation_matrix(df, cols).filter(F.col("i") >= F.col("j"))
@@ -130,10 +98,11 @@ def class_balance(df: DataFrame, label_col: str, group_cols: Sequence[str] = ())
 def cluster_profile(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> DataFrame:
     """Column means per cluster as z-scores across clusters (sample deviation)."""
     means = df.groupBy(cluster_col).agg(*[F.avg(c).alias(c) for c in cols])
-    across = Window.partitionBy()
+    parts = [f(c).alias(f"{t}_{c}") for c in cols for t, f in (("m", F.avg), ("s", F.stddev_samp))]
+    across = means.agg(F.struct(*parts)).scalar()
     return means.select(
         cluster_col,
-        *[F.try_divide(F.col(c) - F.avg(c).over(across), F.stddev_samp(c).over(across)).alias(c) for c in cols],
+        *[F.try_divide(F.col(c) - across[f"m_{c}"], across[f"s_{c}"]).alias(c) for c in cols],
     )
 
 

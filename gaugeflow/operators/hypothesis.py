@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,35 +12,29 @@ from gaugeflow.functions import scalar
 from gaugeflow.functions.distributions import chi2_p, f_p, student_p
 from gaugeflow.operators.describe import crosstab
 from gaugeflow.plans import defaults
-from gaugeflow.plans.ordered import block_rows_of, exact_medians
+from gaugeflow.plans.ordered import exact_medians, known
 
 
-def exact_median(df: DataFrame, col: str, *, block_rows: int | None = None) -> Column:
-    """The median as a column: a scalar subquery on small tables, histogram passes beyond."""
-    n = df.agg(F.count(col)).first()[0]
-    if n <= block_rows_of(df, block_rows):
-        return df.agg(F.median(col)).scalar()
-    return F.lit(exact_medians(df, {col: n})[col])
+def exact_median(df: DataFrame, col: str) -> Column:
+    """The median of the known values as a column, from histogram passes."""
+    return F.lit(exact_medians(df, [col])[col]).cast("double")
 
 
-def split_high_low(
-    df: DataFrame, group_col: str, name: str = "half", *, block_rows: int | None = None
-) -> DataFrame:
+def split_high_low(df: DataFrame, group_col: str, name: str = "half") -> DataFrame:
     """``high`` at or above the median of ``group_col``, ``low`` below, missing if unknown.
 
     Text in ``group_col`` is read as numbers.
     """
     text = isinstance(df.schema[group_col].dataType, T.StringType)
     g = scalar.coerce_number(group_col) if text else F.col(group_col)
-    median = exact_median(df.select(g.alias("g")), "g", block_rows=block_rows)
+    g = known(g)
+    median = exact_median(df.select(g.alias("g")), "g")
     return df.withColumn(name, F.when(g >= median, F.lit("high")).when(g < median, F.lit("low")))
 
 
-def welch_ttest(
-    df: DataFrame, value_col: str, group_col: str, *, block_rows: int | None = None
-) -> DataFrame:
+def welch_ttest(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """Unequal-variance t-test of the value between the halves above and below the median."""
-    halves = split_high_low(df, group_col, block_rows=block_rows).filter(
+    halves = split_high_low(df, group_col).filter(
         F.col("half").isNotNull() & F.col(value_col).isNotNull()
     )
     v = F.col(value_col).cast("double")
@@ -76,8 +70,7 @@ def anova_oneway(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
         .agg(F.count("*").alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s2"))
     )
     n, m = F.col("n"), F.col("m")
-    everything = Window.partitionBy()
-    grand = F.sum(n * m).over(everything) / F.sum(n).over(everything)
+    grand = groups.agg(F.sum(n * m) / F.sum(n)).scalar()
     one = groups.withColumn("dev", m - grand).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("total"),
@@ -97,9 +90,11 @@ def chi_square_independence(df: DataFrame, row_col: str, col_col: str) -> DataFr
     """Pearson chi-square of a contingency table, Yates-corrected for one degree of freedom."""
     cells = crosstab(df, row_col, col_col)
     n = F.col("n")
-    rows, cols, everything = Window.partitionBy("row"), Window.partitionBy("column"), Window.partitionBy()
-    cells = cells.withColumns({"rt": F.sum(n).over(rows), "ct": F.sum(n).over(cols), "t": F.sum(n).over(everything)})
-    cells = cells.withColumn("expected", F.col("rt") * F.col("ct") / F.col("t"))
+    total = cells.agg(F.sum(n)).scalar()
+    rows = cells.groupBy("row").agg(F.sum(n).alias("rt"))
+    cols = cells.groupBy("column").agg(F.sum(n).alias("ct"))
+    cells = cells.join(rows, "row").join(cols, "column")
+    cells = cells.withColumn("expected", F.col("rt") * F.col("ct") / total)
     miss = F.abs(n - F.col("expected"))
     one = cells.agg(
         F.sum(miss * miss / F.col("expected")).alias("plain"),

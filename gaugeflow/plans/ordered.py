@@ -350,17 +350,20 @@ def keys_at_rank(o: Ordered, positions: Sequence[int]) -> list[Column]:
 def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], bins: int = 4096) -> dict:
     """Exact values at 0-based ranks of numeric columns, by histogram narrowing.
 
-    Every pass counts values into ``bins`` equal cells per open (column, rank) and
-    keeps the cell that holds the rank; nothing is sorted and at most
-    ``bins`` x ranks rows reach the driver.
+    Ranks count known values (neither NULL nor NaN).  Every pass counts values into ``bins`` cells
+    per open (column, rank) and keeps the cell that holds the rank; nothing is sorted and at most
+    ``bins`` x ranks rows reach the driver.  The least and the greatest value of a span have cells of
+    their own and halves are subtracted, so every pass narrows, whatever the span: infinities are
+    settled in the first pass, and spans as wide as the number range do not overflow.
     """
-    columns = {c: F.col(c).cast("double") for c in wanted}
+    columns = {c: known(F.col(c)) for c in wanted}
     spans = df.agg(*[f(x).alias(f"{c}__{t}") for c, x in columns.items() for t, f in (("lo", F.min), ("hi", F.max))])
     spans = spans.first()
     # open searches: (column, lowest, highest value) -> rank asked for -> rank inside the span
     open_: dict = {}
     for c, ranks in wanted.items():
-        open_[(c, spans[f"{c}__lo"], spans[f"{c}__hi"])] = {k: k for k in ranks}
+        if spans[f"{c}__lo"] is not None:
+            open_[(c, spans[f"{c}__lo"], spans[f"{c}__hi"])] = {k: k for k in ranks}
     done = {}
     while True:
         for (c, lo, hi), ranks in open_.items():
@@ -371,15 +374,17 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], bins: i
             return done
         slots = list(open_)
         cells = []
+        inside = F.lit(False)
         for i, (c, lo, hi) in enumerate(slots):
             v = columns[c]
-            cell = F.least(F.lit(bins - 1), F.floor((v - lo) / F.lit(hi - lo) * bins))
+            width = hi / 2 - lo / 2
+            share = (v / 2 - F.lit(lo) / 2) / F.lit(width) if 0 < width < math.inf else F.lit(0.5)
+            between = F.least(F.lit(bins - 2), 1 + F.floor(share * (bins - 2))).cast("long")
+            cell = F.when(v <= lo, 0).when(v >= hi, bins - 1).otherwise(between)
             cells.append(
                 F.when(v.between(lo, hi), F.struct(F.lit(i).alias("slot"), cell.alias("cell"), v.alias("v")))
             )
-        inside = F.lit(False)
-        for c, lo, hi in slots:
-            inside = inside | columns[c].between(lo, hi)
+            inside = inside | v.between(lo, hi)
         hits = df.filter(inside).select(F.explode(F.array(*cells)).alias("h")).filter(F.col("h").isNotNull())
         counted = (
             hits.groupBy("h.slot", "h.cell")
@@ -397,10 +402,17 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], bins: i
         open_ = narrowed
 
 
-def exact_medians(df: DataFrame, counts: Mapping[str, int]) -> dict[str, float | None]:
-    """Exact medians given the non-null count of every column."""
+def known(c: Column) -> Column:
+    """A number as a double, with NaN read as missing."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of the known values of every column; None where there are none."""
+    counts = df.agg(*[F.count(known(F.col(c))).alias(c) for c in cols]).first().asDict()
     wanted = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n}
     values = order_statistics(df, wanted) if wanted else {}
     return {
-        c: sum(values[(c, k)] for k in wanted[c]) / len(wanted[c]) if c in wanted else None for c in counts
+        c: sum(values[(c, k)] / len(wanted[c]) for k in wanted[c]) if c in wanted else None for c in counts
     }

@@ -146,10 +146,32 @@ def test_order_statistics(sdf, frame):
             got = od.order_statistics(sdf, {c: ranks}, bins=bins)
             assert [got[(c, k)] for k in ranks] == [known[k] for k in ranks]
     counts = {c: int(frame[c].notna().sum()) for c in ("v", "w", "ts")}
-    medians = od.exact_medians(sdf, counts)
+    medians = od.exact_medians(sdf, list(counts))
     assert all(medians[c] == pytest.approx(frame[c].median()) for c in counts)
 
 
+@pytest.mark.parametrize(
+    "values, median",
+    [
+        ([1.0, 2.0, 3.0, float("nan")], 2.0),
+        ([1.0, float("inf")], float("inf")),
+        ([float("-inf"), 1.0, 2.0, float("inf")], 1.5),
+        ([float("-inf"), float("-inf"), 7.0, float("inf"), float("inf")], 7.0),
+        ([-1.5e308, 1.5e308, 5.0], 5.0),
+        ([1.5e308, 1.7e308], 1.6e308),
+        ([5e-324, 0.0, 1e-323], 5e-324),
+        ([1e-300, 1e300, 1.0, 2.0], 1.5),
+        ([4.0] * 9, 4.0),
+        ([None, None], None),
+        ([float("nan")], None),
+        ([], None),
+    ],
+)
+def test_medians_always_end(spark, values, median):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert od.exact_medians(df, ["x"])["x"] == median
+
+
 def test_curves_in_blocks_equal_plain(sdf):
     df = sdf.withColumn("y", (F.col("id") % 3 == 0).cast("int")).withColumn("p", F.round("w", 2))
     for group in ([], ["series"]):

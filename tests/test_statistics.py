@@ -14,10 +14,9 @@ def frame(spark, **cols):
     return spark.createDataFrame(rows, names)
 
 
-@pytest.mark.parametrize("block_rows", [1000, 3])
-def test_moments(spark, block_rows):
+def test_moments(spark):
     df = spark.createDataFrame([(float(x),) for x in [*range(1, 10), 30]], "x double")
-    r = describe.describe_columns(df, block_rows=block_rows).first()
+    r = describe.describe_columns(df).first()
     assert r["skewness"] == pytest.approx(2.607630, abs=1e-6)
     assert r["excess_kurtosis"] == pytest.approx(7.503963, abs=1e-6)
     assert r["variance"] == pytest.approx(69.166667, abs=1e-6)
@@ -91,11 +90,10 @@ def test_welch(spark):
     df = frame(spark, g=g, v=v)
     hi, lo = v[g >= np.median(g)], v[g < np.median(g)]
     se = hi.var(ddof=1) / len(hi) + lo.var(ddof=1) / len(lo)
-    for block_rows in (1000, 10):
-        r = hypothesis.welch_ttest(df, "v", "g", block_rows=block_rows).first()
-        assert r["t_statistic"] == pytest.approx((hi.mean() - lo.mean()) / math.sqrt(se))
-        assert (r["group_high_n"], r["group_low_n"]) == (51, 50)
-        assert r["p_value"] == pytest.approx(dist.student_two_sided(r["t_statistic"], r["degrees_of_freedom"]))
+    r = hypothesis.welch_ttest(df, "v", "g").first()
+    assert r["t_statistic"] == pytest.approx((hi.mean() - lo.mean()) / math.sqrt(se))
+    assert (r["group_high_n"], r["group_low_n"]) == (51, 50)
+    assert r["p_value"] == pytest.approx(dist.student_two_sided(r["t_statistic"], r["degrees_of_freedom"]))
 
 
 def test_halves_of_text_numbers(spark):
