@@ -112,7 +112,8 @@ def sort_chronological(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = defaults.SEED) -> DataFrame:
     """``n`` rows without replacement: the smallest seeded hashes, the same on every run."""
-    return df.orderBy(F.xxhash64(*id_cols, F.lit(seed)), *id_cols).limit(n)
+    drawn = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
+    return df.orderBy(drawn, *id_cols).limit(n)
 
 
 def time_range(df: DataFrame, ts_col: str, now, past_hours: int = 24, forecast_days: int = 3) -> DataFrame:

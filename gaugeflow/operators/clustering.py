@@ -19,6 +19,7 @@ from gaugeflow.functions.kernels import tile_distance_sums, ward_labels
 from gaugeflow.operators.describe import cluster_counts
 from gaugeflow.operators.scaling import scaler_stage, spread, standardize
 from gaugeflow.plans import defaults
+from gaugeflow.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -195,14 +196,15 @@ def davies_bouldin(df: DataFrame, cluster_col: str, cols: Sequence[str]) -> Data
 
 
 def cluster_metrics(
-    df: DataFrame, cluster_col: str, cols: Sequence[str], id_col: str, *, squared: bool = False
+    df: DataFrame, cluster_col: str, cols: Sequence[str], id_col: str, *, squared: bool = True
 ) -> DataFrame:
     """Silhouette, Davies-Bouldin, cluster count and noise share on scaled columns.
 
-    The two quality measures are missing below two non-noise clusters.  ``squared``
-    takes the linear-time silhouette for tables too large for the quadratic one.
+    The two quality measures are missing below two non-noise clusters.  The silhouette is the
+    linear one under squared distances; ``squared=False`` asks for the exact one under plain
+    distances, whose work is quadratic.
     """
-    scaled = standardize(df.select(id_col, cluster_col, *cols), cols)
+    scaled = cut_lineage(standardize(df.select(id_col, cluster_col, *cols), cols))  # read for each measure
     shape = silhouette_sq(scaled, cluster_col, cols) if squared else silhouette(scaled, cluster_col, cols, id_col)
     enough = F.col("n_clusters") >= 2
     return cluster_counts(df, cluster_col).withColumns(

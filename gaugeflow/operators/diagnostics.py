@@ -8,9 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.distributions import normal_quantile, normal_upper
+from gaugeflow.functions.distributions import normal_quantile
 from gaugeflow.functions.scalar import correlation
-from gaugeflow.operators.cleaning import sample_rows
 from gaugeflow.operators.describe import correlation_matrix
 from gaugeflow.operators.features import first_difference
 from gaugeflow.plans import defaults
@@ -88,32 +87,29 @@ def normality_at_scale(
     return line.select((F.col("r") * F.col("r")).alias("statistic"), "n")
 
 
-def normality_p(w: Column, n: Column) -> Column:
-    """Royston's normal approximation for W' (5 to 5,000 rows)."""
-    u = F.ln(n)
-    mean = -1.2725 + 1.0521 * (F.ln(u) - u)
-    spread = 1.0308 - 0.26758 * (F.ln(u) + 2 / u)
-    return normal_upper((F.ln(1 - w) - mean) / spread)
-
-
 def residual_diagnostics(
     df: DataFrame,
     col: str,
     order_cols: Sequence[str],
+    partition_cols: Sequence[str] = (),
     *,
-    sample: int = 5000,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """One row: normality on at most ``sample`` rows, Jarque-Bera, Durbin-Watson, verdicts."""
-    w = normality_at_scale(sample_rows(df, sample, order_cols), col, order_cols, block_rows=block_rows)
-    w = w.withColumn("p", normality_p(F.col("statistic"), F.col("n")))
-    shape = w.select(F.struct("statistic", "p").alias("s")).scalar()
+    """One row over all rows: W' and Jarque-Bera normality, Durbin-Watson within series, verdicts.
+
+    The normality verdict takes the Jarque-Bera p-value, which holds for any large number of rows.
+    Order columns need to be unique within a series only.
+    """
+    w = normality_at_scale(df, col, [*order_cols, *partition_cols], block_rows=block_rows)
+    w = w.select("statistic").scalar()
     jb = jarque_bera(df, col).select(F.struct("statistic", "p_value").alias("s")).scalar()
-    dw = durbin_watson(df, col, order_cols, block_rows=block_rows).scalar()
+    d = first_difference(df, col, order_cols, partition_cols, name="__d", block_rows=block_rows)
+    squares = lambda c: F.sum(F.col(c) * F.col(c))
+    dw = d.agg(F.try_divide(squares("__d"), squares(col))).scalar()
     out = residual_summary(df, col).withColumns(
         {
-            "normality_statistic": shape["statistic"],
-            "normality_p": shape["p"],
+            "normality_statistic": w,
+            "normality_p": jb["p_value"],
             "jarque_bera_statistic": jb["statistic"],
             "jarque_bera_p": jb["p_value"],
             "durbin_watson": dw,

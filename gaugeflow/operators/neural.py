@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.operators.scaling import spread
+from gaugeflow.operators.scaling import SHARDS, spread
 from gaugeflow.plans import defaults
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -163,15 +163,21 @@ def fit_mlp(
     alpha: float = 0.0001,
     epochs: int = 100,
     patience: int = 10,
+    shards: int = SHARDS,
     seed: int = defaults.SEED,
 ) -> MlpModel:
+    """Train on ``shards`` fixed parts of the rows, whose weights are averaged after each epoch.
+
+    The number of shards is part of the model, like the rate: it does not follow the cluster.
+    """
     features = tuple(features)
     stats = train.agg(*[f(c).alias(f"{t}_{c}") for c in features for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean = [float(stats[f"m_{c}"]) for c in features]
     std = [float(stats[f"s_{c}"]) or 1.0 for c in features]
     x = _scaled(features, mean, std).alias("x")
     y = F.col(label).cast("double").alias("y")
-    rows = spread(train.select(x, y)).persist()
+    # dealt by the given values: scaled ones may differ in the last digit from run to run
+    rows = spread(train.select(*features, label), shards).select(x, y).persist()
     held = val.select(x, y).persist()
     checked = rows.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("val")))
     shape = Shape((len(features), *hidden, 1), activation, task)

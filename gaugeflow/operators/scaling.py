@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import scalar
-from gaugeflow.session import has_shuffle
 
 
 def scaler_stats(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -41,9 +40,14 @@ def scaler_stage(train: DataFrame, cols: Sequence[str], prefix: str = "z_") -> S
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for repeated passes over files that come in few splits."""
-    if has_shuffle(df):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+SHARDS = 32
+
+
+def spread(df: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows dealt to ``shards`` partitions by a hash of their content.
+
+    Estimators whose result depends on the partitions then give the same result on any number of
+    cores and for any split of the input files.
+    """
+    dealt = F.pmod(F.xxhash64(*df.columns), F.lit(shards)).cast("int")
+    return df.repartition(shards, dealt).sortWithinPartitions(F.xxhash64(*df.columns))

@@ -95,8 +95,10 @@ def fit_random_threshold_forest(
     """Trees whose cut points are random instead of searched.
 
     Each of ``binnings`` forests sees the features through its own random cut points
-    and grows without bootstrap; the forests are averaged.  For a 0/1 label the mean
-    of the leaves is the class-1 probability, and variance splits equal Gini splits.
+    and grows without bootstrap; the forests are averaged.  Each split of a regression tree
+    tries a random three quarters of the features, so that trees of one binning differ.  For a
+    0/1 label the mean of the leaves is the class-1 probability, and variance splits equal Gini
+    splits.
     """
     rng = random.Random(seed)
     spans = train.agg(*[f(F.col(c)).alias(f"{t}_{c}") for c in features for t, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -116,7 +118,7 @@ def fit_random_threshold_forest(
                 featuresCol=f"v{g}", labelCol=label, predictionCol=f"p{g}", bootstrap=False,
                 numTrees=max(1, round(trees / binnings)), maxDepth=depth, minInstancesPerNode=min_leaf,
                 maxBins=cuts + 1, seed=seed + g,
-                featureSubsetStrategy="all" if task == "regression" else "sqrt",
+                featureSubsetStrategy="0.75" if task == "regression" else "sqrt",
             )
             binned = vector.transform(bucket.transform(ready))
             stages += [bucket, vector, forest.fit(binned)]

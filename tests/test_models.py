@@ -155,17 +155,17 @@ def test_quality_measures(blobs):
     s = {k: np.sqrt(((x[c == k] - m[k]) ** 2).sum(1)).mean() for k in m}
     dbi = np.mean([max((s[i] + s[j]) / np.linalg.norm(m[i] - m[j]) for j in m if j != i) for i in m])
     assert clustering.davies_bouldin(df, "c", ["x", "y"]).first()[0] == pytest.approx(dbi)
-    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id").first()
+    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id", squared=False).first()
     z = (x - x.mean(0)) / x.std(0)
     assert r["silhouette_score"] == pytest.approx(brute_silhouette(z, c, False))
     assert (r["n_clusters"], r["noise_ratio"]) == (3, pytest.approx(1 / 300))
-    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id", squared=True).first()
+    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id").first()
     assert r["silhouette_score"] == pytest.approx(brute_silhouette(z, c, True))
 
 
 def test_quality_is_missing_below_two_clusters(blobs):
     df = blobs.withColumn("c", F.when(F.col("id") < 9, -1).otherwise(0))
-    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id").first()
+    r = clustering.cluster_metrics(df, "c", ["x", "y"], "id", squared=False).first()
     assert (r["silhouette_score"], r["davies_bouldin_index"], r["n_clusters"]) == (None, None, 1)
 
 
@@ -238,3 +238,25 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)} | {i: 200 for i in (200, 201, 205)}
     assert got == want
+
+
+def test_random_threshold_trees_differ(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    rows = [(*map(float, v), float(v[0] * 2 + v[1] - v[2])) for v in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double")
+    model = supervised.fit_random_threshold_forest(df, ["a", "b", "c", "d"], "y", trees=6, depth=4, binnings=2)
+    trees = [t.toDebugString.split("\n", 1)[1] for s in model.stages if hasattr(s, "trees") for t in s.trees]
+    assert len(trees) == 6 and len(set(trees)) == 6
+
+
+def test_perceptron_does_not_follow_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 2))
+    rows = [(*map(float, v), float(v[0] - v[1])) for v in x]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    fits = [
+        neural.fit_mlp(given, given, ["a", "b"], "y", hidden=(4,), epochs=2).weights
+        for given in (df.repartition(3), df.repartition(11))
+    ]
+    assert np.allclose(fits[0], fits[1], atol=1e-9)
