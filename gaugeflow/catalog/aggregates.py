@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.registry import (
+    DIMS,
     FITS_SQL,
     LINE_SCORES_SQL,
+    MEANS_SQL,
     SCORES_SQL,
     VECTORS_SQL,
     query,
@@ -32,7 +34,7 @@ def _describe_sql(cols, table):
 @query("describe_columns", _describe_sql(LINE_COLS, "lineitem"))
 def _(t):
     # the row limit is below the table size, so medians come from histogram passes
-    out = describe.describe_columns(t("lineitem"), LINE_COLS, block_rows=50_000)
+    out = describe.describe_columns(t("lineitem"), LINE_COLS)
     out = rounded(out, "mean", "std", digits=4).withColumn("variance", r("variance", 2))
     return rounded(out, "skewness", "excess_kurtosis", digits=5)
 
@@ -155,7 +157,7 @@ def _(t):
     "UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM sc",
 )
 def _(t):
-    out = evaluation.roc_curve(t.scores(), "y", "p", ["model"], block_rows=150)
+    out = evaluation.roc_curve(t.scores(), "y", "p", ["model"])
     return rounded(out, "fpr", "tpr").withColumn("threshold", r("threshold", 9))
 
 
@@ -165,7 +167,7 @@ def _(t):
     "UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1::DOUBLE, 0::DOUBLE FROM sc",
 )
 def _(t):
-    out = evaluation.pr_curve(t.scores(), "y", "p", ["model"], block_rows=150)
+    out = evaluation.pr_curve(t.scores(), "y", "p", ["model"])
     return rounded(out, "precision", "recall").withColumn("threshold", r("threshold", 9))
 
 
@@ -189,12 +191,12 @@ def _(t):
 
 @query(
     "cluster_profile",
-    f"WITH {VECTORS_SQL}, m AS (SELECT label, avg(e0) AS e0, avg(e1) AS e1, avg(e2) AS e2, avg(e3) AS e3 FROM v GROUP BY label) SELECT label, "
-    + ", ".join(f"round((e{i} - avg(e{i}) OVER ()) / stddev_samp(e{i}) OVER (), 6) + 0.0 AS e{i}" for i in range(4))
+    f"WITH {VECTORS_SQL}, m AS (SELECT label, {MEANS_SQL} FROM v GROUP BY label) SELECT label, "
+    + ", ".join(f"round((e{i} - avg(e{i}) OVER ()) / stddev_samp(e{i}) OVER (), 6) + 0.0 AS e{i}" for i in range(DIMS))
     + " FROM m",
 )
 def _(t):
-    cols = [f"e{i}" for i in range(4)]
+    cols = [f"e{i}" for i in range(DIMS)]
     return rounded(describe.cluster_profile(t.vectors(), "label", cols), *cols)
 
 
@@ -207,8 +209,8 @@ def _(t):
     return rounded(describe.cluster_counts(labels, "c"), "noise_ratio")
 
 
-VCOLS = [f"e{i}" for i in range(4)]
-DIST2 = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(4))
+VCOLS = [f"e{i}" for i in range(DIMS)]
+DIST2 = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(DIMS))
 
 
 def _silhouette_sql(dist):
@@ -221,7 +223,7 @@ def _silhouette_sql(dist):
 
 @query("silhouette", _silhouette_sql(f"sqrt({DIST2})"))
 def _(t):
-    out = clustering.silhouette(t.vectors(), "label", VCOLS, "vec_id", tile_rows=256)
+    out = clustering.silhouette(t.vectors(), "label", VCOLS, "vec_id")
     return rounded(out, "silhouette_score")
 
 
@@ -232,7 +234,7 @@ def _(t):
 
 @query(
     "davies_bouldin",
-    f"WITH {VECTORS_SQL}, m AS (SELECT label, avg(e0) AS e0, avg(e1) AS e1, avg(e2) AS e2, avg(e3) AS e3 FROM v GROUP BY label), "
+    f"WITH {VECTORS_SQL}, m AS (SELECT label, {MEANS_SQL} FROM v GROUP BY label), "
     f"s AS (SELECT a.label, avg(sqrt({DIST2})) AS s FROM v a JOIN m b USING (label) GROUP BY a.label), "
     f"w AS (SELECT a.label, max((sa.s + sb.s) / sqrt({DIST2})) AS worst FROM m a JOIN m b ON a.label <> b.label "
     "JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY a.label) SELECT round(avg(worst), 5) AS davies_bouldin_index FROM w",

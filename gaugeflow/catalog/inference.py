@@ -18,7 +18,7 @@ from gaugeflow.operators import diagnostics, hypothesis, supervised
 )
 def _(t):
     df = t("orders").select("o_orderkey", "o_totalprice")
-    return hypothesis.split_high_low(df, "o_totalprice", block_rows=10_000).select("o_orderkey", "half")
+    return hypothesis.split_high_low(df, "o_totalprice").select("o_orderkey", "half")
 
 
 @query(
@@ -30,15 +30,26 @@ def _(t):
     "round(mh, 4) AS group_high_mean, round(ml, 4) AS group_low_mean, nh AS group_high_n, nl AS group_low_n FROM s",
 )
 def _(t):
-    out = hypothesis.welch_ttest(t("lineitem"), "l_extendedprice", "l_quantity", block_rows=50_000)
+    out = hypothesis.welch_ttest(t("lineitem"), "l_extendedprice", "l_quantity")
     out = rounded(out, "t_statistic", "group_high_mean", "group_low_mean", digits=4)
     return rounded(out.drop("p_value", "significant_at_0_05"), "degrees_of_freedom", digits=2)
 
 
-@query("welch_p_value")
+@query(
+    "welch_p_value",
+    # The density of Student's t, integrated from 0 to |t| by Simpson's rule.
+    "WITH h AS (SELECT value AS x, user_id >= (SELECT median(user_id) FROM events) AS hi FROM events), "
+    "s AS (SELECT count(*) FILTER (hi) AS nh, avg(x) FILTER (hi) AS mh, var_samp(x) FILTER (hi) / count(*) FILTER (hi) AS eh, "
+    "count(*) FILTER (NOT hi) AS nl, avg(x) FILTER (NOT hi) AS ml, var_samp(x) FILTER (NOT hi) / count(*) FILTER (NOT hi) AS el FROM h), "
+    "w AS (SELECT (mh - ml) / sqrt(eh + el) AS t, (eh + el) ** 2 / (eh * eh / (nh - 1) + el * el / (nl - 1)) AS dof FROM s), "
+    "g AS (SELECT t, abs(t) / 2000 AS step, dof, exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) AS c FROM w), "
+    "f AS (SELECT t, step * c * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+    "* (1 + (i * step) ** 2 / dof) ** (-(dof + 1) / 2)) / 3 AS half FROM g, range(2001) AS r(i) GROUP BY t, step, c) "
+    "SELECT round(t, 6) AS t_statistic, round(1 - 2 * half, 6) AS p_value, 1 - 2 * half < 0.05 AS significant_at_0_05 FROM f",
+)
 def _(t):
     out = hypothesis.welch_ttest(t("events"), "value", "user_id")
-    return rounded(out, "t_statistic", "p_value")
+    return rounded(out.select("t_statistic", "p_value", "significant_at_0_05"), "t_statistic", "p_value")
 
 
 @query(
@@ -139,9 +150,24 @@ def _(t):
     return rounded(out, "mean_residual", "std_residual")
 
 
-@query("residual_diagnostics")
+@query(
+    "residual_diagnostics",
+    "WITH e AS (SELECT value - 50 AS e, lag(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events), "
+    "m AS (SELECT avg(e) AS m, stddev_pop(e) AS s, sum((e - prev) ** 2) / sum(e * e) AS dw FROM e), "
+    "p AS (SELECT count(*) AS n, avg(d ** 3) / avg(d ** 2) ** 1.5 AS s, avg(d ** 4) / avg(d ** 2) ** 2 - 3 AS k "
+    "FROM (SELECT e - (SELECT m FROM m) AS d FROM e)), "
+    "j AS (SELECT n / 6.0::DOUBLE * (s * s + k * k / 4) AS jb FROM p), "
+    f"w AS (SELECT corr(value, z) ** 2 AS w FROM (SELECT value, {normal_quantile_sql('p')} AS z FROM ({FILLIBEN}))) "
+    "SELECT round(m, 6) + 0.0 AS mean_residual, round(s, 6) AS std_residual, round(w, 6) AS normality_statistic, "
+    "round(exp(-jb / 2), 6) + 0.0 AS normality_p, round(jb, 3) AS jarque_bera_statistic, round(exp(-jb / 2), 6) + 0.0 AS jarque_bera_p, "
+    "round(dw, 6) AS durbin_watson, CASE WHEN exp(-jb / 2) > 0.05 THEN 'Residuals are approximately normal' "
+    "ELSE 'Residuals deviate from normality' END AS normality, CASE WHEN dw > 1.5 AND dw < 2.5 THEN 'No significant autocorrelation' "
+    "ELSE 'Possible autocorrelation detected (expected for time-series)' END AS autocorrelation FROM m, j, w",
+)
 def _(t):
-    return diagnostics.residual_diagnostics(t("events").withColumn("e", F.col("value") - 50), "e", ORDER)
+    out = diagnostics.residual_diagnostics(t("events").withColumn("e", F.col("value") - 50), "e", ORDER, SERIES)
+    out = rounded(out, "mean_residual", "std_residual", "normality_statistic", "normality_p", "jarque_bera_p", "durbin_watson")
+    return rounded(out, "jarque_bera_statistic", digits=3)
 
 
 @query(
@@ -167,5 +193,5 @@ def _(t):
     df = t("lineitem")
     model = supervised.fit_linear_regression(df, cols, "l_extendedprice")
     return diagnostics.permutation_importance(
-        df, lambda x: supervised.predict(model, x), cols, "l_extendedprice", ["l_orderkey", "l_linenumber"], repeats=2
+        df, lambda x: supervised.predict(model, x), cols, "l_extendedprice", ["l_orderkey", "l_linenumber"], repeats=10
     )

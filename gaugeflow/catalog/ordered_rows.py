@@ -10,13 +10,11 @@ from gaugeflow.operators import cleaning, diagnostics, evaluation, features
 from gaugeflow.plans.ordered import fill_linear, order_rows
 
 ORDER, SERIES = ["ts", "event_id"], ["event_type"]
-# Small enough that these queries also run through the block path on small tables.
-BLOCK = 4_000
 
 
 @query("interpolate_linear", f"WITH {GAPS_SQL}, {FILL_SQL} SELECT event_type, event_id, round(x, 6) AS v FROM c")
 def _(t):
-    out = cleaning.interpolate_linear(t.gaps(), ["v"], ORDER, SERIES, block_rows=BLOCK)
+    out = cleaning.interpolate_linear(t.gaps(), ["v"], ORDER, SERIES)
     return out.select("event_type", "event_id", r("v").alias("v"))
 
 
@@ -26,7 +24,7 @@ def _(t):
     "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)",
 )
 def _(t):
-    out = features.lag_features(t("events").drop("props", "user_id"), "value", ORDER, SERIES, block_rows=BLOCK)
+    out = features.lag_features(t("events").drop("props", "user_id"), "value", ORDER, SERIES)
     return out.select("event_id", *[f"value_lag_{k}h" for k in (1, 3, 6)])
 
 
@@ -36,7 +34,7 @@ def _(t):
     "round(avg(v) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 6) AS v_roll_mean_6h FROM s",
 )
 def _(t):
-    out = features.rolling_mean_prior(t.gaps(), "v", ORDER, SERIES, block_rows=BLOCK)
+    out = features.rolling_mean_prior(t.gaps(), "v", ORDER, SERIES)
     return out.select("event_id", r("v_roll_mean_3h").alias("v_roll_mean_3h"), r("v_roll_mean_6h").alias("v_roll_mean_6h"))
 
 
@@ -55,7 +53,7 @@ def _(t):
     "FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)",
 )
 def _(t):
-    return features.chronological_split(t("events").select("event_id", "ts"), ORDER, block_rows=BLOCK).select(
+    return features.chronological_split(t("events").select("event_id", "ts"), ORDER).select(
         "event_id", "split"
     )
 
@@ -67,7 +65,7 @@ def _(t):
     "FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)",
 )
 def _(t):
-    cum = evaluation.running_totals(t.line_scores(), "y", "p", ["model"], block_rows=BLOCK * 4).result()
+    cum = evaluation.running_totals(t.line_scores(), "y", "p", ["model"]).result()
     return cum.select("model", r("score", 9).alias("score"), "tp", "fp")
 
 
@@ -80,7 +78,7 @@ FILLIBEN = (
 
 @query("qq_points", f"SELECT event_id, rn AS rank, value AS ordered_value, round({normal_quantile_sql('p')}, 6) + 0.0 AS theoretical FROM ({FILLIBEN})")
 def _(t):
-    out = diagnostics.qq_points(t("events"), "value", ["event_id"], block_rows=BLOCK)
+    out = diagnostics.qq_points(t("events"), "value", ["event_id"])
     return out.select("event_id", F.col("rank").cast("long").alias("rank"), "ordered_value", r("theoretical").alias("theoretical"))
 
 
@@ -135,6 +133,6 @@ def _(t):
     return cleaning.sort_chronological(t("events").select("event_id", "ts", "value"), ORDER)
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT event_id, value FROM events ORDER BY md5(event_id || '|42'), event_id LIMIT 5000")
 def _(t):
     return cleaning.sample_rows(t("events").select("event_id", "value"), 5000, ["event_id"])

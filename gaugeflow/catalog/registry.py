@@ -73,10 +73,10 @@ class Tables:
             F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("pred"),
         )
 
-    def vectors(self, dims: int = 4) -> DataFrame:
-        """Embeddings with their leading dimensions as columns."""
+    def vectors(self) -> DataFrame:
+        """Embeddings with their dimensions as columns."""
         return self("embeddings").select(
-            "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(dims)]
+            "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(DIMS)]
         )
 
 
@@ -90,8 +90,9 @@ LINE_SCORES_SQL = """sc AS (SELECT l_linestatus AS model, CAST(l_returnflag = 'R
   l_extendedprice / (l_extendedprice + 30000::DOUBLE) AS p FROM lineitem)"""
 FITS_SQL = """f AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, l_extendedprice AS y,
   l_quantity * 1500::DOUBLE AS pred FROM lineitem)"""
-VECTORS_SQL = """v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1,
-  embedding[3]::DOUBLE AS e2, embedding[4]::DOUBLE AS e3 FROM embeddings)"""
+DIMS = 64  # all of an embedding
+VECTORS_SQL = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(DIMS)) + " FROM embeddings)"
+MEANS_SQL = ", ".join(f"avg(e{i}) AS e{i}" for i in range(DIMS))
 # Linear gap filling by row position, at most five rows per gap, over a CTE ``s``.
 FILL_SQL = """o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM s),
 b AS (SELECT *,

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.functions import scalar
 from gaugeflow.operators import (
     cleaning,
     clustering,
@@ -57,7 +58,7 @@ class Run:
         partition_cols: Sequence[str] = (),
         threshold: float = defaults.REGULATORY_THRESHOLD,
         block_rows: int | None = None,
-        squared_silhouette: bool = False,
+        squared_silhouette: bool = True,
     ):
         self.folder, self.sizes = folder, sizes or Sizes()
         self.order, self.series = list(order_cols), list(partition_cols)
@@ -78,7 +79,7 @@ class Run:
         out = {"cleaned": self._store("cleaned", cleaning.clean_series(parsed, **common))}
         feat = features.feature_frame(out["cleaned"], threshold=self.threshold, **common)
         out["features"] = self._store("features", feat)
-        split = features.chronological_split(out["features"], self.order, block_rows=self.block_rows)
+        split = features.chronological_split(out["features"], [*self.order, *self.series], block_rows=self.block_rows)
         for name in ("train", "val", "test"):
             out[name] = self._store(name, split.filter(F.col("split") == name).drop("split"))
         return out
@@ -91,16 +92,18 @@ class Run:
         cols = self.feature_columns(feat)
         core = [c for c in (*defaults.SENSOR_COLUMNS, *defaults.GROUND_TRUTH_COLUMNS, *defaults.ENVIRONMENT_COLUMNS) if c in feat.columns]
         out = {
-            "column_statistics": describe.describe_columns(feat, cols, block_rows=self.block_rows),
+            "column_statistics": describe.describe_columns(feat, cols),
             "correlation_matrix": describe.correlation_matrix(feat, cols),
             "correlation_heatmap": describe.correlation_lower_triangle(feat, core),
             "seasonal_anova": hypothesis.anova_oneway(feat, defaults.TARGET, "Season"),
             "season_means": describe.group_mean(feat, defaults.TARGET, "Season"),
         }
         if "Temperature" in feat.columns:
-            out["two_sample_ttest"] = hypothesis.welch_ttest(feat, defaults.TARGET, "Temperature", block_rows=self.block_rows)
+            out["two_sample_ttest"] = hypothesis.welch_ttest(feat, defaults.TARGET, "Temperature")
         if "Rel_Humidity" in feat.columns:
             out["chi_square"] = hypothesis.humidity_independence(feat)
+            levels = scalar.bucketize("Rel_Humidity", defaults.HUMIDITY_EDGES, defaults.HUMIDITY_LABELS)
+            out["contingency"] = describe.crosstab(feat.withColumn("Humidity", levels), "Humidity", defaults.FLAG)
         return {name: self._store(name, df) for name, df in out.items()}
 
     def regress(self, stages: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -115,11 +118,12 @@ class Run:
         scored = self._score_all(fits, stages, "regression", y)
         metrics = self._store("regression_metrics", evaluation.regression_metrics(scored, "y", "prediction", ["model"]))
         linear = evaluation.residuals(scored.filter("model = 'linear_regression'"), "y", "prediction")
-        diag = diagnostics.residual_diagnostics(linear, "residual", self.order, block_rows=self.block_rows)
+        kw = dict(block_rows=self.block_rows)
+        diag = diagnostics.residual_diagnostics(linear, "residual", self.order, self.series, **kw)
         return {
             "regression_metrics": metrics,
             "residual_diagnostics": self._store("residual_diagnostics", diag),
-            "qq_points": self._store("qq_points", diagnostics.qq_points(linear, "residual", self.order, block_rows=self.block_rows)),
+            "qq_points": self._store("qq_points", diagnostics.qq_points(linear, "residual", [*self.order, *self.series], **kw)),
             "vif": self._store("vif", diagnostics.vif(train, cols)),
         }
 
@@ -163,7 +167,7 @@ class Run:
 
     def _add(self, rows: DataFrame | None, scored: DataFrame, name: str, label: str) -> DataFrame:
         kept = [c for c in ("score", "prediction") if c in scored.columns]
-        one = scored.select(F.lit(name).alias("model"), *self.order, F.col(label).alias("y"), *kept)
+        one = scored.select(F.lit(name).alias("model"), *self.order, *self.series, F.col(label).alias("y"), *kept)
         return one if rows is None else rows.unionByName(one)
 
     def cluster(self, feat: DataFrame) -> dict[str, DataFrame]:
@@ -202,4 +206,8 @@ class Run:
         out |= self.classify(stages) | self.cluster(stages["features"])
         compared = decision.model_comparison(out["regression_metrics"], out["classification_metrics"])
         out["model_comparison"] = self._store("model_comparison", compared)
+        out["leaderboard_regression"] = self._store(
+            "leaderboard_regression", decision.leaderboard(out["regression_metrics"], "regression")
+        )
+        out["leaderboard"] = self._store("leaderboard", decision.leaderboard(out["classification_metrics"], "classification"))
         return out
