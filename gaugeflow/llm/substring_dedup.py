@@ -12,6 +12,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.blocks import runs
 from gaugeflow.llm.common import staged, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
@@ -83,35 +83,45 @@ def suffixes(words: list[str], anchor: np.ndarray, wanted: np.ndarray, window: i
 
 
 def windows_of(first: int, text: str, window: int) -> Iterator[tuple[str, int]]:
-    words = text.split(" ")
-    for i in range(len(words) - window + 1):
-        yield " ".join(words[i : i + window]), first + i
+    """The windows in a run of words joined by spaces, with their starts."""
+    ends = list(accumulate(len(w) + 1 for w in text.split(" ")))
+    starts = [0, *ends]
+    for i in range(len(ends) - window + 1):
+        yield text[starts[i] : ends[i + window - 1] - 1], first + i
 
 
-def subtree(group: pd.DataFrame, window: int) -> list[tuple]:
-    """Windows of a group that are not the first of their node: ``(row, first start, last start)``.
+def subtree(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, int, int]]:
+    """Windows of a group that are not the first below their node: ``(row, first start, last start)``.
 
-    The group's suffixes are sorted, which is the order of the leaves of its suffix tree; leaves that
-    agree in a whole window hang below one internal node of that depth.
+    ``group`` holds ``(doc, row, first, words)``. A window is a path from the root of the group's
+    suffix tree to the depth of a window. The paths that several leaves share end in the internal
+    nodes of that depth; the least leaf below such a node is the window's first place.
     """
-    leaves = []
-    for row, doc, first, text in zip(group["row"], group["doc"], group["first"], group["words"]):
-        leaves += [(w, doc, row, start) for w, start in windows_of(first, text, window)]
-    leaves = sorted(set(leaves))  # a repeated row is read as often as it repeats
-    later = sorted((b[2], b[3]) for a, b in zip(leaves, leaves[1:]) if a[0] == b[0])
-    out: list[list[int]] = []
-    for row, start in later:
-        if out and out[-1][0] == row and out[-1][2] + 1 >= start:
-            out[-1][2] = start
-        else:
-            out.append([row, start, start])
+    least: dict[str, tuple[int, int, int]] = {}
+    paths = []
+    for doc, row, first, words in group:
+        for path, start in windows_of(first, words, window):
+            leaf = (doc, row, start)
+            paths.append((path, leaf))
+            known = least.get(path)
+            if known is None or leaf < known:
+                least[path] = leaf
+    out: list[tuple[int, int, int]] = []
+    for path, leaf in paths:
+        if least[path] != leaf:
+            _, row, start = leaf
+            if out and out[-1][0] == row and out[-1][2] + 1 == start:
+                out[-1] = (row, out[-1][1], start)
+            else:
+                out.append((row, start, start))
     return out
 
 
 def removed_words(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 20, keep_text: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``).
+    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``, and with ``keep_text``
+    ``kept``, the words left of a text that loses some but not all (null for others).
 
     A word is removed when a window of ``window`` consecutive words that covers it also starts
     earlier: in a row of smaller id, or earlier in the same text. Windows are judged on the input.
@@ -177,8 +187,16 @@ def removed_words(
         return wanted.mapInPandas(run, "gram long, row long, doc long, first int, words string")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(batches, ["gram"]):
-            yield pd.DataFrame(subtree(group, window), columns=["row", "lo", "hi"])
+        gram, group = None, []
+        for batch in batches:
+            out = []
+            for g, *leaf in zip(batch["gram"].tolist(), batch["doc"].tolist(), batch["row"].tolist(), batch["first"].tolist(), batch["words"]):
+                if g != gram:
+                    out += subtree(group, window)
+                    gram, group = g, []
+                group.append(tuple(leaf))
+            yield pd.DataFrame(out, columns=["row", "lo", "hi"])
+        yield pd.DataFrame(subtree(group, window), columns=["row", "lo", "hi"])
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
