@@ -70,7 +70,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "customer")
     delimited.write_delimited(t("customer").select("c_custkey", "c_name", "c_acctbal"), path)
-    return delimited.read_table(t.spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    return delimited.read_table(t.spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
 @query(

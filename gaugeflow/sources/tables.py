@@ -18,7 +18,8 @@ def write_stage_tables(stages: Mapping[str, DataFrame], folder: str, ts_col: str
         if ts_col is None:
             df.write.mode("overwrite").parquet(out)
         else:
-            month = df.withColumn("month_key", F.date_format(ts_col, "yyyy-MM"))
+            # by time first, so that a task writes few months and a busy month has several tasks
+            month = df.withColumn("month_key", F.date_format(ts_col, "yyyy-MM")).repartitionByRange(ts_col)
             month.write.mode("overwrite").partitionBy("month_key").parquet(out)
 
 
