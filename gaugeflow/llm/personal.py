@@ -137,12 +137,14 @@ def learned_instances(
         "personal-edges",
     )
     seeds = edges.filter("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    rich = edges.groupBy("left").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("left")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(CONTEXT_RE), F.lit(0))
-    totals = staged(
-        texts.select(F.explode(words).alias("left")).join(rich, "left").groupBy("left").agg(F.count("*").alias("total")),
-        "personal-contexts",
+    rich = staged(
+        edges.groupBy("left").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("left"),
+        "personal-rich",
     )
+    # one row per word and task is shuffled, not one per occurrence
+    words = F.regexp_extract_all(F.lower("text"), F.lit(CONTEXT_RE), F.lit(0))
+    counted = texts.select(F.explode(words).alias("left")).groupBy("left").agg(F.count("*").alias("total"))
+    totals = staged(counted.join(rich, "left"), "personal-contexts")
     edges = edges.select("left", "instance", "n").join(totals, "left")
     scores, before = seeds, 0
     for _ in range(rounds):
