@@ -28,6 +28,8 @@ _WORDS = re.compile("[^\x20\x09-\x0d]+")
 #: Words of a short prefix, and how many occurrences of one a group may hold. Suffixes behind a more
 #: frequent prefix are split by a prefix of full window length instead.
 PREFIX, GROUP = 8, 10_000
+#: Texts whose anchors a task holds before it hands them on.
+SLICE = 1_000
 
 
 class Anchors:
@@ -133,13 +135,15 @@ def removed_words(
     Texts of equal words are settled by their digest: all but the first go whole. For the others,
     occurrences of anchors are counted (map-side combined) and joined back, which leaves the places
     of repeated anchors; only texts with such places are read again. Groups of one prefix have at
-    most ``GROUP`` occurrences. More frequent prefixes are extended to whole windows, whose first
-    place is a map-side combined minimum, so no group has to fit into a task.
+    most ``GROUP`` occurrences. A more frequent prefix is extended: first to the whole run of words
+    around it, as equal runs are equal subtrees of which one is kept (a map-side combined minimum);
+    and where more than ``GROUP`` different runs are left, to whole windows, whose first place is
+    such a minimum too. So no group has to fit into a task.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(id_col).isNull().alias("void"), whole(text_col).alias("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Anchors(window)
+        find, columns = Anchors(window), ["doc", "void", "n_words", "digest", "grams", "places"]
         for batch in batches:
             rows = []
             for doc, void, text in zip(batch["doc"], batch["void"], batch["text"]):
@@ -147,7 +151,10 @@ def removed_words(
                 grams, anchor = find(words)
                 place = np.unique(anchor)
                 rows.append((doc, void, len(words), digest(words), grams[place], place.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc", "void", "n_words", "digest", "grams", "places"])
+                if len(rows) >= SLICE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     scanned = texts.mapInPandas(scan, "doc long, void boolean, n_words long, digest string, grams array<long>, places array<int>")
     scanned = staged(scanned.withColumn("row", F.monotonically_increasing_id()), "substring-scan")
@@ -207,9 +214,24 @@ def removed_words(
                         rows.append((hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest(), doc, row, start))
                 yield pd.DataFrame(rows, columns=["window", "doc", "row", "start"])
 
-    groups = behind("some").repartition(F.col("gram")).sortWithinPartitions("gram")
-    spans = groups.mapInPandas(build, "row long, lo int, hi int")
-    full = behind("many").mapInPandas(expand, "window binary, doc long, row long, start int").distinct()
+    # a frequent prefix: equal runs of words are equal subtrees, all but the first go whole
+    key = ["gram", "run"]
+    hot_runs = staged(behind("many").withColumn("run", F.md5("words")), "substring-runs")
+    firsts_of = hot_runs.groupBy(key).agg(F.min(F.struct("doc", "row", "first", "words")).alias("f"))
+    copies = hot_runs.join(firsts_of.select(*key, "f.doc", "f.row", "f.first").toDF(*key, "d0", "r0", "s0"), key)
+    copies = copies.filter(F.struct("doc", "row", "first") > F.struct("d0", "r0", "s0"))
+    copied_runs = copies.select(
+        "row", F.col("first").alias("lo"), (F.col("first") + F.size(F.split("words", " ")) - window).alias("hi")
+    )
+    different = staged(firsts_of.select("gram", "f.row", "f.doc", "f.first", "f.words"), "substring-different")
+    wide = different.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("gram")
+
+    groups = behind("some").unionByName(different.join(wide, "gram", "left_anti"))
+    groups = groups.repartition(F.col("gram")).sortWithinPartitions("gram")
+    spans = groups.mapInPandas(build, "row long, lo int, hi int").union(copied_runs)
+    full = different.join(wide, "gram", "left_semi").mapInPandas(
+        expand, "window binary, doc long, row long, start int"
+    ).distinct()
     place = F.struct("doc", "row", "start")
     first = full.groupBy("window").agg(F.min(place).alias("f"))
     later = full.join(first, "window").filter(place > F.col("f")).select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
