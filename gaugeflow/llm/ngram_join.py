@@ -52,9 +52,9 @@ class Grams:
         self.mult = np.random.default_rng(11).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, text: str) -> np.ndarray:
-        """The distinct n-grams, sorted; none for a text of fewer than n words."""
+        """The distinct n-grams, sorted; all words as one gram where there are fewer than n, none without words."""
         words = self.WORD.findall(text.lower())
-        if len(words) < self.n:
+        if not words:
             return np.empty(0, dtype=np.uint64)
         if len(self.known) > self.REMEMBERED:
             self.known = {}
@@ -62,9 +62,10 @@ class Grams:
         for w in {w for w in words if w not in known}:
             known[w] = self.hash(w.encode("utf-8", "surrogatepass"))
         ids = np.array([known[w] for w in words], dtype=np.uint64)
-        m = len(ids) - self.n + 1
+        size = min(self.n, len(ids))
+        m = len(ids) - size + 1
         out = np.zeros(m, dtype=np.uint64)
-        for k in range(self.n):
+        for k in range(size):
             out += ids[k : k + m] * self.mult[k]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -94,7 +95,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, digest, keys, sig`` per row; the last three are null for texts without n-grams."""
+    """``doc_id, digest, keys, sig`` per row; the last three are null for texts without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,8 +264,9 @@ def near_duplicates(
     Two texts are linked when the Jaccard similarity of their sets of word n-grams is at least
     ``threshold``. ``class_id`` is the least id among all texts connected by links, ``n_links`` the
     number of other sets linked to the text's own, ``n_copies`` the number of other rows with
-    exactly its set. Missing text is empty; texts of fewer than ``n`` words have no n-grams and
-    stay alone. Repeated rows are copies of each other. Rows without id keep a missing class. An
+    exactly its set. A text of one to ``n - 1`` words has one gram, made of all its words, so equal
+    short texts are copies of each other. Missing text is empty; texts without words have no grams
+    and stay alone. Repeated rows are copies of each other. Rows without id keep a missing class. An
     empty table gives no rows.
 
     1. One pass makes MinHash signatures, with bands and rows chosen for ``recall`` at the threshold.

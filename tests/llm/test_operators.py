@@ -357,6 +357,16 @@ def test_ngram_join_tiles(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == whole
 
 
+def test_ngram_join_of_short_texts(spark):
+    texts = [(1, "three short words"), (2, "Three short, words!"), (3, "three short"), (4, "short three words"), (5, "one"),
+             (6, "one"), (7, "one"), (8, "three short words and two more"), (9, ""), (10, None), (11, "..."), (12, "a b c d")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.near_duplicates(docs).collect()}
+    want = {i: (i, 0, 0) for i, _ in texts} | {1: (1, 0, 1), 2: (1, 0, 1)} | {i: (5, 0, 2) for i in (5, 6, 7)}
+    assert got == want
+    assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} == {1, 3, 4, 5, 8, 9, 10, 11, 12}
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.bands_for(threshold, 0.999)
