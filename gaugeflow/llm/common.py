@@ -18,6 +18,12 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def text_key(*texts: str | Column) -> Column:
+    """A key of rows whose texts are all equal, for decisions that depend on nothing else."""
+    each = [F.sha2(whole(t), 256) for t in texts]
+    return each[0] if len(each) == 1 else F.sha2(F.concat(*each), 256)
+
+
 def words(text: Column) -> Column:
     """Array of words; empty for a text without any."""
     inner = F.btrim(text, F.lit(GAP))

@@ -346,6 +346,16 @@ def _grams_of(docs: DataFrame, component: DataFrame, text_col: str, id_col: str,
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row with the least id stays."""
-    drop = near_duplicates(docs, text_col, id_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(drop, docs[id_col] == F.col("__id"), "left_anti")
+    """The rows of ``docs`` without near duplicates: of each class the row with the least id stays.
+
+    Rows are told apart by a staged number: ids may be missing (such a row stays only where no row of
+    its class has one) or repeat.
+    """
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
+    near = near_duplicates(rows, text_col, "__row", **options).filter("n_links > 0 OR n_copies > 0")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    ids = rows.select(F.col("__row").alias("doc_id"), order.alias("__order"))
+    near = staged(near.select("doc_id", "class_id").join(ids, "doc_id"), "ngram-classes")
+    first = near.groupBy("class_id").agg(F.min("__order").alias("first"))
+    drop = near.join(first, "class_id").filter("doc_id <> first.row").select(F.col("doc_id").alias("__row"))
+    return rows.join(drop, "__row", "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import staged, whole
+from gaugeflow.llm.common import staged, text_key, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -100,20 +100,20 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, base, found`` per row: base spans as ``kind:start:end`` joined by commas, and occurrences."""
+    """``doc_id, key, base, found`` per row: a digest of the text, base spans as ``kind:start:end`` joined by commas, and occurrences."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 spans = base_spans(text)
-                rows.append((doc, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), occurrences(text, spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "found"])
+                rows.append((doc, key, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), occurrences(text, spans)))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "base", "found"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), whole(text_col).alias("text")).mapInPandas(
         run,
-        f"doc_id {kind}, base string, "
+        f"doc_id {kind}, key string, base string, "
         "found array<struct<kind:string,instance:string,left:string,start:int,end:int>>",
     )
 
@@ -181,23 +181,30 @@ def personal_spans(
 
     ``base`` holds the base kinds; ``spans`` the same, then ``like_<kind>`` for identifiers found by
     context (see ``learned_instances``), by kind and start. Places count code points, the end is
-    exclusive. Missing text is empty and has no spans. Rows that repeat an id with the same text
-    have the same spans. An empty table gives no rows.
+    exclusive. Missing text is empty and has no spans. Spans follow the text alone: ids may be missing
+    or repeat. An empty table gives no rows.
     """
+    return _spans(docs, text_col, id_col, rounds, support, confidence).drop("key")
+
+
+def _spans(
+    docs: DataFrame, text_col: str, id_col: str, rounds: int = 3, support: int = 3, confidence: float = 0.7
+) -> DataFrame:
+    """``doc_id, key, base, spans``; what contexts give away is joined on the digest of the text."""
     scanned = staged(scan(docs, text_col, id_col), "personal-scan")
-    occurred = scanned.select("doc_id", F.explode("found").alias("o")).select("doc_id", "o.*")
+    occurred = scanned.select("key", F.explode("found").alias("o")).select("key", "o.*")
     texts = docs.select(whole(text_col).alias("text"))
     learned = learned_instances(occurred, texts, rounds, support, confidence)
     best = learned.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind")
     extra = (
-        occurred.filter("kind IS NULL").drop("kind").join(best, "instance").select("doc_id", "kind", "start", "end").distinct()
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
+        occurred.filter("kind IS NULL").drop("kind").join(best, "instance").select("key", "kind", "start", "end").distinct()
+        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
     )
     text = lambda s: F.concat(F.lit("like_"), s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])
-    added = extra.select(F.col("doc_id").alias("__id"), F.array_join(F.transform("extra", text), ",").alias("added"))
-    joined = scanned.select("doc_id", "base").join(added, F.col("doc_id") == F.col("__id"), "left")
+    added = extra.select("key", F.array_join(F.transform("extra", text), ",").alias("added"))
+    joined = scanned.select("doc_id", "key", "base").join(added, "key", "left")
     both = F.array(F.when(F.col("base") != "", F.col("base")), F.col("added"))
-    return joined.select("doc_id", "base", F.array_join(F.array_compact(both), ",").alias("spans"))
+    return joined.select("doc_id", "key", "base", F.array_join(F.array_compact(both), ",").alias("spans"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -221,16 +228,17 @@ def redact(text: str, spans: str) -> str:
 def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with personal data in the text replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]``.
 
-    No row is dropped and missing text stays missing; ids should be unique among different texts.
+    No row is dropped and missing text stays missing. Spans are joined back on the digest of the text:
+    ids may be missing or repeat.
     """
-    spans = personal_spans(docs, text_col, id_col, **options).filter("spans <> ''")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
+    spans = _spans(docs, text_col, id_col, **options).filter("spans <> ''")
+    spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
 
     @F.pandas_udf("string")
     def replace(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([redact(t, s) if s and t is not None else t for t, s in zip(text, found)], dtype=object)
 
-    joined = docs.join(spans, docs[id_col] == F.col("__id"), "left")
+    joined = docs.join(spans, text_key(text_col) == F.col("__key"), "left")
     return joined.select(
         *[replace(F.col(c), F.col("__spans")).alias(c) if c == text_col else docs[c] for c in docs.columns]
     )

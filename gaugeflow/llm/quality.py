@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import WORD_RE, staged, whole, words
+from gaugeflow.llm.common import WORD_RE, staged, text_key, whole, words
 
 #: Shape ratios in thousandths, with the least quartile distance assumed for each: groups of very
 #: even texts would else reject harmless deviations.
@@ -171,8 +171,15 @@ def _verdict(counts: DataFrame, spread: float, min_rows: int) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose text is kept; ids should be unique (a row goes when any row of its
-    id is rejected)."""
-    bad = judged(docs, text_col, id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+def keep_good(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang: str = "lang", source: str = "source", **options
+) -> DataFrame:
+    """The rows of ``docs`` whose text is kept.
+
+    A verdict depends on text, language and source only, and is joined back on a digest of them: ids
+    may be missing or repeat.
+    """
+    key = text_key(text_col, F.col(lang).cast("string"), F.col(source).cast("string"))
+    rows = docs.select(F.col(text_col), F.col(lang), F.col(source), key.alias("__key"))
+    bad = judged(rows, text_col, "__key", lang, source, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    return docs.join(bad, key == F.col("__id"), "left_anti")
