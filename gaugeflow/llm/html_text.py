@@ -2,7 +2,7 @@
 
 Pages of a host come from a few templates. Their trees are aligned by simple tree matching; slots
 whose text stays the same from page to page belong to the template, varying ones are content.
-What names itself a menu, advert, form, comment and so on is never content.
+What names itself a menu, advert, form, comment and so on is never content, unless it holds the article.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ APART = frozenset(
     "aside button canvas dialog fieldset footer form head iframe input label menu nav noscript object optgroup option "
     "script select style svg template textarea title video audio".split()
 )
-#: Words in a class, id or role that name such an element.
+#: Classes, ids and roles that name such an element, alone or together with words of ``PLAIN_WORDS``.
 APART_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc "
@@ -44,6 +44,15 @@ APART_WORDS = frozenset(
     "comment comments disqus reply replies respond discussion reactions "
     "share sharing social follow newsletter subscribe subscription signup login search".split()
 )
+#: Words that say nothing of the content beside one of ``APART_WORDS`` (as in ad-box, site-footer).
+PLAIN_WORDS = frozenset(
+    "area articles bar block bottom box button buttons container content form group holder icons inner item items left "
+    "link links list main module outer panel posts primary right secondary section site slot stories top unit wrap "
+    "wrapper".split()
+)
+#: Of ``APART_WORDS``, those that also name real parts of an article; they count only outside of one.
+DOUBTFUL = frozenset("alert banner discussion follow header notice overlay rail search side toc widget".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that stay whatever their class says.
 ROOTS = frozenset(("html", "body", "article", "main"))
 #: A start tag of these ends an open paragraph.
@@ -54,6 +63,16 @@ ENDS_OWN = {"li": ("ul", "ol", "menu"), "td": ("tr",), "th": ("tr",), "tr": ("ta
 DEPTH = 64
 
 
+def named_apart(attrs: dict[str, str], article: bool) -> bool:
+    """Whether a whole class, id or role says menu, advert, comment and so on; no-sidebar, entry-header do not."""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split():
+        found = set(re.findall(r"[^\W\d_]+", token))
+        apart = found & APART_WORDS
+        if apart and found <= APART_WORDS | PLAIN_WORDS and not (article and apart <= DOUBTFUL):
+            return True
+    return False
+
+
 class Node:
     """An element of the shape tree: siblings with equal labels are one node."""
 
@@ -63,6 +82,10 @@ class Node:
         self.label, self.children, self.number = label, {}, number
 
 
+#: Where a text stands; ``IN_NAMED`` is an article within an element whose name sets it apart.
+OUTSIDE, IN_NAMED, IN_MAIN, IN_ARTICLE = range(4)
+
+
 class Page(HTMLParser):
     """Blocks of text of a page with the number of the slot each stands in."""
 
@@ -70,11 +93,12 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", 0)
         self.n_nodes = 1
-        # per open element: tag, node, kept apart, within an article
-        self.stack = [("", self.root, False, False)]
-        self.blocks: list[tuple[int, str, bool]] = []
+        # per open element: tag, node, kept apart, kept apart for a name only, place (see below)
+        self.stack = [("", self.root, False, False, OUTSIDE)]
+        self.n_named = 0
+        self.blocks: list[tuple[int, str, int]] = []
         self.text: list[str] = []
-        self.place = (0, False)
+        self.place = (0, OUTSIDE)
 
     def _end_block(self) -> None:
         if self.text:
@@ -109,15 +133,24 @@ class Page(HTMLParser):
             if tag == "br" and self.text:
                 self.text.append(" ")
             return
-        _, parent, apart, article = self.stack[-1]
+        _, parent, apart, named, place = self.stack[-1]
         attrs = {k: v or "" for k, v in attrs}
         words = sorted(set(re.findall("[a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower())))
         if tag not in ROOTS:
             hidden = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            apart = apart or hidden or tag in APART or (tag == "header" and not article) or not APART_WORDS.isdisjoint(words)
-        elif tag in ("article", "main") and not APART_WORDS.isdisjoint(words) and article:
-            apart = True  # a comment or teaser set as an article of its own within the article
-        article = article or tag in ("article", "main")
+            apart = apart or hidden or tag in APART or (tag == "header" and not place)
+            if not (place and tag in HEADINGS):
+                named = named or named_apart(attrs, bool(place))
+        elif tag in ("article", "main") and place in (IN_NAMED, IN_ARTICLE) and named_apart(attrs, True):
+            named = True  # a comment or teaser set as an article of its own within the article
+        elif tag in ("article", "main") and place in (OUTSIDE, IN_MAIN):
+            if named:  # the wrapper's name does not count where it holds the article
+                place, named = IN_NAMED, False
+                self.n_named += not apart
+            elif tag == "article" and named_apart(attrs, True) and place:
+                named = True
+            else:
+                place = IN_ARTICLE if tag == "article" else IN_MAIN
         node = parent
         if len(self.stack) <= DEPTH:
             label = " ".join([tag, *words])
@@ -125,19 +158,19 @@ class Page(HTMLParser):
             if node is None:
                 node = parent.children[label] = Node(label, self.n_nodes)
                 self.n_nodes += 1
-        self.stack.append((tag, node, apart, article))
+        self.stack.append((tag, node, apart, named, place))
 
     def handle_endtag(self, tag):
         if tag not in VOID:
             self._close(tag)
 
     def handle_data(self, data):
-        _, node, apart, article = self.stack[-1]
-        if apart:
+        _, node, apart, named, place = self.stack[-1]
+        if apart or named:
             return
         if not self.text:
             block = next((e for e in reversed(self.stack) if e[0] in BLOCK), self.stack[0])
-            self.place = (block[1].number, article)
+            self.place = (block[1].number, place)
         self.text.append(data)
 
 
@@ -154,9 +187,19 @@ def parse(html: str) -> Page:
 
 
 def main_blocks(page: Page) -> list[tuple[int, str]]:
-    """Slots and texts inside the article or main element; of the whole body where there is none."""
-    inside = [(slot, text) for slot, text, article in page.blocks if article]
-    return inside or [(slot, text) for slot, text, _ in page.blocks]
+    """Slots and texts inside the article or main element; of the whole body where there is none.
+
+    An article within an element named menu, advert and so on counts where no other one holds text:
+    it is the main text, or, beside text of the main element, a part of it if it is the only one.
+    """
+    places = {place for _, _, place in page.blocks}
+    if IN_ARTICLE in places or (IN_MAIN in places and page.n_named > 1):
+        use = {IN_MAIN, IN_ARTICLE}
+    elif places & {IN_MAIN, IN_NAMED}:
+        use = {IN_MAIN, IN_NAMED}
+    else:
+        use = {OUTSIDE}
+    return [(slot, text) for slot, text, place in page.blocks if place in use]
 
 
 def tree_of(node: Node) -> list:

@@ -439,6 +439,23 @@ def test_html_blocks():
     assert [t for _, t in html_text.main_blocks(html_text.parse("<p>a</p><p>b <a"))] == ["a", "b"]
 
 
+def test_html_names_of_wrappers_and_blocks():
+    blocks = lambda page: [t for _, t in html_text.main_blocks(html_text.parse(page))]
+    article = "<article><h1>Head</h1><p>text</article>"
+    for name in ("layout no-sidebar", "page has-header", "with-side", "sidebar", "search", "header widget"):
+        assert blocks(f"<body><div class='{name}'>{article}</div><p>out</p></body>") == ["Head", "text"], name
+        assert blocks(f"<main><div class='{name}'>{article}</div></main>") == ["Head", "text"], name
+        assert blocks(f"<div id='{name}'><main><p>text</p></main></div>") == ["text"], name
+    for name in ("entry-header", "side-by-side", "search-results", "widget", "header"):
+        assert blocks(f"<article><div class='{name}'><h1>Head</h1><p>in</p></div><p>text</article>") == ["Head", "in", "text"], name
+    for name in ("ad", "ad-box", "comments", "share-buttons", "related-posts", "site-footer"):
+        assert blocks(f"<article><p>text</p><div class='x {name}'>no</div></article>") == ["text"], name
+    assert blocks("<article><h1 class='share'>Head</h1>text</article>") == ["Head", "text"]
+    assert blocks(f"<div class='related'><article>teaser</article></div>{article}") == ["Head", "text"]
+    assert blocks("<main><p>text</p><div class='related'><article>a</article><article>b</article></div></main>") == ["text"]
+    assert blocks(f"<form>{article}</form><p>out") == ["out"]
+
+
 def test_simple_tree_matching():
     a = ["", 0, [["nav", 1, []], ["div", 2, [["p", 3, []]]], ["footer", 4, []]]]
     b = ["", 0, [["div", 1, [["h1", 2, []], ["p", 3, []]]], ["aside", 4, []], ["footer", 5, []]]]
