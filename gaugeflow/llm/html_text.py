@@ -206,6 +206,38 @@ def tree_of(node: Node) -> list:
     return [node.label, node.number, [tree_of(c) for c in node.children.values()]]
 
 
+#: Elements that tell templates apart, down to the third level below the body.
+FRAME = frozenset("article aside div footer header main nav section table tbody td tr".split())
+
+
+def template_of(root: Node) -> str:
+    """The upper levels of the shape tree, without order and without what stands within the article."""
+
+    def frame(node: Node, depth: int) -> list:
+        tag = node.label.split(" ")[0]
+        if depth == 0 or tag in ("article", "main") or tag in APART:
+            return [node.label]
+        below = (c for c in node.children.values() if c.label.split(" ")[0] in FRAME)
+        return [node.label, sorted(frame(c, depth - 1) for c in below)]
+
+    tops, bodies = [root], []
+    while tops:
+        node = tops.pop()
+        inner = [c for c in node.children.values() if c.label.split(" ")[0] in ("html", "body")]
+        tops += inner
+        bodies.append(frame(Node(node.label, 0), 0) + [frame(c, 2) for c in node.children.values() if c.label.split(" ")[0] in FRAME])
+    return json.dumps(sorted([b[0], sorted(b[1:])] for b in bodies))
+
+
+def paths(node: list, above: str = "") -> dict[int, str]:
+    """The labels from the root to every slot."""
+    here = f"{above}/{node[0]}"
+    out = {node[1]: here}
+    for child in node[2]:
+        out |= paths(child, here)
+    return out
+
+
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: the most pairs of equal labels that keep order and descent.
 
@@ -236,11 +268,13 @@ def host_of(url: Column) -> Column:
 
 
 def constant_blocks(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """``page_id, drop``: numbers of the blocks of a page that belong to its host's template.
+    """``page_id, drop``: numbers of the blocks of a page that belong to a template of its host.
 
-    ``pages`` has ``page_id, host, html``. Every page is aligned with its host's reference page (the
-    one whose content hashes lowest), and counted under the reference's slots. Counts are over all
-    pages and combined map-side, so a hot host sends one row per block and task.
+    ``pages`` has ``page_id, host, html``. A host's pages with equal upper levels of the shape tree
+    share a template. Every page is aligned with the reference page of its template, and of its host
+    where that has several templates (the one with text whose content hashes lowest), and counted
+    under the reference's slots; a slot without match stands for itself, by its path. Counts are over
+    all pages and combined map-side, so a hot host sends one row per block and task.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -253,49 +287,56 @@ def constant_blocks(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame
                 page = parse(html)
                 blocks = [(slot, xxhash.xxh3_64_intdigest(t) - 2**63) for slot, t in main_blocks(page)]
                 content = xxhash.xxh3_64_intdigest(repr(blocks)) - 2**63
-                rows.append((key, host, json.dumps(tree_of(page.root)), content, [b[0] for b in blocks], [b[1] for b in blocks]))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "tree", "content", "slots", "hashes"])
+                template = xxhash.xxh3_64_intdigest(template_of(page.root)) - 2**63
+                rows.append((key, host, template, json.dumps(tree_of(page.root)), content, [b[0] for b in blocks], [b[1] for b in blocks]))
+            yield pd.DataFrame(rows, columns=["page_id", "host", "template", "tree", "content", "slots", "hashes"])
 
     shaped = staged(
         pages.mapInPandas(
-            shape, f"page_id {kind}, host string, tree string, content long, slots array<int>, hashes array<long>"
+            shape, f"page_id {kind}, host string, template long, tree string, content long, slots array<int>, hashes array<long>"
         ),
         "html-shapes",
     )
-    reference = staged(
-        shaped.groupBy("host").agg(
-            F.min(F.struct("content", "tree")).alias("r"), F.count("*").alias("__n")
-        ).select("host", F.col("r.tree").alias("reference")),
-        "html-references",
-    )
+    # a page counts in its template, and in its host (template null) where that has several
+    least = F.min(F.struct((F.size("slots") == 0).alias("empty"), "content", "tree"))
+    own = staged(shaped.groupBy("host", "template").agg(least.alias("r")), "html-references")
+    all_of = own.groupBy("host").agg(F.min("r").alias("r"), F.count("*").alias("n")).filter("n > 1")
+    reference = own.select("host", F.struct("template").alias("level"), F.col("r.tree").alias("reference")).union(
+        all_of.select("host", F.struct(F.lit(None).cast("long").alias("template")), "r.tree")
+    )
+    none = F.struct(F.lit(None).cast("long").alias("template"))
+    levels = shaped.withColumn("level", F.explode(F.array(F.struct("template"), none))).drop("template")
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def aligned(trees: pd.Series, references: pd.Series, slots: pd.Series) -> pd.Series:
+        import xxhash
+
         known: dict = {}
         out = []
         for t, r, s in zip(trees, references, slots):
             if (t, r) not in known:
-                known[t, r] = dict(match(json.loads(t), json.loads(r))[1])
+                tree = json.loads(t)
+                alone = {x: -1 - (xxhash.xxh3_64_intdigest(p) >> 1) for x, p in paths(tree).items()}
+                known[t, r] = alone | dict(match(tree, json.loads(r))[1])
             at = known[t, r]
-            out.append([at.get(int(x), -1 - int(x)) for x in s])
+            out.append([at[int(x)] for x in s])
         return pd.Series(out, dtype=object)
 
-    placed = shaped.join(reference, "host").select(
-        "page_id", "host", "content", F.arrays_zip(aligned("tree", "reference", "slots").alias("slot"), F.col("hashes").alias("hash")).alias("b")
+    placed = levels.join(reference, ["host", "level"]).select(
+        "page_id", "host", "level", "content", F.arrays_zip(aligned("tree", "reference", "slots").alias("slot"), F.col("hashes").alias("hash")).alias("b")
     )
-    placed = staged(placed.select("page_id", "host", "content", F.posexplode("b").alias("at", "b")).select(
-        "page_id", "host", "content", "at", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")
+    placed = staged(placed.select("page_id", "host", "level", "content", F.posexplode("b").alias("at", "b")).select(
+        "page_id", "host", "level", "content", "at", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")
     ), "html-blocks")
     # pages with the same content are one page
-    distinct = shaped.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = placed.select("host", "content", "slot", "hash").distinct().groupBy("host", "slot", "hash").agg(F.count("*").alias("n"))
+    distinct = levels.select("host", "level", "content").distinct().groupBy("host", "level").agg(F.count("*").alias("pages"))
+    block = ["host", "level", "slot", "hash"]
+    seen = placed.select(*block, "content").distinct().groupBy(*block).agg(F.count("*").alias("n"))
     constant = (
-        seen.filter(F.col("n") >= min_pages).join(distinct, "host").filter(F.col("n") >= ratio * F.col("pages"))
-        .select("host", "slot", "hash")
+        seen.filter(F.col("n") >= min_pages).join(distinct, ["host", "level"]).filter(F.col("n") >= ratio * F.col("pages"))
+        .select(*block)
     )
-    return placed.join(staged(constant, "html-template"), ["host", "slot", "hash"]).groupBy("page_id").agg(
-        F.collect_set("at").alias("drop")
-    )
+    return placed.join(staged(constant, "html-template"), block).groupBy("page_id").agg(F.collect_set("at").alias("drop"))
 
 
 def main_text(
@@ -304,12 +345,13 @@ def main_text(
     url_col: str = "url",
     id_col: str = "page_id",
     ratio: float = 0.5,
-    min_pages: int = 10,
+    min_pages: int = 3,
 ) -> DataFrame:
     """``page_id, url, text`` per page: the blocks of its main text, joined by line feeds.
 
     A block of the article is template, and dropped, when it stands in the same slot of at least
-    ``ratio`` of its host's pages, and of ``min_pages`` (pages of equal content count once). Blocks
+    ``ratio`` of the pages of its template (or of its host), and of ``min_pages`` (pages of equal content
+    count once). Blocks
     outside the article, and those in menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles and comments, are no content. Character references are decoded, white space in a
     block becomes one space. Missing html is empty and gives an empty text; a missing or odd url

@@ -473,3 +473,29 @@ def test_html_template_lines_go(spark):
     assert got[2] == "story 2" and got[3].startswith("story 3") and got[90] == "Read us daily\nstory 1\nx"
     assert got[91] == "" and got[92] == "x"
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string, tree int")).count() == 0
+
+
+def test_html_templates_of_mixed_and_small_hosts(spark):
+    frames = [
+        "<body><div class='a'><article><p>Read us</p><p>story {i}</p></article></div></body>",
+        "<body><div class='b'><nav>n</nav><article><p>story {i}</p><p>Write us</p></article></div></body>",
+        "<body><section><article><h1>Head {i}</h1>{x}<p>Call us</p><p>story {i}</p></article></section></body>",
+    ]
+    page = lambda i: frames[i % 3].format(i=i, x="<div class='odd'><p>x</p></div>" * (i % 2))
+    rows = [(i, "http://mixed.example/", page(i)) for i in range(36)]
+    rows += [(100 + i, "http://small.example/", page(3 * i)) for i in range(3)]
+    rows += [(300 + k, "http://odd.example/", f"<body><div class='q{c}'>z</div><article><p>Join us</p><p>story {k}</p></article>")
+             for k, c in enumerate("abcdef")]
+    rows += [(200, "http://single.example/", page(0)), (201, "http://mixed.example/", ""), (202, None, page(0))]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(docs).collect()}
+    want = lambda i: f"story {i}" if i % 3 < 2 else f"Head {i}\nstory {i}"
+    assert {i: got[i] for i in range(36)} == {i: want(i) for i in range(36)}  # x stands on half of its template's pages
+    assert [got[100 + i] for i in range(3)] == [f"story {3 * i}" for i in range(3)]
+    assert [got[300 + k] for k in range(6)] == [f"story {k}" for k in range(6)]  # no two of one template
+    assert got[200] == got[202] == "Read us\nstory 0" and got[201] == ""
+
+
+def test_slots_without_match_stand_by_their_path():
+    one, two = (html_text.tree_of(html_text.parse(p).root) for p in ("<div><p>a</div><ul><li>b</ul>", "<ul><li>b</ul>"))
+    assert set(html_text.paths(two).values()) < set(html_text.paths(one).values())
