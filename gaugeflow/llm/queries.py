@@ -138,6 +138,7 @@ SELECT a.conv_id, a.turn, 'result', a.id, (2 * depth + 1)::BIGINT, CASE WHEN e.i
 FROM a LEFT JOIN e USING (id)""",
 )
 def op7(conversations: DataFrame) -> DataFrame:
+    """Calls and results only; turns of roles other than user and assistant give no rows."""
     spark = conversations.sparkSession
     schemas = spark.createDataFrame(REPLY_SCHEMA, "tool string, field string, type string, required boolean")
     events = chat.link_tool_calls(*chat.reply_calls(conversations), schemas)
