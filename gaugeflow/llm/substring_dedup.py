@@ -1,9 +1,8 @@
-"""Repeated passages: prefix-partitioned suffix trees over a corpus of words.
+"""Repeated passages: windows of words, grouped by an anchor within them.
 
-A sparse suffix tree is enough: of all suffixes, those matter that begin within a window whose
-lowest-hashing prefix (its anchor) occurs twice in the corpus. Suffixes are split into groups by
-that prefix; each group's subtree is built in one task, and its internal nodes at the depth of a
-window are the repeated windows.
+Windows are hashed; no suffix tree is built, as repeats of one length only are asked for. Of all
+windows, those matter whose lowest-hashing short part (the anchor) occurs twice in the corpus. They
+are split into groups by anchor; a group's windows go through a dictionary in one task.
 """
 
 from __future__ import annotations
@@ -93,11 +92,10 @@ def windows_of(first: int, text: str, window: int) -> Iterator[tuple[str, int]]:
 
 
 def subtree(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, int, int]]:
-    """Windows of a group that are not the first below their node: ``(row, first start, last start)``.
+    """Windows of a group that also stand at an earlier place: ``(row, first start, last start)``.
 
-    ``group`` holds ``(doc, row, first, words)``. A window is a path from the root of the group's
-    suffix tree to the depth of a window. The paths that several leaves share end in the internal
-    nodes of that depth; the least leaf below such a node is the window's first place.
+    ``group`` holds ``(doc, row, first, words)``. A dictionary keeps the least place of every whole
+    window; all its other places are returned, in runs.
     """
     least: dict[str, tuple[int, int, int]] = {}
     paths = []
