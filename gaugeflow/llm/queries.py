@@ -1,4 +1,4 @@
-"""``op1`` to ``op10``: every operator with production parameters on its whole table."""
+"""``op1`` to ``op13``: every operator with production parameters on its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality, substring_dedup
+from gaugeflow.llm import (
+    byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality, spelling, substring_dedup,
+)
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -193,3 +195,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)""",
 )
 def op10(docs: DataFrame) -> DataFrame:
     return exact_dedup.exact_duplicates(docs)
+
+
+@query("op13_spelling_variant_grouping")
+def op13(docs: DataFrame) -> DataFrame:
+    return spelling.spelling_variants(docs)
