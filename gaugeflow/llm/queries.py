@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import (
-    byte_bpe, chat, exact_dedup, html_text, line_dedup, ngram_join, packing, personal, quality, spelling, substring_dedup,
+    byte_bpe, chat, exact_dedup, html_text, lexical, line_dedup, ngram_join, packing, passage_quality, personal, quality,
+    spelling, substring_dedup,
 )
 from gaugeflow.llm.registry import ORACLES, QUERIES, query
 
@@ -197,6 +198,40 @@ def op10(docs: DataFrame) -> DataFrame:
     return exact_dedup.exact_duplicates(docs)
 
 
+@query("op11_quality_classifier", also=("labels",))
+def op11(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return passage_quality.quality_scores(docs, labels)
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op12_ranked_lexical_search",
+    also=("benchmark",),
+    sql=f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS length FROM s),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM s)
+  GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), g),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)
+  GROUP BY item_id, term),
+r AS (SELECT item_id, doc_id, sum(times * w *
+    ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * documents) // length))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20""",
+)
+def op12(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return lexical.ranked_search(docs, benchmark)
+
+
 @query("op13_spelling_variant_grouping")
 def op13(docs: DataFrame) -> DataFrame:
     return spelling.spelling_variants(docs)
