@@ -205,10 +205,10 @@ def _(t):
     return clustering.project_2d(t.vectors(), VCOLS, ["vec_id"])
 
 
-EPS, MIN_SAMPLES = 0.06, 6
-DBSCAN_SQL = f"""WITH RECURSIVE {VECTORS_SQL},
-near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
-  WHERE sqrt((a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1) + (a.e2 - b.e2) * (a.e2 - b.e2)) <= {EPS}),
+EPS, MIN_SAMPLES = 1.19, 5
+SHIFTED_SQL = VECTORS_SQL.replace("::DOUBLE AS e", "::DOUBLE + 50 * (label % 4) AS e").replace("v AS (", "v AS MATERIALIZED (", 1)
+DBSCAN_SQL = f"""WITH RECURSIVE {SHIFTED_SQL},
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE sqrt({DIST2}) <= {EPS}),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
 reach(id, root) AS (SELECT id, id FROM core UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.id JOIN core c ON c.id = n.b),
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
@@ -220,7 +220,7 @@ FROM v LEFT JOIN numbered m ON m.id = v.vec_id LEFT JOIN edge e ON e.id = v.vec_
 
 @query("dbscan", DBSCAN_SQL)
 def _(t):
-    out = density.dbscan(t.vectors(), ["e0", "e1", "e2"], "vec_id", eps=EPS, min_samples=MIN_SAMPLES)
+    out = density.dbscan(_vectors(t), VCOLS, "vec_id", eps=EPS, min_samples=MIN_SAMPLES)
     return out.select("vec_id", "is_core", "label")
 
 

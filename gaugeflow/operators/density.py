@@ -21,7 +21,8 @@ from gaugeflow.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
-GRID_DIMS = 3
+PIVOTS = 3
+FINER = 10  # times that the width of a cell may be halved
 
 
 def dbscan(
@@ -33,12 +34,15 @@ def dbscan(
     min_samples: int = 15,
     scale: bool = False,
     tile_rows: int = 1024,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """Add ``is_core`` and ``label`` (-1 is noise) to ``(id, cols)``.
 
-    Equal points are first merged into one weighted site.  Sites are put into grid
-    cells no narrower than eps over the leading columns, and a full cell is cut into
-    chunks, so one task compares two chunks of at most about ``tile_rows`` sites each.
+    Equal points are first merged into one weighted site.  Distances use all columns.  Sites
+    are put into cells, no narrower than eps, over their distances to a few pivots far apart:
+    by the triangle inequality two sites within eps differ by no more than eps in each of them,
+    whatever the number of columns.  A full cell is cut into chunks, so one task compares two
+    chunks of at most about ``tile_rows`` sites each.
     A task returns neighbour counts and the links of a spanning forest, not pairs.
     A crowded spot (a box of diagonal eps with enough points) needs no comparisons of its
     own: its points are all core and all linked.
@@ -52,7 +56,8 @@ def dbscan(
     rows = rows.withColumn("__x", F.array(*cols))
     merged = rows.groupBy(F.col("__x").alias("x")).agg(F.min(id_col).alias("pid"), F.count("*").alias("wt"))
     spotted = cut_lineage(_with_spots(merged, len(cols), eps, min_samples, tile_rows))
-    sites = cut_lineage(_with_tiles(spotted, min(GRID_DIMS, len(cols)), eps, tile_rows))
+    placed = spotted.withColumn("at", F.array(*[_distance(F.col("x"), p) for p in _pivots(spotted, pivots)]))
+    sites = cut_lineage(_with_tiles(cut_lineage(placed), pivots, eps, tile_rows))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
@@ -107,17 +112,50 @@ def _with_spots(sites: DataFrame, dims: int, eps: float, min_samples: int, tile_
     return boxed.join(crowded.select("box", "spot"), "box", "left").drop("box")
 
 
+def _distance(x: Column, point: Sequence[float]) -> Column:
+    """Euclidean distance of a vector column to one point."""
+    gaps = F.zip_with(x, F.array(*[F.lit(float(v)) for v in point]), lambda a, b: (a - b) * (a - b))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g))
+
+
+def _pivots(sites: DataFrame, n: int) -> list[list[float]]:
+    """``n`` sites far apart: each is the farthest from those before it, the first from the origin.
+
+    Ties go to the least id; with fewer distinct sites some pivots repeat, which prunes nothing.
+    """
+    first = sites.select(F.size("x").alias("d")).first()
+    if first is None:
+        return [[0.0]] * n
+    chosen: list[list[float]] = []
+    for _ in range(n):
+        apart = F.least(*[_distance(F.col("x"), p) for p in chosen] * (2 if len(chosen) == 1 else 1)) if chosen else None
+        apart = _distance(F.col("x"), [0.0] * first["d"]) if apart is None else apart
+        chosen.append(list(sites.agg(F.max_by("x", F.struct(apart, -F.col("pid")))).first()[0]))
+    return chosen
+
+
 def _with_tiles(sites: DataFrame, dims: int, eps: float, tile_rows: int) -> DataFrame:
-    """Sites with the tiles (pairs of chunks) they take part in.
+    """Sites with the tiles (pairs of chunks) they take part in, by the ``dims`` distances in ``at``.
 
     Cells are at least eps wide, so neighbours lie in adjoining cells; sparse data gets
-    wider cells, for about ``tile_rows`` sites each.
+    wider cells, for about ``tile_rows`` sites in each that has any. Distances are rounded:
+    cells are wider by more than that.
     """
-    at = [F.get("x", F.lit(d)) for d in range(dims)]
-    spans = sites.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"s{i}") for i, a in enumerate(at)]).first()
-    per_dim = max(1, math.floor((spans["n"] / tile_rows) ** (1 / dims)))
-    widths = [max(eps, (spans[f"s{d}"] or 0.0) / per_dim) * (1 + 1e-9) for d in range(dims)]
-    cell = F.struct(*[F.floor(a / w).alias(f"c{d}") for d, (a, w) in enumerate(zip(at, widths))])
+    at = [F.get("at", F.lit(d)) for d in range(dims)]
+    spread = [f(a).alias(f"{name}{i}") for i, a in enumerate(at) for name, f in (("lo", F.min), ("hi", F.max))]
+    spans = sites.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("length"), *spread).first()
+    wanted = spans["n"] / tile_rows
+    low, high = ([spans[f"{name}{d}"] or 0.0 for d in range(dims)] for name in ("lo", "hi"))
+    blur = [1e-15 * (spans["length"] or 1) * h for h in high]
+
+    def cells(per_dim: int) -> Column:
+        widths = [max(eps, (high[d] - low[d]) / per_dim) * (1 + 1e-9) + blur[d] for d in range(dims)]
+        return F.struct(*[F.floor((at[d] - low[d]) / widths[d]).alias(f"c{d}") for d in range(dims)])
+
+    # where sites crowd together few cells are occupied, and narrower ones part them
+    finer = [max(1, math.floor(wanted ** (1 / dims))) << k for k in range(FINER)]
+    counts = sites.agg(*[F.approx_count_distinct(cells(p)).alias(f"n{k}") for k, p in enumerate(finer)]).first()
+    cell = cells(next((p for k, p in enumerate(finer) if counts[f"n{k}"] >= wanted), finer[-1]))
     placed = sites.withColumn("cell", cell)
     units = placed.groupBy("cell", "spot").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("chunks"))
     offsets = [

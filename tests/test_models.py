@@ -200,7 +200,7 @@ def brute_dbscan(x, eps, m):
     return core, label
 
 
-@pytest.mark.parametrize("dims,eps,tile", [(2, 0.35, 16), (2, 0.35, 1000), (4, 1.0, 40)])
+@pytest.mark.parametrize("dims,eps,tile", [(2, 0.35, 16), (2, 0.35, 1000), (4, 1.0, 40), (8, 2.2, 25), (64, 9.0, 30)])
 def test_dbscan_against_brute_force(spark, dims, eps, tile):
     rng = np.random.default_rng(dims)
     x = np.round(np.concatenate([rng.normal(size=(120, dims)), rng.normal(size=(40, dims)) * 0.1 + 4, rng.uniform(-5, 8, (40, dims))]), 3)
@@ -214,6 +214,21 @@ def test_dbscan_against_brute_force(spark, dims, eps, tile):
     assert len(set(label)) > 2
 
 
+def test_pivots_leave_most_tiles_out(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 64)) * 30
+    x = np.concatenate([c + rng.normal(size=(50, 64)) for c in centres])
+    sites = spark.createDataFrame([(i, list(map(float, r)), 1, None) for i, r in enumerate(x)], "pid long, x array<double>, wt long, spot long")
+    chosen = density._pivots(sites, 3)
+    assert len({tuple(p) for p in chosen}) == 3 and all(list(p) in x.tolist() for p in chosen)
+    placed = sites.withColumn("at", F.array(*[density._distance(F.col("x"), p) for p in chosen]))
+    tiles = density._with_tiles(placed, 3, 13.0, 50).select(F.explode("tiles").alias("t")).select("t.*")
+    sides = tiles.groupBy("lo", "hi").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count("*").alias("n")).collect()
+    compared = sum(r["l"] * (r["n"] if r["lo"] == r["hi"] else r["n"] - r["l"]) for r in sides)
+    assert compared < 0.25 * len(x) ** 2
+    assert all(r["n"] <= 200 for r in sides)
+
+
 def test_dbscan_crowded_spots(spark):
     rng = np.random.default_rng(12)
     x = np.concatenate([rng.normal(size=(150, 2)) * 0.02, rng.normal(size=(80, 2)) * 0.02 + [0.5, 0], rng.uniform(-2, 2, (60, 2))])
