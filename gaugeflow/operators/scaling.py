@@ -51,3 +51,12 @@ def spread(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     dealt = F.pmod(F.xxhash64(*df.columns), F.lit(shards)).cast("int")
     return df.repartition(shards, dealt).sortWithinPartitions(F.xxhash64(*df.columns))
+
+
+def busy_partitions(df: DataFrame) -> DataFrame:
+    """A stored table that is read many times, dealt out if its files are too few to keep all cores busy.
+
+    Larger tables keep the partitions of their files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

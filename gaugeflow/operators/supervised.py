@@ -1,24 +1,26 @@
-"""Regression and classification estimators as persistable MLlib pipelines.
+"""Regression and classification estimators.
 
-Each ``fit_*`` standardises with population deviations, assembles the features and
-fits one estimator; defaults are the configured ones, and ``predict`` scores.
+Linear and logistic regression and bagged trees are persistable MLlib pipelines that standardise
+with population deviations and assemble the features; randomised and boosted trees are the models
+of ``random_trees`` and ``boosting``. Defaults are the configured settings, and ``predict`` scores.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.boosting import BoostedTrees, fit_boosted_trees
+from gaugeflow.operators.random_trees import RandomForest, fit_random_trees
 from gaugeflow.operators.scaling import scaler_stage, spread
 from gaugeflow.plans import defaults
 
@@ -88,49 +90,10 @@ def fit_random_threshold_forest(
     trees: int = 300,
     depth: int = 16,
     min_leaf: int = 2,
-    binnings: int = 10,
-    cuts: int = 31,
     seed: int = defaults.SEED,
-) -> PipelineModel:
-    """Trees whose cut points are random instead of searched.
-
-    Each of ``binnings`` forests sees the features through its own random cut points
-    and grows without bootstrap; the forests are averaged.  Each split of a regression tree
-    tries a random three quarters of the features, so that trees of one binning differ.  For a
-    0/1 label the mean of the leaves is the class-1 probability, and variance splits equal Gini
-    splits.
-    """
-    rng = random.Random(seed)
-    spans = train.agg(*[f(F.col(c)).alias(f"{t}_{c}") for c in features for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    ready = spread(train.select(*features, label)).persist()
-    stages, outputs = [], []
-    try:
-        for g in range(binnings):
-            bins = [f"b{g}_{c}" for c in features]
-            splits = []
-            for c in features:
-                lo, hi = float(spans[f"lo_{c}"]), float(spans[f"hi_{c}"])
-                points = sorted({rng.uniform(lo, hi) for _ in range(cuts)})
-                splits.append([float("-inf"), *points, float("inf")])
-            bucket = Bucketizer(inputCols=list(features), outputCols=bins, splitsArray=splits)
-            vector = VectorAssembler(inputCols=bins, outputCol=f"v{g}")
-            forest = RandomForestRegressor(
-                featuresCol=f"v{g}", labelCol=label, predictionCol=f"p{g}", bootstrap=False,
-                numTrees=max(1, round(trees / binnings)), maxDepth=depth, minInstancesPerNode=min_leaf,
-                maxBins=cuts + 1, seed=seed + g,
-                featureSubsetStrategy="0.75" if task == "regression" else "sqrt",
-            )
-            binned = vector.transform(bucket.transform(ready))
-            stages += [bucket, vector, forest.fit(binned)]
-            outputs.append(f"p{g}")
-    finally:
-        ready.unpersist()
-    mean = f"({' + '.join(outputs)}) / {binnings}"
-    if task == "regression":
-        final = f"SELECT *, {mean} AS prediction FROM __THIS__"
-    else:
-        final = f"SELECT *, {mean} AS score, CAST({mean} > 0.5 AS DOUBLE) AS prediction FROM __THIS__"
-    return PipelineModel([*stages, SQLTransformer(statement=final)])
+) -> RandomForest:
+    """Trees without bootstrap whose nodes each draw one cut per feature, see ``random_trees``."""
+    return fit_random_trees(train, features, label, task=task, trees=trees, depth=depth, min_leaf=min_leaf, seed=seed)
 
 
 def fit_gradient_boosting(
@@ -140,16 +103,15 @@ def fit_gradient_boosting(
     *,
     task: str = "regression",
     depth: int = 8,
+    leaves: int = 31,
     rate: float = 0.08,
     iterations: int = 300,
     min_leaf: int = 25,
-    seed: int = defaults.SEED,
-) -> PipelineModel:
-    common = dict(
-        labelCol=label, maxDepth=depth, stepSize=rate, maxIter=iterations, minInstancesPerNode=min_leaf, seed=seed
+) -> BoostedTrees:
+    """Leaf-wise trees over histograms of gradients, see ``boosting``."""
+    return fit_boosted_trees(
+        train, features, label, task=task, depth=depth, leaves=leaves, rate=rate, iterations=iterations, min_leaf=min_leaf
     )
-    kind = GBTRegressor if task == "regression" else GBTClassifier
-    return _fit(train, features, label, kind(**common))
 
 
 def predict(model, df: DataFrame) -> DataFrame:

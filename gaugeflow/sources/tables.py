@@ -37,9 +37,14 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("allowNonNumericNumbers", "true").json(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> None:
+    """Store a fitted model: MLlib pipelines in their own format, other models by their ``save``."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:
+        model.save(SparkSession.active(), path)
 
 
 def load_model(path: str) -> PipelineModel:
+    """A stored pipeline; other models are read by their class's ``load``."""
     return PipelineModel.load(path)

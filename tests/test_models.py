@@ -44,8 +44,6 @@ def test_logistic_minimises_the_penalised_loss(points):
 @pytest.mark.parametrize("task", ["regression", "classification"])
 def test_trees(points, fit, task):
     size = dict(iterations=5, depth=3) if fit is supervised.fit_gradient_boosting else dict(trees=6, depth=6)
-    if fit is supervised.fit_random_threshold_forest:
-        size["binnings"] = 2
     model = fit(points, ["a", "b"], "y" if task == "regression" else "flag", task=task, **size)
     out = supervised.predict(model, points)
     if task == "regression":
@@ -255,16 +253,6 @@ def test_components(spark):
     assert got == want
 
 
-def test_random_threshold_trees_differ(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 4))
-    rows = [(*map(float, v), float(v[0] * 2 + v[1] - v[2])) for v in x]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double")
-    model = supervised.fit_random_threshold_forest(df, ["a", "b", "c", "d"], "y", trees=6, depth=4, binnings=2)
-    trees = [t.toDebugString.split("\n", 1)[1] for s in model.stages if hasattr(s, "trees") for t in s.trees]
-    assert len(trees) == 6 and len(set(trees)) == 6
-
-
 def test_perceptron_does_not_follow_the_partitions(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 2))

@@ -37,7 +37,7 @@ def test_whole_run(spark, tmp_path):
     (tmp_path / "raw.csv").write_text("\n".join(text) + "\n")
     raw = delimited.read_delimited(spark, str(tmp_path / "raw.csv"), required=defaults.REQUIRED_COLUMNS)
     sizes = Sizes(
-        forest=dict(trees=5, depth=5), random_threshold=dict(trees=4, depth=5, binnings=2), boosting=dict(depth=3, iterations=3),
+        forest=dict(trees=5, depth=5), random_threshold=dict(trees=4, depth=5), boosting=dict(depth=3, iterations=3),
         kmeans=dict(k=4, restarts=2, max_iter=10), gmm=dict(k=4, restarts=1, max_iter=5), hierarchical=dict(k=4, micro=30),
         mlp={"mlp": dict(hidden=(8,), epochs=3)},
     )
