@@ -21,20 +21,23 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators.boosting import BoostedTrees, fit_boosted_trees
 from gaugeflow.operators.random_trees import RandomForest, fit_random_trees
-from gaugeflow.operators.scaling import scaler_stage, spread
+from gaugeflow.operators.scaling import busy_partitions, scaler_stage
 from gaugeflow.plans import defaults
+from gaugeflow.session import cut_lineage
 
 
 def _fit(
     train: DataFrame, features: Sequence[str], label: str, estimator: Estimator, *, repeated: bool = True
 ) -> PipelineModel:
-    """Scale and assemble; an estimator that reads its input ``repeated``ly gets it persisted."""
+    """Scale and assemble; an estimator that reads its input ``repeated``ly gets it stored and persisted."""
+    if repeated:
+        train = busy_partitions(cut_lineage(train.select(*features, label)))
     vector = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features")
     prepare = PipelineModel([scaler_stage(train, features), vector])
     ready = prepare.transform(train).select("features", label)
     if not repeated:
         return PipelineModel([*prepare.stages, estimator.fit(ready)])
-    ready = spread(ready).persist()
+    ready = ready.persist()
     try:
         fitted = estimator.fit(ready)
     finally:
