@@ -182,9 +182,8 @@ def _(t):
 
 @query("fit_gmm", GROUPS_SQL)
 def _(t):
-    # a covariance of all dimensions needs more rows than the smallest tables have
     df = _vectors(t)
-    return _by_least_member(clustering.fit_gmm(df, VCOLS[:4]), df)
+    return _by_least_member(clustering.fit_gmm(df, VCOLS), df)
 
 
 @query("fit_hierarchical", GROUPS_SQL)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.kernels import tile_distance_sums, ward_labels
 from gaugeflow.operators.describe import cluster_counts
-from gaugeflow.operators.scaling import scaler_stage, spread, standardize
+from gaugeflow.operators.mixture import Clusters, fit_centres, fit_mixture
+from gaugeflow.operators.scaling import busy_partitions, scaler_stage, standardize
 from gaugeflow.plans import defaults
 from gaugeflow.session import cut_lineage
 
@@ -29,17 +30,6 @@ def _scaled(df: DataFrame, cols: Sequence[str]) -> list:
     return [scaler_stage(df, cols), vector]
 
 
-def _best_of(df: DataFrame, cols: Sequence[str], estimators: list, cost) -> PipelineModel:
-    """Fit every restart on one prepared input and keep the cheapest."""
-    prepare = PipelineModel(_scaled(df, cols))
-    ready = spread(prepare.transform(df).select("features")).persist()
-    try:
-        best = min((e.fit(ready) for e in estimators), key=cost)
-    finally:
-        ready.unpersist()
-    return PipelineModel([*prepare.stages, best])
-
-
 def fit_kmeans(
     df: DataFrame,
     cols: Sequence[str],
@@ -48,9 +38,9 @@ def fit_kmeans(
     restarts: int = 10,
     max_iter: int = 300,
     seed: int = defaults.SEED,
-) -> PipelineModel:
-    runs = [KMeans(k=k, maxIter=max_iter, seed=seed + r) for r in range(restarts)]
-    return _best_of(df, cols, runs, lambda m: m.summary.trainingCost)
+) -> Clusters:
+    """The best of ``restarts`` k-means fits, which share every pass over the rows."""
+    return fit_centres(df, cols, k, restarts, max_iter, seed)
 
 
 def fit_gmm(
@@ -60,11 +50,12 @@ def fit_gmm(
     k: int = 4,
     restarts: int = 5,
     max_iter: int = 100,
+    tol: float = 1e-3,
+    ridge: float = 1e-6,
     seed: int = defaults.SEED,
-) -> PipelineModel:
-    """Full-covariance Gaussian mixture."""
-    runs = [GaussianMixture(k=k, maxIter=max_iter, tol=1e-3, seed=seed + r) for r in range(restarts)]
-    return _best_of(df, cols, runs, lambda m: -m.summary.logLikelihood)
+) -> Clusters:
+    """Full-covariance Gaussian mixture, see ``mixture``."""
+    return fit_mixture(df, cols, k, restarts, max_iter, tol, ridge, seed)
 
 
 def fit_hierarchical(
@@ -82,7 +73,7 @@ def fit_hierarchical(
     merged by Ward's criterion, and rows inherit the cluster of their centre.
     """
     prepare = PipelineModel(_scaled(df, cols))
-    ready = spread(prepare.transform(df).select("features")).persist()
+    ready = busy_partitions(cut_lineage(prepare.transform(df).select("features"))).persist()
     try:
         fitted = KMeans(k=micro, maxIter=max_iter, seed=seed, predictionCol="micro").fit(ready)
     finally:

@@ -40,12 +40,16 @@ class Adam:
         return weights - size * self.m / (np.sqrt(self.v) + 1e-8)
 
 
-def summed_gradient(rows: DataFrame, gradient: Gradient, weights: np.ndarray) -> tuple[np.ndarray, float, int]:
+def summed_gradient(
+    rows: DataFrame, gradient: Gradient, weights: np.ndarray, size: int | None = None
+) -> tuple[np.ndarray, float, int]:
     """``gradient`` over all of ``rows``: tasks add up their batches, and no task nor the driver adds
-    more than ``SLOTS`` vectors. No rows give zeros."""
+    more than ``SLOTS`` vectors. No rows give zeros. Other sums than gradients may have a ``size``
+    that is not that of the weights."""
+    size = len(weights) if size is None else size
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loss, n = np.zeros_like(weights), 0.0, 0
+        total, loss, n = np.zeros(size), 0.0, 0
         for frame in frames:
             if len(frame):
                 g, some, count = gradient(weights, frame)
@@ -66,5 +70,5 @@ def summed_gradient(rows: DataFrame, gradient: Gradient, weights: np.ndarray) ->
         parts = parts.withColumn("slot", F.floor(F.col("slot") / SLOTS).cast("int"))
         parts, vectors = parts.groupBy("slot").applyInPandas(merge, schema), -(-vectors // SLOTS)
     got = sorted(parts.collect(), key=lambda r: r["slot"])  # the same sum whatever task ends first
-    total = sum((np.frombuffer(bytes(r["g"])) for r in got), np.zeros_like(weights))
+    total = sum((np.frombuffer(bytes(r["g"])) for r in got), np.zeros(size))
     return total, float(sum(r["loss"] for r in got)), sum(r["n"] for r in got)
