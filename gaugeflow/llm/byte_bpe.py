@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import whole
+from gaugeflow.llm.common import carried, restored, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -113,7 +113,6 @@ def round_trip(
     gives no rows. No shuffle: a row's work depends on that row alone. Both steps run in one pass
     with one copy of the vocabulary, over slices of ``SLICE`` rows, so that a worker holds little.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = load_encoding(rank_file, pattern)
@@ -124,5 +123,5 @@ def round_trip(
                 decoded = [encoding.decode_bytes(i.tolist()) for i in ids]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [i.tobytes() for i in ids], "decoded": decoded})
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, ids binary, decoded binary")
+    texts = docs.select(carried(id_col), whole(text_col).alias("text"))
+    return restored(texts.mapInPandas(run, "doc_id string, ids binary, decoded binary"), docs, id_col)

@@ -24,6 +24,16 @@ def text_key(*texts: str | Column) -> Column:
     return each[0] if len(each) == 1 else F.sha2(F.concat(*each), 256)
 
 
+def carried(id_col: str) -> Column:
+    """An id as text: numbers pass through Python whole, also next to missing ones."""
+    return F.col(id_col).cast("string").alias("doc_id")
+
+
+def restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """``doc_id`` of ``df`` in the type that it has in ``docs``."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+
+
 def words(text: Column) -> Column:
     """Array of words; empty for a text without any."""
     inner = F.btrim(text, F.lit(GAP))

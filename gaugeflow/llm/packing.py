@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import staged, whole
+from gaugeflow.llm.common import carried, restored, staged, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -141,8 +141,7 @@ def token_pieces(
     A text's ids end with ``end_id``; missing text is empty and has that id alone. Only texts of
     more than ``capacity`` ids are cut, into pieces of that size and a last one of the rest.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
@@ -158,7 +157,8 @@ def token_pieces(
                     rows.append((*row, part) if with_ids else row)
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(carried(id_col), whole(text_col).alias("text"))
+    return restored(texts.mapInPandas(run, schema), docs, id_col)
 
 
 def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:

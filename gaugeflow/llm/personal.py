@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import staged, text_key, whole
+from gaugeflow.llm.common import carried, restored, staged, text_key, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -101,7 +101,6 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, key, base, found`` per row: a digest of the text, base spans as ``kind:start:end`` joined by commas, and occurrences."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,11 +110,13 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
                 rows.append((doc, key, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), occurrences(text, spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "key", "base", "found"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), whole(text_col).alias("text")).mapInPandas(
+    texts = docs.select(carried(id_col), text_key(text_col).alias("key"), whole(text_col).alias("text"))
+    made = texts.mapInPandas(
         run,
-        f"doc_id {kind}, key string, base string, "
+        "doc_id string, key string, base string, "
         "found array<struct<kind:string,instance:string,left:string,start:int,end:int>>",
     )
+    return restored(made, docs, id_col)
 
 
 def learned_instances(
