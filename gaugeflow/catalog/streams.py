@@ -41,12 +41,11 @@ def _(t):
 
 @query("stream_first_observations", "SELECT DISTINCT user_id, event_type, ts, value FROM events")
 def _(t):
-    # every poll delivers the same readings again: land the table twice, keep each reading once
+    # every poll delivers the same readings again, in files that arrive out of order over several batches
     landing = scratch_path(t.spark, "polls")
     seen = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     for _ in range(2):
-        seen.write.mode("append").parquet(landing)
-    rows = t.spark.readStream.schema(seen.schema).parquet(landing)
-    kept = ps.first_observations(rows, "ts", ["user_id", "event_type", "value"], "1 hour")
-    out = ps.drain(kept, scratch_path(t.spark, "kept"), scratch_path(t.spark, "offsets"))
+        seen.repartition(3, F.pmod(F.hash("user_id"), F.lit(3))).write.mode("append").parquet(landing)
+    rows = t.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    out = ps.keep_first(rows, "ts", ["user_id", "event_type", "value"], scratch_path(t.spark, "kept"), scratch_path(t.spark, "offsets"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -32,6 +32,34 @@ def test_repeated_polls_keep_one_observation(spark, tmp_path):
     assert sorted(r["v"] for r in out.collect()) == [0.0, 1.0, 2.0]
 
 
+def test_late_polls_are_kept_once_over_batches_and_restarts(spark, tmp_path):
+    schema = "place string, ts timestamp, v double"
+    land, table, offsets = (str(tmp_path / n) for n in ("in", "t", "c"))
+
+    def poll(*hours, place="a", extra=0.0):
+        rows = [(place, None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), h and h + extra) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+        return ps.keep_first(stream, "ts", ["place"], table, offsets)
+
+    poll(100, 101)
+    poll(3, 4, 100)  # four days late
+    poll(3, 50, 101, None)
+    assert sorted(r["v"] or 0 for r in run().collect()) == [0, 3.0, 4.0, 50.0, 100.0, 101.0]
+    poll(4, 5, None, extra=0.5)  # seen times keep their first value
+    poll(4, place=None)
+    want = [0, 3.0, 4.0, 4.0, 5.5, 50.0, 100.0, 101.0]
+    assert sorted(r["v"] or 0 for r in run().collect()) == want
+    assert sorted(r["v"] or 0 for r in run().collect()) == want  # nothing new
+    # the last batch runs again, as after a failure before its commit
+    last = max(int(p.name) for p in (tmp_path / "c" / "commits").iterdir() if p.name.isdigit())
+    for p in ("{}", ".{}.crc"):
+        (tmp_path / "c" / "commits" / p.format(last)).unlink(missing_ok=True)
+    assert sorted(r["v"] or 0 for r in run().collect()) == want
+
+
 def test_bucket_counts_on_a_stream(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, 0, m),) for m in (0, 2, 3, 9, 59)]
     spark.createDataFrame(rows, "ts timestamp").write.parquet(str(tmp_path / "in"))
