@@ -9,7 +9,7 @@ from gaugeflow.catalog.columns import normal_quantile_sql
 from gaugeflow.catalog.ordered_rows import FILLIBEN, ORDER, SERIES
 from gaugeflow.catalog.registry import query, rounded
 from gaugeflow.functions import scalar
-from gaugeflow.operators import diagnostics, hypothesis, supervised
+from gaugeflow.operators import diagnostics, hypothesis
 
 
 @query(
@@ -187,11 +187,31 @@ def _(t):
     return rounded(diagnostics.qq_line(diagnostics.qq_points(t("events"), "value", ["event_id"])), "slope", "intercept", "r")
 
 
-@query("permutation_importance")
+# A fixed linear predictor of a label that it explains in part; rows are ordered by a hash that both engines have.
+_PREDICTED = "500 * month + 30 * cust"
+_SHUFFLED = ["month", "cust", "weekday"]
+
+
+@query(
+    "permutation_importance",
+    f"""WITH b AS (SELECT o_orderkey, month(o_orderdate)::BIGINT AS month, o_custkey % 100 AS cust, isodow(o_orderdate)::BIGINT AS weekday,
+  o_totalprice * 0.01 + 500 * month(o_orderdate) + 30 * (o_custkey % 100) AS y FROM orders),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws('-', o_orderkey, r + 42)), 1, 15))::BIGINT AS h FROM b, range(10) g(r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY h DESC, o_orderkey DESC) AS back,
+  {", ".join(f"lag({c}) OVER w AS o_{c}" for c in _SHUFFLED)} FROM h WINDOW w AS (PARTITION BY r ORDER BY h, o_orderkey)),
+z AS (SELECT r, {", ".join(f"{c} AS z_{c}" for c in _SHUFFLED)} FROM o WHERE back = 1),
+s AS (SELECT o.*, f.feature, z.* EXCLUDE (r) FROM o JOIN z USING (r), (VALUES {", ".join(f"('{c}')" for c in _SHUFFLED)}) AS f(feature)),
+p AS (SELECT r, feature, y, {_PREDICTED} AS p FROM (SELECT r, feature, y,
+  {", ".join(f"CASE WHEN feature = '{c}' THEN coalesce(o_{c}, z_{c}) ELSE {c} END AS {c}" for c in _SHUFFLED)} FROM s)),
+m AS (SELECT feature, avg(score) AS shuffled FROM (SELECT r, feature, 1 - avg((y - p) ** 2) / var_pop(y) AS score FROM p GROUP BY r, feature)
+  GROUP BY feature)
+SELECT feature, round((SELECT 1 - avg((y - ({_PREDICTED})) ** 2) / var_pop(y) FROM b) - shuffled, 6) + 0.0 AS importance FROM m""",
+)
 def _(t):
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    df = t("lineitem")
-    model = supervised.fit_linear_regression(df, cols, "l_extendedprice")
-    return diagnostics.permutation_importance(
-        df, lambda x: supervised.predict(model, x), cols, "l_extendedprice", ["l_orderkey", "l_linenumber"], repeats=10
-    )
+    month, cust = scalar.month_of("o_orderdate"), F.col("o_custkey") % 100
+    df = t("orders").select(
+        "o_orderkey", month.alias("month"), cust.alias("cust"), (F.weekday("o_orderdate") + 1).alias("weekday"),
+        (F.col("o_totalprice") * 0.01 + 500 * month + 30 * cust).alias("y"),
+    )
+    predict = lambda x: x.withColumn("prediction", F.expr(_PREDICTED))
+    return rounded(diagnostics.permutation_importance(df, predict, _SHUFFLED, "y", ["o_orderkey"], repeats=10), "importance")

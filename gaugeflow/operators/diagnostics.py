@@ -163,40 +163,28 @@ def permutation_importance(
     """Mean drop of R2 (or accuracy) when one feature is shuffled.
 
     A repeat orders rows by a seeded hash and gives each row the features of the row
-    before it (the first takes the last's): every value is used exactly once.  All
-    features share that one shuffle, and the model scores a row once per feature.
+    before it (the first takes the last's): every value is used exactly once.  All repeats
+    and features share one ordering shuffle, with the repeat as the series, and the model scores a
+    row once per repeat and feature.
     """
-    rows = df.count()
     features = list(feature_cols)
     base = df.select(*dict.fromkeys([*id_cols, label_col, *features]))
-    scored = _score(predict(base), label_col, task, []).withColumns(
-        {"feature": F.lit(None).cast("string"), "repeat": F.lit(-1)}
-    )
-    for r in range(repeats):
-        hashed = base.withColumn("__h", F.xxhash64(*id_cols, F.lit(seed + r)))
-        hashed = hashed.withColumn("__own", F.struct(*features))
-        o = order_rows(hashed, ["__h", *id_cols], block_rows=block_rows, rows=rows)
-        given = with_prior(o, "__own", lags={"__other": 1}).result()
-        last = base.agg(
-            F.max_by(F.struct(*features), F.struct(F.xxhash64(*id_cols, F.lit(seed + r)), *id_cols))
-        ).scalar()
-        given = given.withColumn("__other", F.coalesce("__other", last))
-        given = given.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-        swapped = {
-            f: F.when(F.col("feature") == f, F.col("__other")[f]).otherwise(F.col("__own")[f]) for f in features
-        }
-        shuffled = given.withColumns(swapped).drop("__h", "__own", "__other")
-        scored = scored.unionByName(
-            _score(predict(shuffled), label_col, task, ["feature"]).withColumn("repeat", F.lit(r))
-        )
-    plain = F.max(F.when(F.col("feature").isNull(), F.col("score")))
-    every = scored.agg(plain).scalar()
-    return (
-        scored.filter(F.col("feature").isNotNull())
-        .groupBy("feature")
-        .agg(F.avg("score").alias("shuffled"))
-        .select("feature", (every - F.col("shuffled")).alias("importance"))
+    drawn = base.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    text = F.concat_ws("-", *[F.col(c).cast("string") for c in id_cols], (F.col("__repeat") + seed).cast("string"))
+    drawn = drawn.withColumns(
+        {"__h": F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), "__own": F.struct(*features)}
     )
+    last = drawn.groupBy("__repeat").agg(F.max_by("__own", F.struct("__h", *id_cols)).alias("__last"))
+    o = order_rows(drawn, ["__h", *id_cols], ["__repeat"], block_rows=block_rows)
+    given = with_prior(o, "__own", lags={"__other": 1}).result().join(F.broadcast(last), "__repeat")  # a row per repeat
+    given = given.withColumn("__other", F.coalesce("__other", "__last"))
+    given = given.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    swapped = {f: F.when(F.col("feature") == f, F.col("__other")[f]).otherwise(F.col("__own")[f]) for f in features}
+    shuffled = given.withColumns(swapped).drop("__h", "__own", "__other", "__last")
+    scored = _score(predict(shuffled), label_col, task, ["feature", "__repeat"])
+    every = _score(predict(base), label_col, task, []).scalar()
+    mean = scored.groupBy("feature").agg(F.avg("score").alias("shuffled"))
+    return mean.select("feature", (every - F.col("shuffled")).alias("importance"))
 
 
 def _score(df: DataFrame, label_col: str, task: str, group_cols: list[str]) -> DataFrame:
