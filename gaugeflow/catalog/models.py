@@ -253,7 +253,7 @@ def _series_split(t):
 @query("fit_mlp")
 def _(t):
     train, val, test = _series_split(t)
-    model = neural.fit_mlp(train, val, SERIES_FEATURES, "v", hidden=(32, 16), epochs=3)
+    model = neural.fit_mlp(train, val, SERIES_FEATURES, "v")
     return rounded(evaluation.regression_metrics(model.transform(test), "v", "prediction"), "rmse", "mae", "r2")
 
 
@@ -261,7 +261,7 @@ def _(t):
 def _(t):
     train, val, test = _series_split(t)
     model = neural.fit_mlp(
-        train, val, SERIES_FEATURES, "High_Pollution", task="classification", hidden=(32, 16), activation="tanh", epochs=3
+        train, val, SERIES_FEATURES, "High_Pollution", task="classification", hidden=(128, 64, 32), activation="tanh"
     )
     scored = model.transform(test)
     return rounded(
@@ -272,7 +272,7 @@ def _(t):
 @query("training_history")
 def _(t):
     train, val, _ = _series_split(t)
-    model = neural.fit_mlp(train, val, SERIES_FEATURES, "v", hidden=(16,), epochs=3)
+    model = neural.fit_mlp(train, val, SERIES_FEATURES, "v")
     return rounded(model.history_frame(t.spark), "train_loss", "val_loss")
 
 

@@ -1,32 +1,36 @@
-"""Multi-layer perceptrons trained by synchronous weight averaging.
+"""Multi-layer perceptrons trained by synchronous mini-batch Adam.
 
-One epoch: every partition starts from the same weights, runs mini-batch Adam over its
-rows as they stream in, and returns one weight vector; vectors are averaged by row
-count.  With one partition this is plain mini-batch Adam.  Training stops after
+Rows are dealt to mini-batches by a hash of their values: ``BATCH`` rows each, or more where that
+would be over ``STEPS`` batches. An epoch takes every batch once, in drawn order; a step adds the
+gradients of all tasks up in a tree and moves one optimiser. Training stops after
 ``patience`` epochs without a better validation loss and keeps the last weights.
+
+A table of up to ``LOCAL_VALUES`` numbers takes the same steps inside one task, as a job per
+step would cost far more than its work; batches, order and optimiser are the same.
 """
 
 from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.operators.scaling import SHARDS, spread
 from gaugeflow.plans import defaults
+from gaugeflow.plans.gradient import Adam, summed_gradient
+from gaugeflow.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH = 200
-SLOTS = 32  # weight vectors merged by one task, or by the driver
+BATCH, STEPS = 200, 64
+LOCAL_VALUES = 4_000_000
 EPS = 1e-15
 
 
@@ -85,23 +89,56 @@ class Shape:
         return np.concatenate(grads)
 
 
-def _epoch(batches, shape: Shape, flat: np.ndarray, rate: float, alpha: float, seed: int) -> tuple[int, np.ndarray]:
-    """Mini-batch Adam over a stream of (x, y) batches, starting from ``flat``."""
-    flat = flat.copy()
-    m, v, step, rows = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    rng = np.random.default_rng(seed)
-    for x, y in batches:
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            pick = order[at : at + BATCH]
-            g = shape.gradient(flat, x[pick], y[pick], alpha)
-            step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            size = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            flat -= size * m / (np.sqrt(v) + 1e-8)
-        rows += len(x)
-    return rows, flat
+    def penalty(self, flat: np.ndarray) -> np.ndarray:
+        """Gradient of half the squared weights; biases are free."""
+        return np.concatenate([part for w, bias in self.layers(flat) for part in (w.ravel(), np.zeros_like(bias))])
+
+    def summed(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
+        """Gradient and loss (squared error or log-loss), summed over rows, and their number."""
+        return self.gradient(flat, x, y, 0.0) * len(x), self.loss(flat, x, y), len(x)
+
+    def loss(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+        p = self.forward(flat, x)[-1][:, 0]
+        if self.task == "regression":
+            return float(((y - p) ** 2).sum())
+        p = np.clip(p, EPS, 1 - EPS)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """How long and how fast to train; ``run`` takes the two passes that the steps are made of."""
+
+    batches: int
+    rate: float
+    alpha: float
+    epochs: int
+    patience: int
+    seed: int
+
+    def run(
+        self, shape: Shape, step: Callable[[np.ndarray, int], tuple], check: Callable[[np.ndarray], float | None]
+    ) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+        flat, adam, rng = shape.start(self.seed), Adam(self.rate), np.random.default_rng(self.seed)
+        history: list[tuple[int, float, float]] = []
+        best, waited = float("inf"), 0
+        for epoch in range(self.epochs):
+            total, rows = 0.0, 0
+            for b in rng.permutation(self.batches).tolist():
+                gradient, loss, n = step(flat, b)
+                if n:
+                    flat = adam.move(flat, (gradient + self.alpha * shape.penalty(flat)) / n)
+                total, rows = total + loss, rows + n
+            train_loss = total / max(rows, 1)
+            held = check(flat)
+            history.append((epoch, train_loss, train_loss if held is None else held))
+            if history[-1][2] < best:
+                best, waited = history[-1][2], 0
+            else:
+                waited += 1
+                if waited >= self.patience:
+                    break
+        return flat, history
 
 
 @dataclass
@@ -163,73 +200,66 @@ def fit_mlp(
     alpha: float = 0.0001,
     epochs: int = 100,
     patience: int = 10,
-    shards: int = SHARDS,
     seed: int = defaults.SEED,
 ) -> MlpModel:
-    """Train on ``shards`` fixed parts of the rows, whose weights are averaged after each epoch.
+    """Fit on the train rows; the history has each epoch's mean loss over its steps and the loss of ``val``.
 
-    The number of shards is part of the model, like the rate: it does not follow the cluster.
+    Without validation rows the train loss stands in. No train rows at all is an error.
     """
     features = tuple(features)
-    stats = train.agg(*[f(c).alias(f"{t}_{c}") for c in features for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    stats = train.agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{t}_{c}") for c in features for t, f in (("m", F.avg), ("s", F.stddev_pop))]
+    ).first()
+    if not stats["n"]:
+        raise ValueError("cannot fit a perceptron without rows")
     mean = [float(stats[f"m_{c}"]) for c in features]
     std = [float(stats[f"s_{c}"]) or 1.0 for c in features]
-    x = _scaled(features, mean, std).alias("x")
-    y = F.col(label).cast("double").alias("y")
+    batches = max(1, min(-(-stats["n"] // BATCH), STEPS))
+    x, y = _scaled(features, mean, std).alias("x"), F.col(label).cast("double").alias("y")
     # dealt by the given values: scaled ones may differ in the last digit from run to run
-    rows = spread(train.select(*features, label), shards).select(x, y).persist()
-    held = val.select(x, y).persist()
-    checked = rows.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("val")))
+    dealt = F.pmod(F.xxhash64(*features, label), F.lit(batches)).cast("int").alias("batch")
+    rows = train.select(x, y, dealt).unionByName(val.select(x, y, F.lit(-1).alias("batch")))
+    path = scratch_path(train.sparkSession, "batches")
+    rows.write.partitionBy("batch").parquet(path)  # a step reads its own batch only
+    rows = train.sparkSession.read.schema("x array<double>, y double, batch int").parquet(path)
     shape = Shape((len(features), *hidden, 1), activation, task)
-    model = MlpModel(shape, features, mean, std, shape.start(seed), [])
-    best, waited = float("inf"), 0
-    try:
-        for epoch in range(epochs):
-            model.weights = _averaged_epoch(rows, shape, model.weights, rate, alpha, seed + epoch)
-            losses = _losses(checked, shape, model.weights)
-            model.history.append((epoch, losses["train"], losses["val"]))
-            if losses["val"] < best:
-                best, waited = losses["val"], 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
-    finally:
-        rows.unpersist()
-        held.unpersist()
-    return model
-
-
-def _averaged_epoch(rows: DataFrame, shape: Shape, flat: np.ndarray, rate: float, alpha: float, seed: int) -> np.ndarray:
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        batches = ((np.stack(f["x"].to_numpy()), f["y"].to_numpy()) for f in frames if len(f))
-        n, fitted = _epoch(batches, shape, flat, rate, alpha, seed * 100_003 + part)
-        yield pd.DataFrame({"slot": [part], "n": [n], "w": [fitted.tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(n * np.frombuffer(w) for n, w in zip(pdf["n"], pdf["w"]))
-        n = int(pdf["n"].sum())
-        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "n": [n], "w": [(total / max(n, 1)).tobytes()]})
-
-    schema = "slot int, n long, w binary"
-    parts, vectors = rows.mapInPandas(train, schema), rows.rdd.getNumPartitions()
-    while vectors > SLOTS:  # a task merges at most SLOTS vectors
-        parts = parts.withColumn("slot", F.floor(F.col("slot") / SLOTS).cast("int"))
-        parts, vectors = parts.groupBy("slot").applyInPandas(merge, schema), -(-vectors // SLOTS)
-    got = [(r["n"], np.frombuffer(bytes(r["w"]))) for r in parts.collect() if r["n"]]
-    return sum(n * w for n, w in got) / sum(n for n, _ in got)
-
-
-def _losses(rows: DataFrame, shape: Shape, flat: np.ndarray) -> dict[str, float]:
-    @F.pandas_udf(T.DoubleType())
-    def loss(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        p = shape.forward(flat, np.stack(xs.to_numpy()))[-1][:, 0]
-        y = ys.to_numpy()
-        if shape.task == "regression":
-            return pd.Series((y - p) ** 2)
-        p = np.clip(p, EPS, 1 - EPS)
-        return pd.Series(-(y * np.log(p) + (1 - y) * np.log(1 - p)))
-
-    found = {r["part"]: r["loss"] for r in rows.groupBy("part").agg(F.avg(loss("x", "y")).alias("loss")).collect()}
-    return {"train": found["train"], "val": found.get("val", found["train"])}
+    schedule = Schedule(batches, rate, alpha, epochs, patience, seed)
+    small = rows.count() * (len(features) + 1) <= LOCAL_VALUES
+    weights, history = (_fit_in_task if small else _fit_by_step)(rows, shape, schedule)
+    return MlpModel(shape, features, mean, std, weights, history)
+
+
+def _fit_by_step(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.ndarray, list]:
+    def gradient(flat: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, float, int]:
+        return shape.summed(flat, np.stack(frame["x"].to_numpy()), frame["y"].to_numpy())
+
+    def step(flat: np.ndarray, b: int) -> tuple[np.ndarray, float, int]:
+        return summed_gradient(rows.filter(F.col("batch") == b), gradient, flat)
+
+    def held(flat: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, float, int]:
+        return np.zeros(1), shape.loss(flat, np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()), len(frame)
+
+    def check(flat: np.ndarray) -> float | None:
+        _, loss, n = summed_gradient(rows.filter("batch = -1"), held, flat, 1)
+        return loss / n if n else None
+
+    return schedule.run(shape, step, check)
+
+
+def _fit_in_task(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.ndarray, list]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = pd.concat([f for f in frames if len(f)])
+        x, y, batch = np.stack(every["x"].to_numpy()), every["y"].to_numpy(), every["batch"].to_numpy()
+        order = np.lexsort((y, *x.T, batch))  # sums do not follow the order of arrival
+        x, y, batch = x[order], y[order], batch[order]
+        ends = np.searchsorted(batch, np.arange(-1, schedule.batches + 1))
+        part = lambda b: slice(ends[b + 1], ends[b + 2])
+        weights, history = schedule.run(
+            shape,
+            lambda flat, b: shape.summed(flat, x[part(b)], y[part(b)]) if ends[b + 1] < ends[b + 2] else (0.0, 0.0, 0),
+            lambda flat: shape.loss(flat, x[part(-1)], y[part(-1)]) / ends[1] if ends[1] else None,
+        )
+        yield pd.DataFrame({"weights": [weights.tobytes()], "history": [json.dumps(history)]})
+
+    made = rows.coalesce(1).mapInPandas(run, "weights binary, history string").first()
+    return np.frombuffer(bytes(made["weights"])).copy(), [tuple(h) for h in json.loads(made["history"])]

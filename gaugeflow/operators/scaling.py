@@ -40,19 +40,6 @@ def scaler_stage(train: DataFrame, cols: Sequence[str], prefix: str = "z_") -> S
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
-SHARDS = 32
-
-
-def spread(df: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows dealt to ``shards`` partitions by a hash of their content.
-
-    Estimators whose result depends on the partitions then give the same result on any number of
-    cores and for any split of the input files.
-    """
-    dealt = F.pmod(F.xxhash64(*df.columns), F.lit(shards)).cast("int")
-    return df.repartition(shards, dealt).sortWithinPartitions(F.xxhash64(*df.columns))
-
-
 def busy_partitions(df: DataFrame) -> DataFrame:
     """A stored table that is read many times, dealt out if its files are too few to keep all cores busy.
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import clustering, density, describe, diagnostics, evaluation, features, neural, supervised
+from gaugeflow.plans import gradient
 from gaugeflow.plans.graph import connected_components
 
 
@@ -71,7 +72,7 @@ def test_mlp(spark, points, task, tmp_path):
     split = features.chronological_split(points, ["id"])
     train, val = split.filter("split = 'train'"), split.filter("split = 'val'")
     label = "y" if task == "regression" else "flag"
-    model = neural.fit_mlp(train, val, ["a", "b"], label, task=task, hidden=(16,), rate=0.05, epochs=25, patience=8)
+    model = neural.fit_mlp(train, val, ["a", "b"], label, task=task, hidden=(16,), rate=0.05, epochs=60, patience=20)
     first, last = model.history[0], model.history[-1]
     assert last[1] < first[1] / 2
     out = model.transform(points)
@@ -85,11 +86,28 @@ def test_mlp(spark, points, task, tmp_path):
     assert again.history_frame(spark).count() == len(model.history)
 
 
-def test_mlp_merges_many_partitions(spark, points, monkeypatch):
-    monkeypatch.setattr(neural, "SLOTS", 3)
-    spread = points.repartition(20)  # 20 -> 7 -> 3 vectors
-    model = neural.fit_mlp(spread, spread, ["a", "b"], "y", hidden=(4,), epochs=1)
-    assert np.isfinite(model.weights).all() and len(model.history) == 1
+@pytest.mark.parametrize("task,label", [("regression", "y"), ("classification", "flag")])
+def test_mlp_steps_are_the_same_in_one_task_and_in_many(points, task, label, monkeypatch):
+    monkeypatch.setattr(gradient, "SLOTS", 3)
+    size = dict(task=task, hidden=(4,), epochs=2, rate=0.01)
+    val = points.filter("id % 5 = 0")
+    alone = neural.fit_mlp(points, val, ["a", "b"], label, **size)
+    monkeypatch.setattr(neural, "LOCAL_VALUES", 0)
+    spread = neural.fit_mlp(points.repartition(7), val, ["a", "b"], label, **size)
+    assert np.allclose(alone.weights, spread.weights, atol=1e-9) and np.allclose(alone.history, spread.history)
+    none = neural.fit_mlp(points.limit(5), val.filter("false"), ["a", "b"], label, **size)
+    assert all(h[1] == h[2] for h in none.history)
+    with pytest.raises(ValueError):
+        neural.fit_mlp(points.filter("false"), val, ["a", "b"], label)
+
+
+def test_a_linear_network_is_least_squares(points):
+    fitted = neural.fit_mlp(points, points, ["a", "b"], "y", hidden=(), rate=0.05, epochs=300, alpha=0.0, patience=300)
+    pdf = points.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf["a"], pdf["b"]])
+    best = x @ np.linalg.lstsq(x, pdf["y"], rcond=None)[0]
+    got = fitted.transform(points).toPandas()["prediction"]
+    assert np.abs(got - best).max() < 0.05
 
 
 def test_mlp_gradient_is_the_derivative():
