@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.catalog.aggregates import AREAS, COUNTS, LOSS
-from gaugeflow.catalog.registry import FITS_SQL, LINE_SCORES_SQL, SCORES_SQL, query, rounded
+from gaugeflow.catalog.registry import DIMS, FITS_SQL, LINE_SCORES_SQL, ORACLES, SCORES_SQL, query, rounded
 from gaugeflow.functions import scalar
-from gaugeflow.operators import decision, evaluation
+from gaugeflow.operators import clustering, decision, evaluation
+
+VCOLS = [f"e{i}" for i in range(DIMS)]
 
 SWEEP = f"""WITH {LINE_SCORES_SQL},
 g AS (SELECT i, CASE WHEN i = 99 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE + i * ((0.99::DOUBLE - 0.01::DOUBLE) / 99) END AS t FROM range(100) r(i)),
@@ -85,11 +87,16 @@ def _(t):
 @query(
     "headline_metrics",
     f"WITH {REG_SQL}, {CLF_SQL}, {FLAT_SQL} SELECT max(r2) FILTER (model = 'flag_a_regression') AS linear_r2, "
-    "max(roc_auc) FILTER (model = 'en_classification') AS logistic_auc FROM flat",
+    "max(roc_auc) FILTER (model = 'en_classification') AS logistic_auc, max(r2) FILTER (model = 'flag_n_regression') AS mlp_r2, "
+    f"(SELECT silhouette_score FROM ({ORACLES['silhouette_sq']})) AS kmeans_silhouette FROM flat",
 )
 def _(t):
-    wanted = {"linear_r2": ("flag_a_regression", "r2"), "logistic_auc": ("en_classification", "roc_auc")}
-    return decision.headline_metrics(_flat(t), wanted)
+    # models of the given tables stand for those of a run
+    shape = rounded(clustering.silhouette_sq(t.vectors(), "label", VCOLS), "silhouette_score")
+    flat = _flat(t).unionByName(shape.withColumn("model", F.lit("kmeans")), allowMissingColumns=True)
+    stands = {"linear_regression": "flag_a_regression", "logistic_regression": "en_classification", "mlp_regression": "flag_n_regression"}
+    wanted = {name: (stands.get(model, model), metric) for name, (model, metric) in decision.HEADLINE.items()}
+    return decision.headline_metrics(flat, wanted)
 
 
 def _title(column):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.catalog.ordered_rows import FEATURES_CTE, ORDER, features_of
 from gaugeflow.catalog.registry import query, r, rounded
+from gaugeflow.functions import scalar
 from gaugeflow.operators import cleaning, evaluation, features, supervised
 from gaugeflow.session import scratch_path
 from gaugeflow.sources import delimited, payloads, tables
@@ -142,11 +143,18 @@ def _(t):
     return _scored(t, tables.load_model(path))
 
 
-@query("load_model", LINE_SQL)
+@query(
+    "load_model",
+    "SELECT l_orderkey, l_linenumber, round(avg(CAST(l_quantity > 25 AS INT)) OVER (PARTITION BY l_returnflag = 'R'), 6) AS score FROM lineitem",
+)
 def _(t):
-    path = scratch_path(t.spark, "model")
-    tables.save_model(_line(t), path)
-    return _scored(t, tables.load_model(path))
+    # a classifier that parts the two values of its one feature: its score is the share of each side
+    df = t("lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("returned"), scalar.exceeds("l_quantity", 25).alias("many")
+    )
+    path = scratch_path(t.spark, "classifier")
+    tables.save_model(supervised.fit_random_threshold_forest(df, ["returned"], "many", task="classification", trees=20), path)
+    return supervised.predict(tables.load_model(path), df).select("l_orderkey", "l_linenumber", r("score").alias("score"))
 
 
 @query("fit_linear_regression", LINE_SQL)

@@ -62,6 +62,15 @@ def leaderboard(df: DataFrame, task: str, model_col: str = "model") -> DataFrame
     return df.withColumn("place", F.row_number().over(w)).orderBy("place")
 
 
+#: The four values at the head of a run's report: model and metric.
+HEADLINE = {
+    "linear_r2": ("linear_regression", "r2"),
+    "logistic_auc": ("logistic_regression", "roc_auc"),
+    "kmeans_silhouette": ("kmeans", "silhouette_score"),
+    "mlp_r2": ("mlp_regression", "r2"),
+}
+
+
 def headline_metrics(flat: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """One row; ``wanted`` maps an output name to (model, metric)."""
     return flat.agg(

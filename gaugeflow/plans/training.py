@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ class Run:
         for profile, config in self.sizes.mlp.items():
             name = f"{profile}_{task}"
             model = neural.fit_mlp(stages["train"], stages["val"], cols, label, task=task, **config)
-            model.save(test.sparkSession, f"{self.folder}/models/{name}")
+            tables.save_model(model, f"{self.folder}/models/{name}")
             self._store(f"history_{name}", model.history_frame(test.sparkSession))
             rows = self._add(rows, model.transform(test), name, label)
         return self._store(f"predictions_{task}", rows)
@@ -204,6 +205,11 @@ class Run:
         stages = self.prepare(raw)
         out = stages | self.statistics(stages["features"]) | self.regress(stages)
         out |= self.classify(stages) | self.cluster(stages["features"])
+        flat = reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True),
+            [out[f"{kind}_metrics"] for kind in ("regression", "classification", "clustering")],
+        )
+        out["headline_metrics"] = self._store("headline_metrics", decision.headline_metrics(flat, decision.HEADLINE))
         compared = decision.model_comparison(out["regression_metrics"], out["classification_metrics"])
         out["model_comparison"] = self._store("model_comparison", compared)
         out["leaderboard_regression"] = self._store(

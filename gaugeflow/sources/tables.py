@@ -8,6 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.boosting import BoostedTrees
+from gaugeflow.operators.mixture import Clusters
+from gaugeflow.operators.neural import MlpModel
+from gaugeflow.operators.random_trees import RandomForest
+
 STAGES = ("cleaned", "features", "train", "val", "test")
 
 
@@ -38,13 +43,22 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    """Store a fitted model: MLlib pipelines in their own format, other models by their ``save``."""
+    """Store a fitted model: MLlib pipelines in their own format, other models by their ``save`` with
+    the name of their class beside it. What stood at ``path`` is replaced."""
     if isinstance(model, PipelineModel):
         model.write().overwrite().save(path)
-    else:
-        model.save(SparkSession.active(), path)
-
-
-def load_model(path: str) -> PipelineModel:
-    """A stored pipeline; other models are read by their class's ``load``."""
-    return PipelineModel.load(path)
+        return
+    spark = SparkSession.active()
+    kind = [(type(model).__name__,)]
+    spark.createDataFrame(kind, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/kind")
+    model.save(spark, f"{path}/model")
+
+
+def load_model(path: str):
+    """The model that ``save_model`` stored, of whatever class."""
+    spark = SparkSession.active()
+    kind = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind")
+    if not kind.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kind):
+        return PipelineModel.load(path)
+    classes = {c.__name__: c for c in (RandomForest, BoostedTrees, Clusters, MlpModel)}
+    return classes[spark.read.text(f"{path}/kind").first()[0]].load(spark, f"{path}/model")
