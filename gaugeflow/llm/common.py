@@ -34,6 +34,13 @@ def restored(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, ``name`` if possible."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of words; empty for a text without any."""
     inner = F.btrim(text, F.lit(GAP))

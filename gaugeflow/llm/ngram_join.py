@@ -10,11 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.blocks import runs, spanning_forest
-from gaugeflow.llm.common import staged, whole
+from gaugeflow.llm.common import carried, restored, staged, unused, whole
 from gaugeflow.plans.graph import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
@@ -94,9 +94,13 @@ class Signer:
         return keys.view(np.int64), ((low * self.a) >> np.uint64(56)).astype(np.uint8)
 
 
+def _row_key(text_col: str, id_col: str) -> Column:
+    """A hash of id and text, to read few rows again; rows of equal hash are told apart by their set."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole(text_col))
+
+
 def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, digest, keys, sig`` per row; the last three are null for texts without words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """``doc_id, key, digest, keys, sig`` per row; the last three are null for texts without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -104,18 +108,18 @@ def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int,
         grams, sign = Grams(n), Signer(bands, rows)
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 g = grams(text)
                 if len(g):
                     keys, sig = sign(g)
-                    out.append((doc, xxhash.xxh3_128_digest(g.tobytes()), keys, sig.tobytes()))
+                    out.append((doc, key, xxhash.xxh3_128_digest(g.tobytes()), keys, sig.tobytes()))
                 else:
-                    out.append((doc, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "keys", "sig"])
+                    out.append((doc, key, None, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "digest", "keys", "sig"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, digest binary, keys array<long>, sig binary"
-    )
+    texts = docs.select(carried(id_col), _row_key(text_col, id_col).alias("key"), whole(text_col).alias("text"))
+    made = texts.mapInPandas(run, "doc_id string, key long, digest binary, keys array<long>, sig binary")
+    return restored(made, docs, id_col)
 
 
 def similar_signatures(sets: DataFrame, least: float) -> DataFrame:
@@ -259,18 +263,20 @@ def near_duplicates(
     threshold: float = 0.8,
     recall: float = 0.999,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies``.
+    """One row per row of ``docs``: ``doc_id, class_id, n_links, n_copies, class_no``.
 
     Two texts are linked when the Jaccard similarity of their sets of word n-grams is at least
     ``threshold``. ``class_id`` is the least id among all texts connected by links, ``n_links`` the
     number of other sets linked to the text's own, ``n_copies`` the number of other rows with
     exactly its set. A text of one to ``n - 1`` words has one gram, made of all its words, so equal
     short texts are copies of each other. Missing text is empty; texts without words have no grams
-    and stay alone. Repeated rows are copies of each other. Rows without id keep a missing class. An
-    empty table gives no rows.
+    and stay alone. Repeated rows are copies of each other. Ids may repeat with other texts, which
+    then are other sets: ``class_no``, any number, tells classes of one least id apart (null for
+    texts without words). Rows without id are linked as others are; a class that has no id at all
+    has a missing ``class_id``. An empty table gives no rows.
 
     1. One pass makes MinHash signatures, with bands and rows chosen for ``recall`` at the threshold.
-       Rows with equal sets are one set from here on.
+       Rows with equal sets are one set from here on, known by the number of its first row.
     2. Sets that share a band key, and whose signatures agree almost as well as the threshold asks
        (five standard deviations of leeway), are connected.
     3. Each component's full n-gram sets are read once, and all its pairs are verified, in tiles of
@@ -279,70 +285,78 @@ def near_duplicates(
     """
     bands, rows = bands_for(threshold, recall)
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    sign = staged(signatures(docs, text_col, id_col, n, bands, rows), "ngram-signatures")
+    sign = signatures(docs, text_col, id_col, n, bands, rows)
+    sign = staged(sign.withColumn("row", F.monotonically_increasing_id()), "ngram-signatures")
+    first = F.min(F.struct("row", "key"))
+    classes = sign.filter("digest IS NOT NULL").groupBy("digest").agg(
+        first.alias("f"), F.min("doc_id").alias("least_id"), F.count("*").alias("size"),
+        F.first("keys").alias("keys"), F.first("sig").alias("sig"),
+    )
     classes = staged(
-        sign.filter("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-        .filter("rep IS NOT NULL"),
-        "ngram-sets",
+        classes.select("digest", F.col("f.row").alias("rep"), F.col("f.key").alias("key"), "least_id", "size", "keys", "sig"), "ngram-sets"
     )
-    component = staged(connected_components(similar_signatures(classes, least)), "ngram-components")
+    component = connected_components(similar_signatures(classes, least)).withColumnRenamed("node", "rep")
+    component = staged(component.join(classes.select("rep", "key", "digest"), "rep"), "ngram-components")
 
-    grams = _grams_of(docs, component, text_col, id_col, n)
-    weight = component.join(grams.select(F.col("rep").alias("node"), "n_grams"), "node")
-    chunks = weight.groupBy("component").agg(F.ceil(F.sum("n_grams") / GRAM_TILE).cast("int").alias("chunks"))
+    grams = _grams_of(docs, component, text_col, id_col, n).join(component.select("digest", "rep", "component"), "digest")
+    chunks = grams.groupBy("component").agg(F.ceil(F.sum("n_grams") / GRAM_TILE).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     tiled = (
-        grams.join(component.withColumnRenamed("node", "rep"), "rep")
-        .join(chunks, "component")
+        grams.join(chunks, "component")
         .select("component", "rep", "grams", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("component", "rep", "grams", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, ["component", "i", "j"]):
-            found = pd.DataFrame(verify_tile(group, threshold), columns=["a", "b", "links"])
-            yield found.astype({"b": "Int64"}) if found["a"].dtype.kind == "i" else found
+            rows = verify_tile(group, threshold)
+            a, b, links = zip(*rows) if rows else ((), (), ())
+            yield pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in (("a", a), ("b", b), ("links", links))})
 
-    kind = classes.schema["rep"].dataType.simpleString()
     found = staged(
         tiled.repartition(F.col("component"), F.col("i"), F.col("j"))
         .sortWithinPartitions("component", "i", "j")
-        .mapInPandas(run, f"a {kind}, b {kind}, links long"),
+        .mapInPandas(run, "a long, b long, links long"),
         "ngram-links",
     )
-    links = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("n_links"))
-    final = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
+    links = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
+    linked = connected_components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
+    linked = linked.join(classes.select("rep", "least_id"), "rep")
+    named = linked.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    linked = linked.select("rep", "component").join(named, "component")
     per_set = (
-        classes.select("digest", "rep", "size")
-        .join(links.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "size")
+        classes.select("digest", "rep", "size", "least_id")
+        .join(links, "rep", "left")
+        .join(linked, "rep", "left")
+        .select("digest", F.coalesce("class_id", "least_id").alias("class_id"), "n_links", "size", F.coalesce("component", "rep").alias("class_no"))
     )
+    alone = F.when(F.col("class_no").isNull(), F.col("doc_id"))
     return sign.select("doc_id", "digest").join(per_set, "digest", "left").select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.coalesce("class_id", alone).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("size") - 1, F.lit(0)).cast("long").alias("n_copies"),
+        "class_no",
     )
 
 
 def _grams_of(docs: DataFrame, component: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
-    """``rep, n_grams, grams`` (sorted, eight bytes each) of the sets that stand in a component."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """``digest, n_grams, grams`` (sorted, eight bytes each) of the sets that stand in a component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         make = Grams(n)
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                sets = [make(t) for t in part["text"]]
-                yield pd.DataFrame({"rep": part["rep"], "n_grams": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+                grams = [make(t) for t in batch["text"].iloc[at : at + 500]]
+                packed = [g.tobytes() for g in grams]
+                digests = [xxhash.xxh3_128_digest(p) for p in packed]
+                yield pd.DataFrame({"digest": digests, "n_grams": [len(g) for g in grams], "grams": packed})
 
-    texts = docs.select(F.col(id_col).alias("rep"), whole(text_col).alias("text"))
-    wanted = texts.join(component.select(F.col("node").alias("rep")), "rep", "left_semi")
-    return staged(wanted.mapInPandas(run, f"rep {kind}, n_grams long, grams binary"), "ngram-grams").dropDuplicates(["rep"])
+    texts = docs.select(_row_key(text_col, id_col).alias("key"), whole(text_col).alias("text"))
+    wanted = texts.join(component.select("key").distinct(), "key", "left_semi").select("text")
+    return staged(wanted.mapInPandas(run, "digest binary, n_grams long, grams binary"), "ngram-grams").dropDuplicates(["digest"])
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -351,11 +365,12 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Rows are told apart by a staged number: ids may be missing (such a row stays only where no row of
     its class has one) or repeat.
     """
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
-    near = near_duplicates(rows, text_col, "__row", **options).filter("n_links > 0 OR n_copies > 0")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    ids = rows.select(F.col("__row").alias("doc_id"), order.alias("__order"))
-    near = staged(near.select("doc_id", "class_id").join(ids, "doc_id"), "ngram-classes")
-    first = near.groupBy("class_id").agg(F.min("__order").alias("first"))
-    drop = near.join(first, "class_id").filter("doc_id <> first.row").select(F.col("doc_id").alias("__row"))
-    return rows.join(drop, "__row", "left_anti").select(docs.columns)
+    number = unused("__row", docs)
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "ngram-rows")
+    near = near_duplicates(rows, text_col, number, **options).filter("n_links > 0 OR n_copies > 0")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(number).alias("row"))
+    ids = rows.select(F.col(number).alias("doc_id"), order.alias("order"))
+    near = staged(near.select("doc_id", "class_no").join(ids, "doc_id"), "ngram-classes")
+    first = near.groupBy("class_no").agg(F.min("order").alias("first"))
+    drop = near.join(first, "class_no").filter("doc_id <> first.row").select(F.col("doc_id").alias(number))
+    return rows.join(drop, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
