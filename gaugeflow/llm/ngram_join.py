@@ -373,4 +373,5 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     near = staged(near.select("doc_id", "class_no").join(ids, "doc_id"), "ngram-classes")
     first = near.groupBy("class_no").agg(F.min("order").alias("first"))
     drop = near.join(first, "class_no").filter("doc_id <> first.row").select(F.col("doc_id").alias(number))
+    drop = staged(drop, "ngram-dropped")  # Spark sees its size: where it is small, texts stay where they lie
     return rows.join(drop, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

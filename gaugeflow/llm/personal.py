@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import carried, restored, staged, text_key, whole
+from gaugeflow.llm.common import carried, restored, staged, text_key, unused, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
@@ -192,6 +192,16 @@ def _spans(
     docs: DataFrame, text_col: str, id_col: str, rounds: int = 3, support: int = 3, confidence: float = 0.7
 ) -> DataFrame:
     """``doc_id, key, base, spans``; what contexts give away is joined on the digest of the text."""
+    scanned, added = _scanned(docs, text_col, id_col, rounds, support, confidence)
+    joined = scanned.select("doc_id", "key", "base").join(added, "key", "left")
+    both = F.array(F.when(F.col("base") != "", F.col("base")), F.col("added"))
+    return joined.select("doc_id", "key", "base", F.array_join(F.array_compact(both), ",").alias("spans"))
+
+
+def _scanned(
+    docs: DataFrame, text_col: str, id_col: str, rounds: int = 3, support: int = 3, confidence: float = 0.7
+) -> tuple[DataFrame, DataFrame]:
+    """The staged scan, and ``key, added``: what contexts give away, of texts that hold any."""
     scanned = staged(scan(docs, text_col, id_col), "personal-scan")
     occurred = scanned.select("key", F.explode("found").alias("o")).select("key", "o.*")
     texts = docs.select(whole(text_col).alias("text"))
@@ -202,10 +212,7 @@ def _spans(
         .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
     )
     text = lambda s: F.concat(F.lit("like_"), s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])
-    added = extra.select("key", F.array_join(F.transform("extra", text), ",").alias("added"))
-    joined = scanned.select("doc_id", "key", "base").join(added, "key", "left")
-    both = F.array(F.when(F.col("base") != "", F.col("base")), F.col("added"))
-    return joined.select("doc_id", "key", "base", F.array_join(F.array_compact(both), ",").alias("spans"))
+    return scanned, extra.select("key", F.array_join(F.transform("extra", text), ",").alias("added"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -229,17 +236,25 @@ def redact(text: str, spans: str) -> str:
 def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with personal data in the text replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]``.
 
-    No row is dropped and missing text stays missing. Spans are joined back on the digest of the text:
-    ids may be missing or repeat.
+    No row is dropped and missing text stays missing. Base spans follow from the row itself; only what
+    contexts give away is joined, on the digest of the text: ids may be missing or repeat. That
+    table holds few texts and is staged, so that Spark sees its size and texts stay where they lie.
     """
-    spans = _spans(docs, text_col, id_col, **options).filter("spans <> ''")
-    spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
+    _, added = _scanned(docs, text_col, id_col, **options)
+    key, more = unused("__key", docs), unused("__added", docs)
+    added = staged(added.toDF(key, more), "personal-added")
 
     @F.pandas_udf("string")
     def replace(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, s) if s and t is not None else t for t, s in zip(text, found)], dtype=object)
-
-    joined = docs.join(spans, text_key(text_col) == F.col("__key"), "left")
+        out = []
+        for t, extra in zip(text, found):
+            if t is not None:
+                base = [f"{k}:{a}:{b}" for k, a, b in base_spans(t)]
+                t = redact(t, ",".join([*base, extra] if extra else base))
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    joined = docs.join(added, text_key(text_col) == F.col(key), "left")
     return joined.select(
-        *[replace(F.col(c), F.col("__spans")).alias(c) if c == text_col else docs[c] for c in docs.columns]
+        *[replace(F.col(c), F.col(more)).alias(c) if c == text_col else docs[c] for c in docs.columns]
     )
