@@ -117,6 +117,13 @@ def subtree(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[i
     return out
 
 
+def _later(places: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The ``row, lo, hi`` of ``places`` that are not among ``firsts``. Equal words have all their
+    prefixes in common, so a place that is first behind one prefix is first behind all."""
+    marked = places.withColumn("first", F.lit(False)).union(firsts.withColumn("first", F.lit(True)))
+    return marked.groupBy("row", "lo", "hi").agg(F.max("first").alias("first")).filter(~F.col("first")).drop("first")
+
+
 def removed_words(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 20, keep_text: bool = False
 ) -> DataFrame:
@@ -139,22 +146,23 @@ def removed_words(
     such a minimum too. So no group has to fit into a task.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(id_col).isNull().alias("void"), whole(text_col).alias("text"))
+    texts = texts.withColumn("key", F.xxhash64("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, columns = Anchors(window), ["doc", "void", "n_words", "digest", "grams", "places"]
+        find, columns = Anchors(window), ["doc", "void", "key", "n_words", "digest", "grams", "places"]
         for batch in batches:
             rows = []
-            for doc, void, text in zip(batch["doc"], batch["void"], batch["text"]):
+            for doc, void, key, text in zip(batch["doc"], batch["void"], batch["key"], batch["text"]):
                 words = _WORDS.findall(text)
                 grams, anchor = find(words)
                 place = np.unique(anchor)
-                rows.append((doc, void, len(words), digest(words), grams[place], place.astype(np.int32)))
+                rows.append((doc, void, key, len(words), digest(words), grams[place], place.astype(np.int32)))
                 if len(rows) >= SLICE:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    scanned = texts.mapInPandas(scan, "doc long, void boolean, n_words long, digest string, grams array<long>, places array<int>")
+    scanned = texts.mapInPandas(scan, "doc long, void boolean, key long, n_words long, digest string, grams array<long>, places array<int>")
     scanned = staged(scanned.withColumn("row", F.monotonically_increasing_id()), "substring-scan")
     firsts = scanned.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
     firsts = staged(firsts.select(F.col("f.row").alias("row")), "substring-firsts")
@@ -167,9 +175,9 @@ def removed_words(
     places = found.join(repeated, "gram").groupBy("row").agg(
         F.collect_list(F.when(~hot, F.col("place"))).alias("some"), F.collect_list(F.when(hot, F.col("place"))).alias("many")
     )
-    marked = places.join(scanned.select("row", "doc", "digest"), "row")
+    marked = places.join(scanned.select("row", "doc", "key", "digest"), "row")
     read = staged(
-        texts.select("doc", "text").join(marked, "doc").select("row", "doc", "digest", "some", "many", "text"), "substring-texts"
+        texts.select("doc", "key", "text").join(marked, ["doc", "key"]).select("row", "doc", "digest", "some", "many", "text"), "substring-texts"
     )
 
     def behind(column: str):
@@ -216,11 +224,8 @@ def removed_words(
     key = ["gram", "run"]
     hot_runs = staged(behind("many").withColumn("run", F.md5("words")), "substring-runs")
     firsts_of = hot_runs.groupBy(key).agg(F.min(F.struct("doc", "row", "first", "words")).alias("f"))
-    copies = hot_runs.join(firsts_of.select(*key, "f.doc", "f.row", "f.first").toDF(*key, "d0", "r0", "s0"), key)
-    copies = copies.filter(F.struct("doc", "row", "first") > F.struct("d0", "r0", "s0"))
-    copied_runs = copies.select(
-        "row", F.col("first").alias("lo"), (F.col("first") + F.size(F.split("words", " ")) - window).alias("hi")
-    )
+    run_of = [F.col("row"), F.col("first").alias("lo"), (F.col("first") + F.size(F.split("words", " ")) - window).alias("hi")]
+    copied_runs = _later(hot_runs.select(*run_of), firsts_of.select("f.*").select(*run_of))
     different = staged(firsts_of.select("gram", "f.row", "f.doc", "f.first", "f.words"), "substring-different")
     wide = different.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("gram")
 
@@ -232,7 +237,8 @@ def removed_words(
     ).distinct()
     place = F.struct("doc", "row", "start")
     first = full.groupBy("window").agg(F.min(place).alias("f"))
-    later = full.join(first, "window").filter(place > F.col("f")).select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    window_at = [F.col("row"), F.col("start").alias("lo"), F.col("start").alias("hi")]
+    later = _later(full.select(*window_at), first.select("f.*").select(*window_at))
     spans = spans.union(later).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
