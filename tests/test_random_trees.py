@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from gaugeflow.operators import evaluation, random_trees, supervised
+from gaugeflow.operators import clustering, evaluation, neural, random_trees, supervised
 from gaugeflow.operators.random_trees import RandomForest, Rule, descend, draws
+from gaugeflow.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,20 @@ def test_odd_rows(spark):
     assert [r[0] for r in fitted.transform(one.limit(1)).select("prediction").collect()] == [2.0]
     with pytest.raises(ValueError):
         random_trees.fit_random_trees(one.filter("false"), ["a"], "y")
+
+
+def test_every_class_of_model_is_read_back(spark, rows, tmp_path):
+    models = {
+        "forest": supervised.fit_random_threshold_forest(rows, COLS, "flag", task="classification", trees=3, depth=4),
+        "boosted": supervised.fit_gradient_boosting(rows, COLS, "y", iterations=3),
+        "clusters": clustering.fit_kmeans(rows, COLS, k=2, restarts=2),
+        "perceptron": neural.fit_mlp(rows, rows, COLS, "y", hidden=(3,), epochs=2),
+        "pipeline": supervised.fit_linear_regression(rows, COLS, "y"),
+    }
+    for name, model in models.items():
+        for _ in range(2):  # the second time over what the first left
+            tables.save_model(model, str(tmp_path / name))
+        again = tables.load_model(str(tmp_path / name))
+        assert type(again) is type(model)
+        first, second = (supervised.predict(m, rows).select("prediction").toPandas() for m in (model, again))
+        assert np.allclose(first, second)
