@@ -255,6 +255,7 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
         return pd.Series(out, dtype=object)
 
     joined = docs.join(added, text_key(text_col) == F.col(key), "left")
-    return joined.select(
-        *[replace(F.col(c), F.col(more)).alias(c) if c == text_col else docs[c] for c in docs.columns]
-    )
+    # every base kind needs an @ or a digit: other texts need not go through Python
+    may_hold = F.coalesce(docs[text_col].rlike("[@0-9]"), F.lit(False)) | F.col(more).isNotNull()
+    changed = [replace(docs[c], F.col(more)).alias(c) if c == text_col else docs[c] for c in docs.columns]
+    return joined.filter(may_hold).select(*changed).union(joined.filter(~may_hold).select(*[docs[c] for c in docs.columns]))
