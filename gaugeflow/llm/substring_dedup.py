@@ -1,8 +1,10 @@
-"""Repeated passages: windows of words, grouped by an anchor within them.
+"""Repeated passages: prefix-partitioned suffix trees over windows of words.
 
-Windows are hashed; no suffix tree is built, as repeats of one length only are asked for. Of all
-windows, those matter whose lowest-hashing short part (the anchor) occurs twice in the corpus. They
-are split into groups by anchor; a group's windows go through a dictionary in one task.
+A suffix is a window start; trees end at the depth of a window, as nothing below is asked. Of all
+suffixes, those matter whose lowest-hashing short part (the anchor) occurs twice in the corpus, as
+equal windows have equal anchors. A short prefix, the anchor, splits them into groups; where a group
+would outgrow a task, its suffixes are dealt by longer and longer prefixes of their own. Each group's
+suffixes are sorted in one task, and neighbours that share a whole window lie under one deep node.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -24,9 +27,17 @@ from gaugeflow.llm.common import staged, whole
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
-#: Words of a short prefix, and how many occurrences of one a group may hold. Suffixes behind a more
-#: frequent prefix are split by a prefix of full window length instead.
+#: Words of the shortest prefix, and how many suffix runs a group may hold before longer ones split it.
 PREFIX, GROUP = 8, 10_000
+#: Prefixes of the window that split larger groups, one after another; behind the whole window
+#: stands a single node, whose least place needs no tree.
+LONGER = (12, 16)
+#: The most frequent keys, looked up from a broadcast table of so many rows instead of a shuffle.
+FREQUENT = 1_000
+#: Different suffixes that a task folds before it hands them on.
+FOLDED = 100_000
+#: A run of window starts is one number: its first start times this, plus how many there are.
+RUN = 1 << 16
 #: Texts whose anchors a task holds before it hands them on.
 SLICE = 1_000
 
@@ -71,16 +82,13 @@ def digest(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def suffixes(words: list[str], anchor: np.ndarray, wanted: np.ndarray, window: int) -> Iterator[tuple[int, int, str]]:
-    """``(anchor place, first window start, words)`` of the windows behind each wanted anchor."""
-    starts = np.flatnonzero(np.isin(anchor, wanted))
-    if not len(starts):
-        return
-    places = anchor[starts]
-    cuts = np.flatnonzero(np.diff(places)) + 1
-    for s in np.split(starts, cuts):
-        lo, hi = int(s[0]), int(s[-1])
-        yield int(anchor[lo]), lo, " ".join(words[lo : hi + window])
+def anchored_runs(grams: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each anchor, and the run of window starts that have it: ``first * RUN + count``."""
+    if not len(anchor):
+        return grams, anchor
+    first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
+    count = np.diff(np.append(first, len(anchor)))
+    return grams[anchor[first]], first * RUN + count
 
 
 def windows_of(first: int, text: str, window: int) -> Iterator[tuple[str, int]]:
@@ -91,37 +99,68 @@ def windows_of(first: int, text: str, window: int) -> Iterator[tuple[str, int]]:
         yield text[starts[i] : ends[i + window - 1] - 1], first + i
 
 
-def subtree(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, int, int]]:
-    """Windows of a group that also stand at an earlier place: ``(row, first start, last start)``.
+def deep_nodes(group: list[tuple[int, int, int, str]], window: int) -> Iterator[list[tuple[int, int, int]]]:
+    """The nodes at depth ``window`` of the tree over a group's suffixes, as ``(doc, row, start)`` in order.
 
-    ``group`` holds ``(doc, row, first, words)``. A dictionary keeps the least place of every whole
-    window; all its other places are returned, in runs.
+    ``group`` holds ``(doc, row, first, words)``. The suffixes are sorted; neighbours with a common
+    prefix of ``window`` words are leaves of one node. A node of one leaf does not repeat.
     """
-    least: dict[str, tuple[int, int, int]] = {}
-    paths = []
-    for doc, row, first, words in group:
-        for path, start in windows_of(first, words, window):
-            leaf = (doc, row, start)
-            paths.append((path, leaf))
-            known = least.get(path)
-            if known is None or leaf < known:
-                least[path] = leaf
+    leaves = sorted((path, doc, row, at) for doc, row, first, words in group for path, at in windows_of(first, words, window))
+    for _, node in groupby(leaves, key=itemgetter(0)):
+        yield [leaf[1:] for leaf in node]
+
+
+def in_runs(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``(row, first start, last start)`` of places ``(row, start)``; consecutive starts share one run."""
     out: list[tuple[int, int, int]] = []
-    for path, leaf in paths:
-        if least[path] != leaf:
-            _, row, start = leaf
-            if out and out[-1][0] == row and out[-1][2] + 1 == start:
-                out[-1] = (row, out[-1][1], start)
-            else:
-                out.append((row, start, start))
+    for row, start in sorted(set(places)):
+        if out and out[-1][0] == row and out[-1][2] + 1 == start:
+            out[-1] = (row, out[-1][1], start)
+        else:
+            out.append((row, start, start))
     return out
 
 
-def _later(places: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The ``row, lo, hi`` of ``places`` that are not among ``firsts``. Equal words have all their
-    prefixes in common, so a place that is first behind one prefix is first behind all."""
-    marked = places.withColumn("first", F.lit(False)).union(firsts.withColumn("first", F.lit(True)))
-    return marked.groupBy("row", "lo", "hi").agg(F.max("first").alias("first")).filter(~F.col("first")).drop("first")
+def later_places(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, int, int]]:
+    """All places but the least of each deep node."""
+    return in_runs([leaf[1:] for node in deep_nodes(group, window) for leaf in node[1:] if leaf != node[0]])
+
+
+def first_places(group: list[tuple[int, int, int, str]], window: int) -> list[tuple[int, int, int]]:
+    """The least place of each deep node."""
+    return in_runs([node[0][1:] for node in deep_nodes(group, window)])
+
+
+def trees(groups: DataFrame, places, window: int) -> DataFrame:
+    """``row, lo, hi`` of the ``places`` chosen in each group's tree; a task takes one group at a time."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+        for batch in batches:
+            out = []
+            for k, *leaf in zip(batch["key"].tolist(), batch["doc"].tolist(), batch["row"].tolist(), batch["first"].tolist(), batch["words"]):
+                if k != key:
+                    out += places(group, window)
+                    key, group = k, []
+                group.append(tuple(leaf))
+            yield pd.DataFrame(out, columns=["row", "lo", "hi"])
+        yield pd.DataFrame(places(group, window), columns=["row", "lo", "hi"])
+
+    return groups.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(build, "row long, lo int, hi int")
+
+
+def with_count(df: DataFrame, key: str, among: list[str], name: str) -> DataFrame:
+    """``df`` with ``n``, how often its ``key`` (a long) occurs; for keys over ``GROUP`` the key itself may change.
+
+    Counts are combined before they are shuffled. Rows of the ``FREQUENT`` most frequent keys over
+    ``GROUP`` get theirs from a broadcast table and are dealt by a hash of ``among``, which tells
+    rows apart; so no other key has more than one in ``FREQUENT`` of all rows in the join.
+    """
+    counts = staged(df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), name)
+    most = counts.filter(F.col("n") > GROUP).orderBy(F.desc("n"), key).limit(FREQUENT)
+    marked = df.join(F.broadcast(most.withColumnRenamed("n", "most")), key, "left")
+    dealt = marked.withColumn(key, F.when(F.col("most").isNull(), F.col(key)).otherwise(F.xxhash64(*among)))
+    return dealt.join(counts, key, "left").withColumn("n", F.coalesce("most", "n", F.lit(1))).drop("most")
 
 
 def removed_words(
@@ -138,128 +177,127 @@ def removed_words(
     gives no rows.
 
     Texts of equal words are settled by their digest: all but the first go whole. For the others,
-    occurrences of anchors are counted (map-side combined) and joined back, which leaves the places
-    of repeated anchors; only texts with such places are read again. Groups of one prefix have at
-    most ``GROUP`` occurrences. A more frequent prefix is extended: first to the whole run of words
-    around it, as equal runs are equal subtrees of which one is kept (a map-side combined minimum);
-    and where more than ``GROUP`` different runs are left, to whole windows, whose first place is
-    such a minimum too. So no group has to fit into a task.
+    occurrences of anchors are counted (map-side combined) and looked up, which leaves the runs of
+    windows behind repeated anchors; only texts with such runs are read again. Behind an anchor with
+    at most ``GROUP`` runs, one task builds the tree and gives the later places. Behind a more
+    frequent one, tasks first fold equal suffixes into their least place; what is left is dealt by
+    the shortest prefix of 12, 16 and then all words that at most ``GROUP`` of them share, and trees
+    give the first places: of those windows all others go. So no group has to fit into a task.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(id_col).isNull().alias("void"), whole(text_col).alias("text"))
-    texts = texts.withColumn("key", F.xxhash64("text"))
+    void = F.col(id_col).isNull()
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    texts = docs.select(doc.alias("doc"), void.alias("void"), whole(text_col).alias("text")).withColumn("key", F.sha2("text", 256))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, columns = Anchors(window), ["doc", "void", "key", "n_words", "digest", "grams", "places"]
+        find, columns = Anchors(window), ["doc", "void", "key", "n_words", "digest", "grams", "runs"]
         for batch in batches:
             rows = []
             for doc, void, key, text in zip(batch["doc"], batch["void"], batch["key"], batch["text"]):
                 words = _WORDS.findall(text)
-                grams, anchor = find(words)
-                place = np.unique(anchor)
-                rows.append((doc, void, key, len(words), digest(words), grams[place], place.astype(np.int32)))
+                rows.append((doc, void, key, len(words), digest(words), *anchored_runs(*find(words))))
                 if len(rows) >= SLICE:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    scanned = texts.mapInPandas(scan, "doc long, void boolean, key long, n_words long, digest string, grams array<long>, places array<int>")
+    scanned = texts.mapInPandas(scan, "doc long, void boolean, key string, n_words long, digest string, grams array<long>, runs array<long>")
     scanned = staged(scanned.withColumn("row", F.monotonically_increasing_id()), "substring-scan")
     firsts = scanned.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
     firsts = staged(firsts.select(F.col("f.row").alias("row")), "substring-firsts")
 
-    found = scanned.select("row", "grams", "places").join(firsts, "row", "left_semi").select(
-        "row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("places").alias("place"))).alias("a")
-    ).select("row", "a.gram", "a.place")
-    repeated = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = F.col("n") > GROUP
-    places = found.join(repeated, "gram").groupBy("row").agg(
-        F.collect_list(F.when(~hot, F.col("place"))).alias("some"), F.collect_list(F.when(hot, F.col("place"))).alias("many")
-    )
-    marked = places.join(scanned.select("row", "doc", "key", "digest"), "row")
-    read = staged(
-        texts.select("doc", "key", "text").join(marked, ["doc", "key"]).select("row", "doc", "digest", "some", "many", "text"), "substring-texts"
-    )
-
-    def behind(column: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            find = Anchors(window)
-            for batch in batches:
-                rows = []
-                for row, doc, mark, wanted, text in zip(batch["row"], batch["doc"], batch["digest"], batch[column], batch["text"]):
-                    words = _WORDS.findall(text)
-                    if digest(words) != mark:  # another text under the same id
-                        continue
-                    grams, anchor = find(words)
-                    rows += [(grams[at], row, doc, lo, w) for at, lo, w in suffixes(words, anchor, wanted, window)]
+    found = scanned.select("row", "grams", "runs").join(firsts, "row", "left_semi").select(
+        "row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("runs").alias("run"))).alias("a")
+    ).select("row", "a.gram", "a.run")
+    repeated = with_count(found, "gram", ["row", "run"], "substring-anchors").filter("n > 1")
+    run = F.struct("gram", "run", (F.col("n") > GROUP).alias("hot"))
+    marked = repeated.groupBy("row").agg(F.collect_list(run).alias("runs")).join(scanned.select("row", "doc", "key"), "row")
+    each = texts.groupBy("doc", "key").agg(F.first("text").alias("text"))  # rows that repeat id and text are one
+    cold, hot = (F.filter("runs", lambda r: ~r["hot"]), F.filter("runs", lambda r: r["hot"]))
+    read = each.join(marked, ["doc", "key"]).select("row", "doc", cold.alias("cold"), hot.alias("hot"), "text")
+    read = staged(read, "substring-texts")
+
+    def behind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "row", "doc", "first", "words"]
+        for batch in batches:
+            rows = []
+            for row, doc, grams, runs, text in zip(batch["row"], batch["doc"], batch["gram"], batch["run"], batch["text"]):
+                words = _WORDS.findall(text)
+                for gram, run in zip(grams.tolist(), runs.tolist()):
+                    first, count = divmod(run, RUN)
+                    rows.append((gram, row, doc, first, " ".join(words[first : first + count + window - 1])))
                     if len(rows) > 20_000:
-                        yield pd.DataFrame(rows, columns=["gram", "row", "doc", "first", "words"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                yield pd.DataFrame(rows, columns=["gram", "row", "doc", "first", "words"])
+            yield pd.DataFrame(rows, columns=columns)
 
-        wanted = read.filter(F.size(column) > 0).select("row", "doc", "digest", column, "text")
-        return wanted.mapInPandas(run, "gram long, row long, doc long, first int, words string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: dict[str, tuple[int, int, int]] = {}
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, group = None, []
-        for batch in batches:
-            out = []
-            for g, *leaf in zip(batch["gram"].tolist(), batch["doc"].tolist(), batch["row"].tolist(), batch["first"].tolist(), batch["words"]):
-                if g != gram:
-                    out += subtree(group, window)
-                    gram, group = g, []
-                group.append(tuple(leaf))
-            yield pd.DataFrame(out, columns=["row", "lo", "hi"])
-        yield pd.DataFrame(subtree(group, window), columns=["row", "lo", "hi"])
+        def folded() -> pd.DataFrame:
+            return pd.DataFrame([(*at, w) for w, at in least.items()], columns=["doc", "row", "first", "words"])
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                rows = []
-                for row, doc, first, words in batch.iloc[at : at + 2_000][["row", "doc", "first", "words"]].itertuples(index=False):
-                    for w, start in windows_of(first, words, window):
-                        rows.append((hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest(), doc, row, start))
-                yield pd.DataFrame(rows, columns=["window", "doc", "row", "start"])
-
-    # a frequent prefix: equal runs of words are equal subtrees, all but the first go whole
-    key = ["gram", "run"]
-    hot_runs = staged(behind("many").withColumn("run", F.md5("words")), "substring-runs")
-    firsts_of = hot_runs.groupBy(key).agg(F.min(F.struct("doc", "row", "first", "words")).alias("f"))
-    run_of = [F.col("row"), F.col("first").alias("lo"), (F.col("first") + F.size(F.split("words", " ")) - window).alias("hi")]
-    copied_runs = _later(hot_runs.select(*run_of), firsts_of.select("f.*").select(*run_of))
-    different = staged(firsts_of.select("gram", "f.row", "f.doc", "f.first", "f.words"), "substring-different")
-    wide = different.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("gram")
-
-    groups = behind("some").unionByName(different.join(wide, "gram", "left_anti"))
-    groups = groups.repartition(F.col("gram")).sortWithinPartitions("gram")
-    spans = groups.mapInPandas(build, "row long, lo int, hi int").union(copied_runs)
-    full = different.join(wide, "gram", "left_semi").mapInPandas(
-        expand, "window binary, doc long, row long, start int"
-    ).distinct()
-    place = F.struct("doc", "row", "start")
-    first = full.groupBy("window").agg(F.min(place).alias("f"))
-    window_at = [F.col("row"), F.col("start").alias("lo"), F.col("start").alias("hi")]
-    later = _later(full.select(*window_at), first.select("f.*").select(*window_at))
-    spans = spans.union(later).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+            for row, doc, runs, text in zip(batch["row"].tolist(), batch["doc"].tolist(), batch["run"], batch["text"]):
+                words = _WORDS.findall(text)
+                for run in runs.tolist():
+                    first, count = divmod(run, RUN)
+                    for at in range(first, first + count):
+                        w, place = " ".join(words[at : at + window]), (doc, row, at)
+                        known = least.get(w)
+                        if known is None or place < known:
+                            least[w] = place
+                    if len(least) > FOLDED:
+                        yield folded()
+                        least = {}
+        yield folded()
+
+    cold = read.filter(F.size("cold") > 0).select("row", "doc", "cold.gram", "cold.run", "text")
+    spans = trees(cold.mapInPandas(behind, "key long, row long, doc long, first int, words string"), later_places, window)
+
+    # behind a frequent anchor: longer prefixes, and the first places in place of the later ones
+    hot = read.filter(F.size("hot") > 0).select("row", "doc", "hot.run", "text")
+    rest = staged(hot.mapInPandas(fold, "doc long, row long, first int, words string"), "substring-suffixes")
+    groups, place = None, ["doc", "row", "first"]
+    for n in LONGER:
+        dealt = rest.withColumn("key", F.xxhash64(F.lit(n), F.substring_index("words", " ", n)))
+        dealt = staged(with_count(dealt, "key", place, f"substring-prefixes-{n}"), f"substring-dealt-{n}")
+        small = dealt.filter(F.col("n") <= GROUP).select("key", *place, "words")
+        groups = small if groups is None else groups.union(small)
+        rest = dealt.filter(F.col("n") > GROUP).select(*place, "words")
+    one = rest.groupBy("words").agg(F.min(F.struct(*place)).alias("f")).select("f.row", F.col("f.first").alias("lo"), F.col("f.first").alias("hi"))
+    stay = trees(groups, first_places, window).union(one)
+
+    def by_row(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row, mark, found, text in zip(batch["row"], batch["digest"], batch["spans"], batch["text"]):
+            spans = [batch[c] for c in ("later_lo", "later_hi", "first_lo", "first_hi")]
+            for row, runs, text, *found in zip(batch["row"], batch["run"], batch["text"], *spans):
                 words = _WORDS.findall(text)
-                if digest(words) != mark:
-                    continue
-                covered = np.zeros(len(words) + 1, dtype=np.int64)
-                for s in found:
-                    covered[s["lo"]] += 1
-                    covered[s["hi"] + window] -= 1
-                stay = np.cumsum(covered)[:-1] == 0
-                kept = [w for w, k in zip(words, stay.tolist()) if k]
+                begins = np.zeros(len(words) + 1, dtype=bool)
+                for run in runs.tolist():
+                    lo, count = divmod(run, RUN)
+                    begins[lo : lo + count] = True
+                for lows, highs, repeats in ((*found[2:], False), (*found[:2], True)):
+                    if lows is not None:
+                        for lo, hi in zip(lows.tolist(), highs.tolist()):
+                            begins[lo : hi + 1] = repeats
+                covered = begins.astype(np.int64)
+                covered[window:] -= begins[:-window]
+                gone = (np.cumsum(covered)[:-1] > 0).tolist()
+                kept = [w for w, g in zip(words, gone) if not g]
                 rows.append((row, len(words) - len(kept), digest(kept), " ".join(kept)))
             out = pd.DataFrame(rows, columns=["row", "n_removed", "kept_sha256", "kept"])
             yield out if keep_text else out.drop(columns="kept")
 
     schema = "row long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    changed = read.select("row", "digest", "text").join(spans, "row").mapInPandas(cut, schema).dropDuplicates(["row"])
+    judged = read.select("row", "hot", "text").join(by_row(spans, "later"), "row", "left").join(by_row(stay, "first"), "row", "left")
+    judged = judged.filter(F.col("later").isNotNull() | (F.size("hot") > 0)).select(
+        "row", "hot.run", "text", *[F.col(f"{name}.{end}").alias(f"{name}_{end}") for name in ("later", "first") for end in ("lo", "hi")]
+    )
+    changed = judged.mapInPandas(cut, schema)
     rows = scanned.select("row", "doc", "void", "n_words", "digest").join(firsts.withColumn("first", F.lit(True)), "row", "left")
     copied = F.col("first").isNull() & (F.col("n_words") >= window)
     # rows that copy a shorter text stay whole

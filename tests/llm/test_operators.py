@@ -283,9 +283,19 @@ def test_price_is_an_exact_knapsack():
 # --- substring dedup
 
 
-@pytest.mark.parametrize("group", [1, 10_000])
-def test_substring_dedup(odd, group, monkeypatch):
+def test_deep_nodes_share_a_window():
+    group = [(2, 20, 5, "a b c d"), (1, 10, 0, "b c d e"), (1, 10, 9, "a b c"), (1, 10, 9, "a b c")]
+    nodes = list(substring_dedup.deep_nodes(group, 3))
+    assert nodes == [[(1, 10, 9), (1, 10, 9), (2, 20, 5)], [(1, 10, 0), (2, 20, 6)], [(1, 10, 1)]]
+    assert substring_dedup.later_places(group, 3) == [(20, 5, 6)]
+    assert substring_dedup.first_places(group, 3) == [(10, 0, 1), (10, 9, 9)]
+
+
+@pytest.mark.parametrize("group, frequent, folded", [(1, 1_000, 100_000), (1, 2, 1), (3, 0, 10), (40, 1, 5), (10_000, 1_000, 100_000)])
+def test_substring_dedup(odd, group, frequent, folded, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(substring_dedup, "FOLDED", folded)
     want, first = Counter(), set()
     seen_rows = set()
     for i, t in sorted(odd_texts(), key=lambda r: r[0]):
