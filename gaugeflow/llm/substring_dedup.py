@@ -154,13 +154,14 @@ def with_count(df: DataFrame, key: str, among: list[str], name: str) -> DataFram
 
     Counts are combined before they are shuffled. Rows of the ``FREQUENT`` most frequent keys over
     ``GROUP`` get theirs from a broadcast table and are dealt by a hash of ``among``, which tells
-    rows apart; so no other key has more than one in ``FREQUENT`` of all rows in the join.
+    rows apart; so no other key has more than one in ``FREQUENT`` of all rows in the join. The counts
+    grow with the input and are never broadcast.
     """
     counts = staged(df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), name)
     most = counts.filter(F.col("n") > GROUP).orderBy(F.desc("n"), key).limit(FREQUENT)
     marked = df.join(F.broadcast(most.withColumnRenamed("n", "most")), key, "left")
     dealt = marked.withColumn(key, F.when(F.col("most").isNull(), F.col(key)).otherwise(F.xxhash64(*among)))
-    return dealt.join(counts, key, "left").withColumn("n", F.coalesce("most", "n", F.lit(1))).drop("most")
+    return dealt.join(counts.hint("merge"), key, "left").withColumn("n", F.coalesce("most", "n", F.lit(1))).drop("most")
 
 
 def removed_words(
@@ -293,8 +294,12 @@ def removed_words(
             yield out if keep_text else out.drop(columns="kept")
 
     schema = "row long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    judged = read.select("row", "hot", "text").join(by_row(spans, "later"), "row", "left").join(by_row(stay, "first"), "row", "left")
-    judged = judged.filter(F.col("later").isNotNull() | (F.size("hot") > 0)).select(
+    # few texts change: where these runs are small enough to be broadcast, the other texts stay where they are
+    decided = staged(by_row(spans, "later").join(by_row(stay, "first"), "row", "full"), "substring-decided")
+    known = read.filter(F.size("hot") == 0).join(decided, "row").unionByName(
+        read.filter(F.size("hot") > 0).join(decided, "row", "left")
+    )
+    judged = known.select(
         "row", "hot.run", "text", *[F.col(f"{name}.{end}").alias(f"{name}_{end}") for name in ("later", "first") for end in ("lo", "hi")]
     )
     changed = judged.mapInPandas(cut, schema)
