@@ -113,3 +113,24 @@ def test_every_class_of_model_is_read_back(spark, rows, tmp_path):
         assert type(again) is type(model)
         first, second = (supervised.predict(m, rows).select("prediction").toPandas() for m in (model, again))
         assert np.allclose(first, second)
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_a_large_forest_is_never_held_whole(spark, rows, task, tmp_path, monkeypatch):
+    label, out = ("y", "prediction") if task == "regression" else ("flag", "score")
+    odd = spark.createDataFrame([(None, 1.0, 2.0, 0.0), (float("nan"), 1.0, -0.0, 0.0), (None, 1.0, 2.0, 0.0)], "a double, b double, c double, d double")
+    asked = rows.select(*COLS).unionByName(odd)
+    fitted = random_trees.fit_random_trees(rows, COLS, label, task=task, trees=7, depth=5)
+    sent = fitted.transform(asked).toPandas().sort_values(COLS)
+
+    def whole(self):
+        raise AssertionError("all trees on the driver")
+
+    monkeypatch.setattr(random_trees, "SENT_BYTES", fitted.n_bytes // 3)
+    monkeypatch.setattr(random_trees, "BLOCK_BYTES", 100 * 8 * len(COLS))
+    monkeypatch.setattr(RandomForest, "trees", property(whole))
+    again = random_trees.fit_random_trees(rows, COLS, label, task=task, trees=7, depth=5)
+    again.save(spark, str(tmp_path / "f"))
+    joined = RandomForest.load(spark, str(tmp_path / "f")).transform(asked).toPandas().sort_values(COLS)
+    assert list(joined.columns) == list(sent.columns) and len(joined) == 903
+    assert np.allclose(joined.to_numpy(), sent.to_numpy(), equal_nan=True)
