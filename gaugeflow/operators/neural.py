@@ -2,8 +2,10 @@
 
 Rows are dealt to mini-batches by a hash of their values: ``BATCH`` rows each, or more where that
 would be over ``STEPS`` batches. An epoch takes every batch once, in drawn order; a step adds the
-gradients of all tasks up in a tree and moves one optimiser. Training stops after
+gradients of all tasks up and moves one optimiser. Training stops after
 ``patience`` epochs without a better validation loss and keeps the last weights.
+A batch is cut into shards, each one partition of a stored RDD of matrices, so that a step is one
+small job over the partitions of its batch and plans nothing.
 
 A table of up to ``LOCAL_VALUES`` numbers takes the same steps inside one task, as a job per
 step would cost far more than its work; batches, order and optimiser are the same.
@@ -18,18 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeflow.plans import defaults
-from gaugeflow.plans.gradient import Adam, summed_gradient
+from gaugeflow.plans.gradient import Adam
 from gaugeflow.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH, STEPS = 200, 64
+#: Shards of a batch at most, rows that make one, and rows that a task passes through the layers at once.
+SHARDS, SHARD_ROWS, SLICE = 24, 2048, 4096
 LOCAL_VALUES = 4_000_000
 EPS = 1e-15
 
@@ -74,9 +79,11 @@ class Shape:
             acts.append(z)
         return acts
 
-    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
+    def gradient(
+        self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float, acts: list[np.ndarray] | None = None
+    ) -> np.ndarray:
         """Gradient of half squared error (or log-loss) plus the L2 term, per row."""
-        acts = self.forward(flat, x)
+        acts = self.forward(flat, x) if acts is None else acts
         layers, n = self.layers(flat), len(x)
         delta = (acts[-1] - y[:, None]) / n
         grads: list[np.ndarray] = []
@@ -95,10 +102,11 @@ class Shape:
 
     def summed(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
         """Gradient and loss (squared error or log-loss), summed over rows, and their number."""
-        return self.gradient(flat, x, y, 0.0) * len(x), self.loss(flat, x, y), len(x)
+        acts = self.forward(flat, x)
+        return self.gradient(flat, x, y, 0.0, acts) * len(x), self.loss(flat, x, y, acts), len(x)
 
-    def loss(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
-        p = self.forward(flat, x)[-1][:, 0]
+    def loss(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, acts: list[np.ndarray] | None = None) -> float:
+        p = (self.forward(flat, x) if acts is None else acts)[-1][:, 0]
         if self.task == "regression":
             return float(((y - p) ** 2).sum())
         p = np.clip(p, EPS, 1 - EPS)
@@ -218,10 +226,11 @@ def fit_mlp(
     x, y = _scaled(features, mean, std).alias("x"), F.col(label).cast("double").alias("y")
     # dealt by the given values: scaled ones may differ in the last digit from run to run
     dealt = F.pmod(F.xxhash64(*features, label), F.lit(batches)).cast("int").alias("batch")
-    rows = train.select(x, y, dealt).unionByName(val.select(x, y, F.lit(-1).alias("batch")))
+    key = F.xxhash64(*features, label, F.lit(1)).alias("key")
+    rows = train.select(x, y, key, dealt).unionByName(val.select(x, y, key, F.lit(-1).alias("batch")))
     path = scratch_path(train.sparkSession, "batches")
     rows.write.partitionBy("batch").parquet(path)  # a step reads its own batch only
-    rows = train.sparkSession.read.schema("x array<double>, y double, batch int").parquet(path)
+    rows = train.sparkSession.read.schema("x array<double>, y double, key long, batch int").parquet(path)
     shape = Shape((len(features), *hidden, 1), activation, task)
     schedule = Schedule(batches, rate, alpha, epochs, patience, seed)
     small = rows.count() * (len(features) + 1) <= LOCAL_VALUES
@@ -230,20 +239,56 @@ def fit_mlp(
 
 
 def _fit_by_step(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.ndarray, list]:
-    def gradient(flat: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, float, int]:
-        return shape.summed(flat, np.stack(frame["x"].to_numpy()), frame["y"].to_numpy())
+    sizes = {r["batch"]: r["n"] for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    n_shards = {b: min(SHARDS, -(-n // SHARD_ROWS)) for b, n in sizes.items()}  # follows the table, not the cluster
+    first, end = {}, 0
+    for b in sorted(n_shards):
+        first[b], end = end, end + n_shards[b]
+    at, n = (F.create_map(*[F.lit(v) for pair in of.items() for v in pair])[F.col("batch")] for of in (first, n_shards))
+    shard = at + F.pmod("key", n)
+    dealt = rows.select("x", "y", shard.cast("int").alias("shard")).repartitionById(end, F.col("shard"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [
+            np.column_stack((b.column("x").flatten().to_numpy().reshape(len(b), -1), b.column("y").to_numpy()))
+            for b in batches
+            if len(b)
+        ]
+        if parts:
+            both = np.concatenate(parts)
+            both = both[np.lexsort(both.T[::-1])]  # sums do not follow the order of arrival
+            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+
+    width = shape.sizes[0] + 1
+
+    def arrays(row) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(row["both"]).reshape(-1, width)
+        return np.ascontiguousarray(both[:, :-1]), both[:, -1].copy()
+
+    shards = dealt.mapInArrow(pack, "both binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    context = rows.sparkSession.sparkContext
+
+    def summed(b: int, work: Callable[[np.ndarray, np.ndarray], tuple]) -> list[tuple]:
+        if b not in first:
+            return []
+
+        def run(held: Iterator[tuple]) -> list[tuple]:
+            return [work(x[i : i + SLICE], y[i : i + SLICE]) for x, y in held for i in range(0, len(x), SLICE)]
+
+        return context.runJob(shards, run, range(first[b], first[b] + n_shards[b]))
 
     def step(flat: np.ndarray, b: int) -> tuple[np.ndarray, float, int]:
-        return summed_gradient(rows.filter(F.col("batch") == b), gradient, flat)
-
-    def held(flat: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, float, int]:
-        return np.zeros(1), shape.loss(flat, np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()), len(frame)
+        got = summed(b, lambda x, y: shape.summed(flat, x, y))
+        return sum((g for g, _, _ in got), np.zeros(len(flat))), float(sum(loss for _, loss, _ in got)), sum(n for _, _, n in got)
 
     def check(flat: np.ndarray) -> float | None:
-        _, loss, n = summed_gradient(rows.filter("batch = -1"), held, flat, 1)
-        return loss / n if n else None
+        got = summed(-1, lambda x, y: (shape.loss(flat, x, y), len(x)))
+        return sum(loss for loss, _ in got) / sum(n for _, n in got) if got else None
 
-    return schedule.run(shape, step, check)
+    try:
+        return schedule.run(shape, step, check)
+    finally:
+        shards.unpersist()
 
 
 def _fit_in_task(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.ndarray, list]:

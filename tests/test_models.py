@@ -101,6 +101,21 @@ def test_mlp_steps_are_the_same_in_one_task_and_in_many(points, task, label, mon
         neural.fit_mlp(points.filter("false"), val, ["a", "b"], label)
 
 
+def test_a_step_is_one_job_over_the_partitions_of_its_batch(spark, points, monkeypatch):
+    monkeypatch.setattr(neural, "LOCAL_VALUES", 0)
+    monkeypatch.setattr(neural, "SHARD_ROWS", 30)
+    monkeypatch.setattr(neural, "SLICE", 11)
+    size = dict(hidden=(4,), epochs=3, rate=0.01)
+    val, found, planned = points.filter("id % 5 = 0"), [], []
+    plain = type(points).filter
+    monkeypatch.setattr(type(points), "filter", lambda df, *a: planned.append(a) or plain(df, *a))
+    for parts in (1, 7):
+        found.append(neural.fit_mlp(points.repartition(parts), val, ["a", "b"], "y", **size))
+    assert not planned
+    # the cut into shards follows the rows alone
+    assert np.allclose(found[0].weights, found[1].weights, atol=1e-12) and np.allclose(found[0].history, found[1].history)
+
+
 def test_a_linear_network_is_least_squares(points):
     fitted = neural.fit_mlp(points, points, ["a", "b"], "y", hidden=(), rate=0.05, epochs=300, alpha=0.0, patience=300)
     pdf = points.toPandas()
