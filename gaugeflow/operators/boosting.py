@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.operators.random_trees import descend
+from gaugeflow.operators.random_trees import bin_edges, descend
 from gaugeflow.operators.scaling import busy_partitions
 from gaugeflow.session import cut_lineage
 
@@ -89,26 +89,6 @@ def margins(x: np.ndarray, start: float | np.ndarray, trees: Sequence[Tree]) ->
     return out
 
 
-def bin_edges(rows: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]:
-    """Per feature of ``x`` the edges between bins: midpoints of the values where there are no more
-    than ``bins``, otherwise quantiles."""
-    at = [F.get("x", F.lit(j)) for j in range(width)]
-    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = rows.agg(
-        *[F.approx_count_distinct(a, 0.02).alias(f"n{j}") for j, a in enumerate(at)],
-        *[F.percentile_approx(a, shares, 100 * bins).alias(f"q{j}") for j, a in enumerate(at)],
-    ).first()
-    out = []
-    for j, a in enumerate(at):
-        edges = np.unique(found[f"q{j}"] or [])
-        if found[f"n{j}"] <= 1.1 * bins:
-            values = np.array(sorted(r[0] for r in rows.select(a).distinct().limit(bins + 1).collect()))
-            if len(values) <= bins:
-                edges = (values[1:] + values[:-1]) / 2
-        out.append(edges)
-    return out
-
-
 def fit_boosted_trees(
     train: DataFrame,
     features: Sequence[str],
@@ -134,7 +114,7 @@ def fit_boosted_trees(
     total = rows.agg(F.count("*").alias("n"), F.avg("y").alias("mean")).first()
     if not total["n"]:
         raise ValueError("cannot fit trees without rows")
-    edges = bin_edges(rows, width)
+    edges = bin_edges(rows, width, BINS)
     start = total["mean"]
     if task != "regression":
         sure = min(max(start, 1e-12), 1 - 1e-12)

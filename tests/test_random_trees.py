@@ -134,3 +134,77 @@ def test_a_large_forest_is_never_held_whole(spark, rows, task, tmp_path, monkeyp
     joined = RandomForest.load(spark, str(tmp_path / "f")).transform(asked).toPandas().sort_values(COLS)
     assert list(joined.columns) == list(sent.columns) and len(joined) == 903
     assert np.allclose(joined.to_numpy(), sent.to_numpy(), equal_nan=True)
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_bagged_trees_grow_alike_in_tasks_and_by_levels(rows, task, monkeypatch):
+    label, out = ("y", "prediction") if task == "regression" else ("flag", "score")
+    found = []
+    for local, size in ((8192, 1 << 27), (100, 1 << 27), (1, 200_000)):
+        monkeypatch.setattr(random_trees, "LOCAL_ROWS", local)
+        monkeypatch.setattr(random_trees, "LEVEL_BYTES", size)
+        monkeypatch.setattr(random_trees, "COUNT_BYTES", size // 10)
+        fitted = supervised.fit_random_forest(rows.repartition(3 + local % 4), COLS, label, task=task, trees=5, depth=7)
+        found.append(fitted.transform(rows.orderBy(*COLS)).select(out).toPandas()[out].to_numpy())
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
+
+
+def test_bagged_trees_work_on_equal_rows_once(rows, monkeypatch):
+    """Rows of the same bins and label are one site, however many they are."""
+    seen, grow = [], random_trees.grow_forest
+
+    def spied(sites, rule, trees, low, high, n_sites):
+        seen.append((n_sites, sites.agg({"n": "sum"}).first()[0]))
+        return grow(sites, rule, trees, low, high, n_sites)
+
+    monkeypatch.setattr(random_trees, "grow_forest", spied)
+    few = rows.select("a", "b", "d", "flag")
+    many = few.crossJoin(few.sparkSession.range(200).select())
+    for df in (few, many):
+        supervised.fit_random_forest(df, ["a", "b", "d"], "flag", task="classification", trees=2, depth=4)
+    assert seen[0][0] == seen[1][0] <= 30 * 9 * 2 * 2 and seen[1][1] == 200 * seen[0][1] == 200 * 900
+
+
+def test_bagged_leaves_hold_the_means_of_their_bootstrap(rows):
+    model = supervised.fit_random_forest(rows, COLS, "y", trees=3, depth=5, min_leaf=4)
+    pdf = rows.toPandas()
+    x, y = pdf[COLS].to_numpy(), pdf["y"].to_numpy()
+    edges = tuple(random_trees.bin_edges(rows.selectExpr("array(a, b, c, d) AS x"), 4, random_trees.BINS))
+    rule = random_trees.BaggedRule(4, 4, 4, 5, random_trees.defaults.SEED, edges)
+    ends = np.column_stack([np.append(e, np.inf)[np.searchsorted(e, x[:, j])] for j, e in enumerate(edges)])
+    sites, at = np.unique(np.column_stack((ends, y)), axis=0, return_inverse=True)
+    n = np.bincount(at).astype(float)
+    w = np.column_stack((n, n * sites[:, 4], n * sites[:, 4] ** 2))
+    for t, (feature, cut, left, value) in enumerate(model.trees):
+        drawn = rule.weigh(t, sites[:, :4], w)
+        assert abs(drawn[:, 0].sum() - 900) < 150 and not np.array_equal(drawn, w)
+        leaf = descend(sites[:, :4], feature, cut, left)
+        for k in np.unique(leaf):
+            here = drawn[leaf == k].sum(axis=0)
+            assert here[0] >= 4 and value[k] == pytest.approx(here[1] / here[0])
+
+
+def test_poisson_numbers():
+    u, v = np.random.default_rng(3).random((2, 200_000))
+    for mean in (1.0, 7.0, 99.0, 101.0, 5000.0):
+        k = random_trees.poisson(np.full(len(u), mean), u, v)
+        assert np.array_equal(k, np.floor(k)) and k.min() >= 0
+        assert k.mean() == pytest.approx(mean, rel=0.01) and k.var() == pytest.approx(mean, rel=0.02)
+        skew = ((k - k.mean()) ** 3).mean() / k.std() ** 3
+        assert skew == pytest.approx(mean**-0.5, abs=0.03)
+    assert (random_trees.poisson(np.ones(len(u)), u, v) == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+
+
+def test_bagged_trees_refuse_rows_that_lack_a_value(spark, rows):
+    odd = spark.createDataFrame([(None, 1.0, 2.0, 0.0, 1.0, 1)], rows.schema)
+    with pytest.raises(ValueError):
+        supervised.fit_random_forest(rows.union(odd), COLS, "y", trees=1)
+    model = supervised.fit_random_forest(rows, COLS, "y", trees=1, depth=2)
+    with pytest.raises(Exception, match="lacks a feature"):
+        model.transform(odd).collect()
+
+
+def test_bagged_trees_of_more_classes(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(60)], "a double, k double")
+    out = supervised.predict(supervised.fit_random_forest(df.selectExpr("k AS a", "k"), ["a"], "k", task="classification", trees=5), df.selectExpr("k AS a", "k"))
+    assert out.filter("prediction <> k").count() == 0
