@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no cop
 
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
+#: New words that are encoded at a time, and documents whose texts are Python strings at a time.
+LEARNED, SLICE = 20_000, 2_000
 #: Pieces of one length are ranked in this many independent buckets.
 BUCKETS = 1024
 #: Knapsack sizes are counted in this many tokens (rounded up).
@@ -47,17 +49,21 @@ class WordEncoder:
     tokenizer lower-cases, and takes a run of letters and a run of marks as pieces of their own:
     texts of Latin-1 characters are therefore lower-cased first, and a full stop or comma between a
     letter and white space counts as a word, which leaves fewer different words.
+
+    Words are remembered by their 128-bit hashes in sorted arrays, about 30 bytes each with their ids.
     """
 
     LETTERS = re.compile("[a-zà-öø-ÿß]+")
     LAST_MARK = re.compile("(?<=[a-zà-öø-ÿß])[.,](?=[ \n]|$)")
 
     def __init__(self, file: str):
+        import xxhash
         from tokenizers import Tokenizer
 
+        self.hash = xxhash.xxh3_128_digest
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their names within a text are ordinary text
-        self.words: dict[str, bytes] = {"": b""}
+        self._forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,18 +80,56 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, new: set[str]) -> None:
-        """Words of letters end where a piece ends, so they are encoded together; others one by one."""
-        together = [w for w in new if self.LETTERS.fullmatch(w)]
-        for w in new.difference(together):
-            self.words[w] = self._encode(w).tobytes()
-        if together:
-            ids = self._encode(" ".join(together))
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            data, at = ids.tobytes(), 0
-            for w, end in zip(together, ends.tolist(), strict=True):
-                self.words[w] = data[at:end]
-                at = end
+    def _forget(self) -> None:
+        """No word is known but the empty one."""
+        self.high, self.low = self._hashes([""])
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.empty(0, dtype="<u4")
+
+    def _hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join([self.hash(w.encode()) for w in words]), dtype="<u8").reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word, as their first place in ``ids``, to which they are added, and their number.
+
+        Words of letters end where a piece ends, so they are encoded together; others one by one.
+        """
+        first, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        made, end = [self.ids], len(self.ids)
+        alike = [bool(self.LETTERS.fullmatch(w)) for w in new]
+        for i in np.flatnonzero(~np.array(alike, dtype=bool)).tolist():
+            made.append(self._encode(new[i]))
+            first[i], size[i] = end, len(made[-1])
+            end += len(made[-1])
+        alike = np.flatnonzero(alike)
+        for start in range(0, len(alike), LEARNED):
+            some = alike[start : start + LEARNED]
+            ids = self._encode(" ".join([new[i] for i in some.tolist()]))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a word of letters does not end where a piece ends")
+            first[some], size[some] = end + np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+            made.append(ids)
+            end += len(ids)
+        self.ids = np.concatenate(made)
+        return first, size
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct words the first place of their ids, and their number."""
+        if len(self.high) > REMEMBERED:
+            self._forget()
+        high, low = self._hashes(words)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        first, size = self.first[at], self.size[at]
+        new = np.flatnonzero((self.high[at] != high) | (self.low[at] != low))
+        if len(new):
+            new = new[np.argsort(high[new])]
+            first[new], size[new] = self._learn([words[i] for i in new.tolist()])
+            place = np.searchsorted(self.high, high[new])
+            for name, column in (("high", high), ("low", low), ("first", first), ("size", size)):
+                setattr(self, name, np.insert(getattr(self, name), place, column[new]))
+        return first, size
 
     def packed(self, texts: list[str], part: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; texts are taken ``part`` characters at a time."""
@@ -103,17 +147,12 @@ class WordEncoder:
         split = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        self._learn({w for w in words if w not in self.words})
-        ids = [self.words[w] for w in words]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        first = np.cumsum(size) - size
+        first, size = self._known(words)
         word = coded.indices.to_numpy()
         size_at = size[word]
         end_at = np.cumsum(size_at)
         place = np.arange(end_at[-1]) + np.repeat(first[word] - (end_at - size_at), size_at)
-        out = np.frombuffer(b"".join(ids), dtype="<u4")[place]
+        out = self.ids[place]
         bounds = np.concatenate(([0], end_at))[split.offsets.to_numpy()]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield out[a:b].tobytes()
@@ -145,20 +184,24 @@ def token_pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = dict(doc_id=pa.string(), piece=pa.int32(), start=pa.int64(), length=pa.int64(), ids_crc32=pa.int64())
+    kinds |= dict(ids=pa.binary()) if with_ids else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = task_encoder(tokenizer_file)
-        for batch in batches:
+        slices = (batch.slice(first, SLICE) for batch in batches for first in range(0, batch.num_rows, SLICE))
+        for some in slices:
             rows = []
-            for doc, packed in zip(batch["doc_id"], encoder.packed(batch["text"].tolist())):
+            for doc, packed in zip(some["doc_id"].to_pylist(), encoder.packed(some["text"].to_pylist())):
                 packed += end
                 for i, at in enumerate(range(0, len(packed), step)):
                     part = packed[at : at + step]
                     row = (doc, i, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, part) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     texts = docs.select(carried(id_col), whole(text_col).alias("text"))
-    return restored(texts.mapInPandas(run, schema), docs, id_col)
+    return restored(texts.mapInArrow(run, schema), docs, id_col)
 
 
 def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
