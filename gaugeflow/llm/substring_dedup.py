@@ -205,8 +205,10 @@ def removed_words(
     scanned = staged(scanned.withColumn("row", F.monotonically_increasing_id()), "substring-scan")
     firsts = scanned.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
     firsts = staged(firsts.select(F.col("f.row").alias("row")), "substring-firsts")
+    # copies are fewer than first texts, mostly few enough to be broadcast: then the anchors stay where they are
+    copies = staged(scanned.select("row").join(firsts, "row", "left_anti"), "substring-copies")
 
-    found = scanned.select("row", "grams", "runs").join(firsts, "row", "left_semi").select(
+    found = scanned.select("row", "grams", "runs").join(copies, "row", "left_anti").select(
         "row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("runs").alias("run"))).alias("a")
     ).select("row", "a.gram", "a.run")
     repeated = with_count(found, "gram", ["row", "run"], "substring-anchors").filter("n > 1")
@@ -303,8 +305,8 @@ def removed_words(
         "row", "hot.run", "text", *[F.col(f"{name}.{end}").alias(f"{name}_{end}") for name in ("later", "first") for end in ("lo", "hi")]
     )
     changed = judged.mapInPandas(cut, schema)
-    rows = scanned.select("row", "doc", "void", "n_words", "digest").join(firsts.withColumn("first", F.lit(True)), "row", "left")
-    copied = F.col("first").isNull() & (F.col("n_words") >= window)
+    rows = scanned.select("row", "doc", "void", "n_words", "digest").join(copies.withColumn("copy", F.lit(True)), "row", "left")
+    copied = F.col("copy").isNotNull() & (F.col("n_words") >= window)
     # rows that copy a shorter text stay whole
     rows = rows.join(changed, "row", "left")
     out = [

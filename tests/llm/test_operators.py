@@ -313,6 +313,27 @@ def test_substring_dedup(odd, group, frequent, folded, monkeypatch):
     assert got == want
 
 
+def test_substring_dedup_leaves_anchors_where_they_are(spark, monkeypatch):
+    """Only the few copies are sent to the scanned texts, not the list of all first texts."""
+    plans, write = {}, substring_dedup.staged
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(substring_dedup, "staged", recorded)
+    texts = [" ".join(f"w{i}-{k}" for k in range(25)) for i in range(4_000)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        got = {r.doc_id: r.n_removed for r in substring_dedup.removed_words(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {i for i, n in got.items() if n} == {4_000, 4_001, 4_002} and len(got) == 4_003
+    assert "BroadcastHashJoin" in plans["substring-anchors"] and "SortMergeJoin" not in plans["substring-anchors"]
+
+
 # --- n-gram join
 
 
