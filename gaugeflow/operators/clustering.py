@@ -93,6 +93,10 @@ def project_2d(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
 
 # ---------------------------------------------------------------- quality
 
+#: Groups of rows that keep a cluster busy: beyond them groups grow, to ``MOST_ROWS`` rows each, as every
+#: row is sent once per group and has a sum per cluster from each.
+GROUPS, MOST_ROWS = 32, 16_384
+
 
 def _vector(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
@@ -143,12 +147,12 @@ def silhouette(
 ) -> DataFrame:
     """Mean silhouette under Euclidean distance, exact, noise counted as a cluster.
 
-    Rows are hashed into groups of about ``tile_rows``; one task handles one pair of
-    groups and emits a distance sum per (row, cluster), never a pair of rows.  The
-    work is quadratic by definition: use ``silhouette_sq`` on very large tables.
+    Rows are hashed into groups of about ``tile_rows``, in large tables of up to ``MOST_ROWS``; one
+    task handles one pair of groups, in blocks, and emits a distance sum per (row, cluster), never
+    a pair of rows.  The work is quadratic by definition: use ``silhouette_sq`` on very large tables.
     """
     n = df.count()
-    groups = max(1, -(-n // tile_rows))
+    groups = max(1, min(-(-n // tile_rows), max(GROUPS, -(-n // MOST_ROWS))))
     rows = df.select(F.col(id_col).alias("id"), F.col(cluster_col).cast("long").alias("c"), _vector(cols).alias("x"))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     tiles = rows.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

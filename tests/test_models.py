@@ -1,8 +1,10 @@
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.functions import kernels
 from gaugeflow.operators import clustering, density, describe, diagnostics, evaluation, features, neural, supervised
 from gaugeflow.plans import gradient
 from gaugeflow.plans.graph import connected_components
@@ -245,6 +247,38 @@ def test_dbscan_against_brute_force(spark, dims, eps, tile):
     assert len(set(label)) > 2
 
 
+def test_distances_by_a_product():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64)) / 8 + 50 * rng.integers(0, 4, (300, 1))
+    x[7], x[9] = x[8], x[8] + 1e-9  # equal rows, and nearly equal ones
+    exact = kernels.distances(x, x[:200])
+    np.testing.assert_allclose(kernels.fast_distances(x, x[:200]), exact, rtol=1e-8)
+    for eps in (0.0, 1e-8, 1.19, exact[3, 4], np.nextafter(exact[3, 4], 0), 100.0, -1.0):
+        assert (kernels.within(x, x[:200], eps) == (exact <= eps)).all()
+    x[5, 5], x[6, 6] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        assert (kernels.within(x, x[:200], 1.19) == (kernels.distances(x, x[:200]) <= 1.19)).all()
+    wide = rng.normal(size=(1000, 64))
+    seconds = []
+    for f in (kernels.distances, kernels.fast_distances, lambda a, b: kernels.within(a, b, 1.19)):
+        began = time.process_time()
+        f(wide, wide)
+        seconds.append(time.process_time() - began)
+    assert max(seconds[1:]) < 0.7 * seconds[0]
+
+
+def test_silhouette_sends_few_copies_of_large_tables(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, c = np.round(rng.normal(size=(400, 9)), 3), rng.integers(0, 3, 400)
+    cols = [f"d{i}" for i in range(9)]
+    df = spark.createDataFrame([(i, int(k), *map(float, r)) for i, (k, r) in enumerate(zip(c, x))], ["id", "c", *cols])
+    monkeypatch.setattr(clustering, "GROUPS", 2)
+    monkeypatch.setattr(clustering, "MOST_ROWS", 100)
+    sent = clustering.silhouette(df, "c", cols, "id", tile_rows=10)
+    assert "sequence(0, 3," in sent._jdf.queryExecution().analyzed().toString()
+    assert sent.first()[0] == pytest.approx(brute_silhouette(x, c, False))
+
+
 def test_pivots_leave_most_tiles_out(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(40, 64)) * 30
