@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.kernels import components, distances
+from gaugeflow.functions.kernels import components, within
 from gaugeflow.operators.scaling import standardize
 from gaugeflow.plans.graph import connected_components
 from gaugeflow.plans.ordered import order_rows, with_rank
@@ -61,7 +61,7 @@ def dbscan(
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
-        near = distances(np.stack(left["x"]), np.stack(right["x"])) <= eps
+        near = within(np.stack(left["x"]), np.stack(right["x"]), eps)
         out = [pd.DataFrame({"pid": left["pid"], "near": near @ right["wt"].to_numpy()})]
         if not same:
             out.append(pd.DataFrame({"pid": right["pid"], "near": near.T @ left["wt"].to_numpy()}))
@@ -75,13 +75,13 @@ def dbscan(
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
-        near = distances(np.stack(left["x"]), np.stack(right["x"])) <= eps
+        near = within(np.stack(left["x"]), np.stack(right["x"]), eps)
         return _links(left, right, near, same)
 
     marked = tiles.join(core, "pid")
-    within = sites.filter("pid <> spot").select(F.col("pid").alias("a"), F.col("spot").alias("b"), F.lit(False).alias("border"))
+    spots = sites.filter("pid <> spot").select(F.col("pid").alias("a"), F.col("spot").alias("b"), F.lit(False).alias("border"))
     links = cut_lineage(
-        _both_sides(marked).groupBy("lo", "hi").applyInPandas(link, "a long, b long, border boolean").union(within)
+        _both_sides(marked).groupBy("lo", "hi").applyInPandas(link, "a long, b long, border boolean").union(spots)
     )
     comps = cut_lineage(connected_components(links.filter(~F.col("border")).select("a", "b")))
     cores = core.filter("is_core").select("pid")
