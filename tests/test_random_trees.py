@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import SparkContext, cloudpickle
 
 from gaugeflow.operators import clustering, evaluation, neural, random_trees, supervised
 from gaugeflow.operators.random_trees import RandomForest, Rule, descend, draws
@@ -136,6 +137,16 @@ def test_a_large_forest_is_never_held_whole(spark, rows, task, tmp_path, monkeyp
     assert np.allclose(joined.to_numpy(), sent.to_numpy(), equal_nan=True)
 
 
+def test_no_worker_is_sent_a_large_forest(rows, monkeypatch):
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, v: sent.append(len(cloudpickle.dumps(v))) or broadcast(self, v))
+    fitted = random_trees.fit_random_trees(rows, COLS, "y", trees=9, depth=8)
+    size = sum(a.nbytes for tree in fitted.trees for a in tree)
+    monkeypatch.setattr(random_trees, "SENT_BYTES", size // 3, raising=False)
+    scored = fitted.transform(rows).agg({"prediction": "count"}).first()[0]
+    assert scored == 900 and sent and max(sent) < size // 3
+
+
 @pytest.mark.parametrize("task", ["regression", "classification"])
 def test_bagged_trees_grow_alike_in_tasks_and_by_levels(rows, task, monkeypatch):
     label, out = ("y", "prediction") if task == "regression" else ("flag", "score")
