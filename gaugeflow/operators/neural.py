@@ -4,8 +4,11 @@ Rows are dealt to mini-batches by a hash of their values: ``BATCH`` rows each, o
 would be over ``STEPS`` batches. An epoch takes every batch once, in drawn order; a step adds the
 gradients of all tasks up and moves one optimiser. Training stops after
 ``patience`` epochs without a better validation loss and keeps the last weights.
-A batch is cut into shards, each one partition of a stored RDD of matrices, so that a step is one
-small job over the partitions of its batch and plans nothing.
+A batch is cut into shards. One barrier stage holds the shards in as many tasks as run at once; its tasks
+add a step's sums up among themselves, by files in the shared folder, and each moves an optimiser of its own,
+all alike. Where tasks cannot wait for each other (dynamic allocation) or the shared folder is no file system
+that they can open, a shard is one partition of a stored RDD and a step is one small job over those of its batch.
+Both ways add up the same shards in the same order.
 
 A table of up to ``LOCAL_VALUES`` numbers takes the same steps inside one task, as a job per
 step would cost far more than its work; batches, order and optimiser are the same.
@@ -14,15 +17,19 @@ step would cost far more than its work; batches, order and optimiser are the sam
 from __future__ import annotations
 
 import json
+import os
 import sys
+import tempfile
+import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext, SparkContext, StorageLevel, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +41,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH, STEPS = 200, 64
 #: Shards of a batch at most, rows that make one, and rows that a task passes through the layers at once.
-SHARDS, SHARD_ROWS, SLICE = 24, 2048, 4096
+SHARDS, SHARD_ROWS, SLICE = 24, 2048, 256
+#: Seconds after which a task gives up waiting for the sums of another.
+SILENCE = 3600
 LOCAL_VALUES = 4_000_000
 EPS = 1e-15
 
@@ -79,22 +88,9 @@ class Shape:
             acts.append(z)
         return acts
 
-    def gradient(
-        self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float, acts: list[np.ndarray] | None = None
-    ) -> np.ndarray:
+    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
         """Gradient of half squared error (or log-loss) plus the L2 term, per row."""
-        acts = self.forward(flat, x) if acts is None else acts
-        layers, n = self.layers(flat), len(x)
-        delta = (acts[-1] - y[:, None]) / n
-        grads: list[np.ndarray] = []
-        for i in range(len(layers) - 1, -1, -1):
-            w, _ = layers[i]
-            grads = [(acts[i].T @ delta + alpha * w / n).ravel(), delta.sum(axis=0), *grads]
-            if i:
-                slope = (acts[i] > 0) if self.activation == "relu" else 1.0 - acts[i] ** 2
-                delta = (delta @ w.T) * slope
-        return np.concatenate(grads)
-
+        return (self.summed(flat, x, y)[0] + alpha * self.penalty(flat)) / len(x)
 
     def penalty(self, flat: np.ndarray) -> np.ndarray:
         """Gradient of half the squared weights; biases are free."""
@@ -102,15 +98,52 @@ class Shape:
 
     def summed(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, int]:
         """Gradient and loss (squared error or log-loss), summed over rows, and their number."""
-        acts = self.forward(flat, x)
-        return self.gradient(flat, x, y, 0.0, acts) * len(x), self.loss(flat, x, y, acts), len(x)
-
-    def loss(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, acts: list[np.ndarray] | None = None) -> float:
-        p = (self.forward(flat, x) if acts is None else acts)[-1][:, 0]
-        if self.task == "regression":
-            return float(((y - p) ** 2).sum())
-        p = np.clip(p, EPS, 1 - EPS)
-        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        total = np.zeros(len(flat))
+        return total, self.loss(flat, x, y, total), len(x)
+
+    def loss(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, total: np.ndarray | None = None) -> float:
+        """Loss summed over rows; their gradient is added to ``total`` where that is given.
+
+        Slices lie with a column per row and fit a core's cache; a last line of ones makes the biases
+        a line of the matrices.
+        """
+        blocks, sums = self.blocks(flat), None if total is None else self.blocks(total)
+        loss, room = 0.0, {}
+        for i in range(0, len(x), SLICE):
+            n = len(part := x[i : i + SLICE])
+            if n not in room:
+                room = {n: ([np.ones((k, n)) for k in (w.shape[0] for w in blocks)], [np.empty((w.shape[0] - 1, n)) for w in blocks])}
+            acts, deltas = room[n]
+            acts[0][:-1] = part.T
+            for w, below, above in zip(blocks, acts, acts[1:]):
+                z = np.matmul(w.T, below, out=above[:-1])
+                np.maximum(z, 0.0, out=z) if self.activation == "relu" else np.tanh(z, out=z)
+            z, given = (blocks[-1].T @ acts[-1])[0], y[i : i + SLICE]
+            if self.task == "classification":
+                z = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+                p = np.clip(z, EPS, 1 - EPS)
+                loss -= float((given * np.log(p) + (1 - given) * np.log(1 - p)).sum())
+            else:
+                loss += float(((given - z) ** 2).sum())
+            if sums is None:
+                continue
+            delta = (z - given)[None]
+            for at in range(len(blocks) - 1, -1, -1):
+                sums[at] += acts[at] @ delta.T
+                if at:
+                    below = np.matmul(blocks[at][:-1], delta, out=deltas[at])
+                    held = acts[at][:-1]
+                    below *= (held > 0) if self.activation == "relu" else 1.0 - held * held
+                    delta = below
+        return loss
+
+    def blocks(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Views of one flat vector as a matrix per layer, whose last line is the bias."""
+        out, at = [], 0
+        for a, b in zip(self.sizes, self.sizes[1:]):
+            out.append(flat[at : at + (a + 1) * b].reshape(a + 1, b))
+            at += (a + 1) * b
+        return out
 
 
 @dataclass(frozen=True)
@@ -229,7 +262,7 @@ def fit_mlp(
     key = F.xxhash64(*features, label, F.lit(1)).alias("key")
     rows = train.select(x, y, key, dealt).unionByName(val.select(x, y, key, F.lit(-1).alias("batch")))
     path = scratch_path(train.sparkSession, "batches")
-    rows.write.partitionBy("batch").parquet(path)  # a step reads its own batch only
+    rows.write.parquet(path)
     rows = train.sparkSession.read.schema("x array<double>, y double, key long, batch int").parquet(path)
     shape = Shape((len(features), *hidden, 1), activation, task)
     schedule = Schedule(batches, rate, alpha, epochs, patience, seed)
@@ -241,23 +274,179 @@ def fit_mlp(
 def _fit_by_step(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.ndarray, list]:
     sizes = {r["batch"]: r["n"] for r in rows.groupBy("batch").agg(F.count("*").alias("n")).collect()}
     n_shards = {b: min(SHARDS, -(-n // SHARD_ROWS)) for b, n in sizes.items()}  # follows the table, not the cluster
+    most = max(n_shards.values())
+    tasks = -(-most // -(-most // max(1, _slots(rows.sparkSession.sparkContext))))  # with equally many shards, or one less
+    folder = _exchange_folder(rows.sparkSession)
+    if tasks < 2 or folder is None:
+        return _fit_by_jobs(rows, shape, schedule, n_shards)
+    return _fit_together(rows, shape, schedule, n_shards, tasks, folder)
+
+
+def _slots(context: SparkContext) -> int:
+    """Tasks that a barrier stage may have; 0 where there can be none."""
+    if (context.getConf().get("spark.dynamicAllocation.enabled") or "false").lower() == "true":
+        return 0
+    jvm = context._jsc.sc()
+    return jvm.maxNumConcurrentTasks(jvm.resourceProfileManager().defaultResourceProfile())
+
+
+def _exchange_folder(spark: SparkSession) -> str | None:
+    """A fresh folder below the shared one as tasks open it, if that is a plain file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "sums"))
+    kind = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return path.toUri().getPath() if kind == "file" else None
+
+
+def _by_batch(of: dict[int, int]) -> Column:
+    return F.create_map(*[F.lit(v) for pair in of.items() for v in pair])[F.col("batch")]
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    """Features and label of a batch, a line per row."""
+    return np.column_stack((b.column("x").flatten().to_numpy().reshape(len(b), -1), b.column("y").to_numpy()))
+
+
+def _sorted(both: np.ndarray) -> np.ndarray:
+    return both[np.lexsort(both.T[::-1])]  # sums do not follow the order of arrival
+
+
+def _shards_of(batches: Iterator[pa.RecordBatch], width: int) -> dict[tuple[int, int], np.ndarray]:
+    """Shards by batch and number, of rows that come in that order; they lie in a file without a name,
+    so that memory holds a shard at a time."""
+    ends: dict[tuple[int, int], tuple[int, int]] = {}
+    open_key, parts, n = None, [], 0
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as file:
+
+        def close() -> None:
+            nonlocal parts, n
+            if parts:
+                both = _sorted(np.concatenate(parts))
+                file.write(both.tobytes())
+                ends[open_key], parts, n = (n, n + len(both)), [], n + len(both)
+
+        for b in batches:
+            both, keys = _matrix(b), np.column_stack((b.column("batch").to_numpy(), b.column("shard").to_numpy()))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+                if lo < hi:
+                    if (key := tuple(keys[lo].tolist())) != open_key:
+                        close()
+                        open_key = key
+                    parts.append(both[lo:hi])
+        close()
+        file.flush()
+        every = np.memmap(file, np.float64, "r", shape=(n, width)) if n else None
+    return {key: every[lo:hi] for key, (lo, hi) in ends.items()}
+
+
+@dataclass
+class Exchange:
+    """Sums of all tasks of a barrier stage, by files in a folder that all of them see."""
+
+    folder: str
+    task: int
+    tasks: int
+    turn: int = 0
+
+    def gather(self, own: np.ndarray) -> list[np.ndarray]:
+        """What every task gave in this turn. Who gives has read the last turn, so two files each are enough.
+
+        They are written over in place: a file that replaces another is forced to disk first (10 ms a turn).
+        """
+        self.turn += 1
+        given = own.tobytes()
+        file = os.open(f"{self.folder}/{self.task}-{self.turn % 2}", os.O_WRONLY | os.O_CREAT)
+        try:
+            os.pwrite(file, given, 24)
+            os.pwrite(file, np.array([self.turn, len(given), zlib.crc32(given)], np.int64).tobytes(), 0)
+        finally:
+            os.close(file)
+        return [own.ravel() if k == self.task else self._of(k) for k in range(self.tasks)]
+
+    def _of(self, task: int) -> np.ndarray:
+        until = time.monotonic() + SILENCE
+        while True:
+            try:
+                with open(f"{self.folder}/{task}-{self.turn % 2}", "rb", buffering=0) as f:
+                    if len(head := f.read(24)) == 24:
+                        turn, size, sign = np.frombuffer(head, np.int64).tolist()
+                        if turn == self.turn and zlib.crc32(given := f.read(size)) == sign:
+                            return np.frombuffer(given)
+            except FileNotFoundError:
+                pass
+            if time.monotonic() > until:
+                raise TimeoutError(f"no sums of task {task} in {self.folder}: is it shared by all executors?")
+            time.sleep(0.0005)
+
+
+def _fit_together(
+    rows: DataFrame, shape: Shape, schedule: Schedule, n_shards: dict[int, int], tasks: int, folder: str
+) -> tuple[np.ndarray, list]:
+    """The whole schedule in one barrier stage; shard ``k`` of a batch is with task ``k % tasks``."""
+    shard = F.pmod("key", _by_batch(n_shards)).cast("int").alias("shard")
+    dealt = rows.select("x", "y", "batch", shard).repartitionById(tasks, F.col("shard") % tasks)
+    size = shape.n_weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _shards_of(batches, shape.sizes[0] + 1)
+        context = BarrierTaskContext.get()
+        attempt = context.allGather(str(context.taskAttemptId()))[0]  # a stage that runs again starts with no files
+        os.makedirs(f"{folder}/{attempt}", exist_ok=True)
+        exchange = Exchange(f"{folder}/{attempt}", context.partitionId(), tasks)
+
+        def summed(b: int, width: int, work: Callable[[np.ndarray, np.ndarray], tuple]) -> np.ndarray:
+            """Of every shard of a batch: loss, number of rows and ``width`` sums."""
+            own = np.zeros((-(-max(n_shards[b] - exchange.task, 0) // tasks), 2 + width))
+            for line, k in zip(own, range(exchange.task, n_shards[b], tasks)):
+                if (b, k) in shards:
+                    work(shards[b, k][:, :-1], shards[b, k][:, -1], line)
+            out = np.empty((n_shards[b], 2 + width))
+            for task, got in enumerate(exchange.gather(own)):
+                out[task::tasks] = got.reshape(-1, 2 + width)
+            return out
+
+        def step(flat: np.ndarray, b: int) -> tuple[np.ndarray, float, int]:
+            def work(x: np.ndarray, y: np.ndarray, line: np.ndarray) -> None:
+                line[:2] = shape.loss(flat, x, y, line[2:]), len(x)
+
+            if b not in n_shards:
+                return np.zeros(size), 0.0, 0
+            got = summed(b, size, work)
+            return sum(got[:, 2:], np.zeros(size)), float(sum(got[:, 0].tolist())), int(got[:, 1].sum())
+
+        def check(flat: np.ndarray) -> float | None:
+            def work(x: np.ndarray, y: np.ndarray, line: np.ndarray) -> None:
+                line[:] = shape.loss(flat, x, y), len(x)
+
+            if -1 not in n_shards:
+                return None
+            got = summed(-1, 0, work)
+            return sum(got[:, 0].tolist()) / int(got[:, 1].sum())
+
+        weights, history = schedule.run(shape, step, check)
+        if exchange.task == 0:
+            found = [pa.array([weights.tobytes()], pa.binary()), pa.array([json.dumps(history)])]
+            yield pa.RecordBatch.from_arrays(found, names=["weights", "history"])
+
+    made = dealt.sortWithinPartitions("batch", "shard").mapInArrow(run, "weights binary, history string", barrier=True)
+    return _fitted(made.collect()[0])  # first() would leave tasks out
+
+
+def _fitted(made) -> tuple[np.ndarray, list]:
+    return np.frombuffer(bytes(made["weights"])).copy(), [tuple(h) for h in json.loads(made["history"])]
+
+
+def _fit_by_jobs(rows: DataFrame, shape: Shape, schedule: Schedule, n_shards: dict[int, int]) -> tuple[np.ndarray, list]:
     first, end = {}, 0
     for b in sorted(n_shards):
         first[b], end = end, end + n_shards[b]
-    at, n = (F.create_map(*[F.lit(v) for pair in of.items() for v in pair])[F.col("batch")] for of in (first, n_shards))
-    shard = at + F.pmod("key", n)
+    shard = _by_batch(first) + F.pmod("key", _by_batch(n_shards))
     dealt = rows.select("x", "y", shard.cast("int").alias("shard")).repartitionById(end, F.col("shard"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [
-            np.column_stack((b.column("x").flatten().to_numpy().reshape(len(b), -1), b.column("y").to_numpy()))
-            for b in batches
-            if len(b)
-        ]
+        parts = [_matrix(b) for b in batches if len(b)]
         if parts:
-            both = np.concatenate(parts)
-            both = both[np.lexsort(both.T[::-1])]  # sums do not follow the order of arrival
-            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+            yield pa.RecordBatch.from_arrays([pa.array([_sorted(np.concatenate(parts)).tobytes()], pa.binary())], names=["both"])
 
     width = shape.sizes[0] + 1
 
@@ -271,11 +460,7 @@ def _fit_by_step(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.
     def summed(b: int, work: Callable[[np.ndarray, np.ndarray], tuple]) -> list[tuple]:
         if b not in first:
             return []
-
-        def run(held: Iterator[tuple]) -> list[tuple]:
-            return [work(x[i : i + SLICE], y[i : i + SLICE]) for x, y in held for i in range(0, len(x), SLICE)]
-
-        return context.runJob(shards, run, range(first[b], first[b] + n_shards[b]))
+        return context.runJob(shards, lambda held: [work(x, y) for x, y in held], range(first[b], first[b] + n_shards[b]))
 
     def step(flat: np.ndarray, b: int) -> tuple[np.ndarray, float, int]:
         got = summed(b, lambda x, y: shape.summed(flat, x, y))
@@ -306,5 +491,4 @@ def _fit_in_task(rows: DataFrame, shape: Shape, schedule: Schedule) -> tuple[np.
         )
         yield pd.DataFrame({"weights": [weights.tobytes()], "history": [json.dumps(history)]})
 
-    made = rows.coalesce(1).mapInPandas(run, "weights binary, history string").first()
-    return np.frombuffer(bytes(made["weights"])).copy(), [tuple(h) for h in json.loads(made["history"])]
+    return _fitted(rows.coalesce(1).mapInPandas(run, "weights binary, history string").first())

@@ -1,4 +1,5 @@
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -118,6 +119,40 @@ def test_a_step_is_one_job_over_the_partitions_of_its_batch(spark, points, monke
     assert np.allclose(found[0].weights, found[1].weights, atol=1e-12) and np.allclose(found[0].history, found[1].history)
 
 
+@pytest.mark.parametrize("task,label", [("regression", "y"), ("classification", "flag")])
+def test_a_fit_is_one_stage_whatever_its_epochs(spark, points, task, label, monkeypatch):
+    monkeypatch.setattr(neural, "LOCAL_VALUES", 0)
+    monkeypatch.setattr(neural, "SHARD_ROWS", 30)
+    val, jobs, found = points.filter("id % 5 = 0"), [], []
+
+    def fit(epochs, rows=points, **size):
+        return neural.fit_mlp(rows, val, ["a", "b"], label, task=task, hidden=(4,), epochs=epochs, rate=0.01, **size)
+
+    for epochs in (2, 5):
+        spark.sparkContext.setJobGroup(group := f"fit-{task}-{epochs}", group)
+        found.append(fit(epochs))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    one = points.filter("id = 7").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    found.append(fit(2, one))  # all rows are with one task
+    monkeypatch.setattr(neural, "_slots", lambda context: 0)  # where tasks cannot wait for each other
+    for model, again in zip(found, (fit(2), fit(5), fit(2, one))):
+        assert (model.weights == again.weights).all() and model.history == again.history
+
+
+def test_tasks_exchange_sums_by_files(tmp_path):
+    def run(task):
+        exchange = neural.Exchange(str(tmp_path), task, 3)
+        return [sum(float(g.sum()) for g in exchange.gather(np.full((task, 50), float(turn + task)))) for turn in range(40)]
+
+    with ThreadPoolExecutor() as pool:
+        found = list(pool.map(run, range(3)))
+    want = [50.0 * sum(k * (turn + k) for k in range(3)) for turn in range(40)]
+    assert found == [want] * 3
+    assert len(list(tmp_path.iterdir())) == 6
+
+
 def test_a_linear_network_is_least_squares(points):
     fitted = neural.fit_mlp(points, points, ["a", "b"], "y", hidden=(), rate=0.05, epochs=300, alpha=0.0, patience=300)
     pdf = points.toPandas()
